@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, token_count
+import corpus_pipeline
+
+from . import chat_format, decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, token_count, url_filter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,17 +30,30 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"), words=4)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"), pii.Judge(spark))
+    counts = [F.size(F.filter("base", kind_is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
+def kind_is(kind: str) -> Callable[[Column], Column]:
+    return lambda x: x["kind"] == kind
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def language_prototypes(docs: DataFrame) -> dict:
-    return language_id.learn_prototypes(docs.where(fold() != 0))
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    marked = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block")), "page_id").where("block IS NOT NULL")
+    rules = url_filter.mine_rules(marked.select(url_filter.url_tokens(*url_filter.url_parts(F.col("url"))).alias("tokens"), "block"))
+    return url_filter.filter_urls(pages, rules)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = language_id.identify_languages(docs, language_prototypes(docs))
+    found = language_id.identify_languages(docs, language_id.learn_prototypes(docs.where(fold() != 0)))
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
@@ -72,6 +87,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -147,12 +166,15 @@ FROM t GROUP BY conv_id
 QUERIES: dict[str, Query] = {
     "op1_lm_score": op1_lm_score,
     "op2_near_dedup": op2_near_dedup,
+    "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op7_token_count": op7_token_count,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -52,42 +52,63 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return found.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """For each row: doc_id, size, source, source_size, target, taken.
-
-    Every document of a source is taken as often as the target holds the whole source, and those below the source's
-    threshold once more; the document at the boundary is taken if that comes nearer to the target. Rows of one hash
-    (repeated ids) go together. Null texts have size 0, a null source is a source of its own, an empty table gives no rows.
-    """
-    rows = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), doc_hash(F.col(doc_id), F.col(text)).alias("h")), "sizes")
+def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(of, source_size, target, full, low) by source for settled (source, size, h): every document is taken `full` times, those with h < low once more."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     plan = source_targets(sizes, weights, most).withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-    # low: hashes below are taken; rest: words still to take from the bucket of 2**bits hashes at low.
+    # low: hashes below are taken; rest: words still to take from the range of 2**bits hashes at low, 0 when done.
     plan = settle(plan.withColumn("low", F.lit(0).cast("long")), "plan-0")
     for level in range(1, LEVELS + 1):
         bits = HASH_BITS - BUCKET_BITS * level
         near = plan.select(F.col("source").alias("of"), "low", "rest").where("rest > 0")
-        above = rows.join(near, rows["source"].eqNullSafe(near["of"]) & (F.shiftright("h", bits + BUCKET_BITS) == F.shiftright("low", bits + BUCKET_BITS)))
-        histogram = above.groupBy("of", F.shiftright("h", bits).alias("bucket"), "rest").agg(F.sum("size").alias("words"), F.min("h").alias("first_h"), F.max("h").alias("last_h"))
+        inside = rows.join(near, rows["source"].eqNullSafe(near["of"]) & (F.shiftright("h", bits + BUCKET_BITS) == F.shiftright("low", bits + BUCKET_BITS)))
+        histogram = inside.groupBy("of", F.shiftright("h", bits).alias("bucket"), "rest").agg(F.sum("size").alias("words"), F.min("h").alias("first_h"), F.max("h").alias("last_h"))
         upto = W.partitionBy("of").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-        summed = histogram.withColumn("upto", F.sum("words").over(upto))
-        edge = summed.where("upto > rest AND upto - words <= rest").select(
-            "of", F.shiftleft("bucket", bits).alias("edge"), (F.col("rest") - F.col("upto") + F.col("words")).alias("edge_rest"), F.col("words").alias("edge_words"), (F.col("first_h") == F.col("last_h")).alias("one"), "last_h"
+        edge = histogram.withColumn("upto", F.sum("words").over(upto)).where("upto > rest AND upto - words <= rest")
+        edge = edge.select(
+            "of",
+            F.struct(
+                F.shiftleft("bucket", bits).alias("low"),
+                (F.col("rest") - F.col("upto") + F.col("words")).alias("rest"),
+                "words",
+                (F.col("first_h") == F.col("last_h")).alias("one"),
+                "last_h",
+            ).alias("e"),
         )
-        edge = edge.select("of", F.struct("edge", "edge_rest", "edge_words", "one", "last_h").alias("e"))
+        ends, nearer = F.col("e.one") | F.lit(level == LEVELS), F.col("e.words") < 2 * F.col("e.rest")
+        low = F.when(F.col("e").isNull(), F.col("low")).when(ends & nearer, F.col("e.last_h") + 1).otherwise(F.col("e.low"))
+        rest = F.when(F.col("e").isNull() | ends, F.lit(0.0)).otherwise(F.col("e.rest"))
         moved = plan.join(edge, plan["source"].eqNullSafe(edge["of"]), "left")
-        nearer = F.col("e.edge_words") < 2 * F.col("e.edge_rest")
-        ends = F.col("e.one") | F.lit(level == LEVELS)
-        moved = moved.select(
-            "source", "source_size", "target", "full",
-            F.when(F.col("e").isNull() | ends, F.lit(0.0)).otherwise(F.col("e.edge_rest")).alias("rest"),
-            F.when(F.col("e").isNull(), F.when(F.col("rest") > 0, F.shiftleft(F.shiftright("low", bits + BUCKET_BITS) + 1, bits + BUCKET_BITS)).otherwise(F.col("low")))
-            .when(ends & nearer, F.col("e.last_h") + 1).otherwise(F.col("e.edge")).alias("low"),
-        )
-        plan = settle(moved, f"plan-{level}")
+        plan = settle(moved.select("source", "source_size", "target", "full", rest.alias("rest"), low.alias("low")), f"plan-{level}")
         if plan.where("rest > 0").isEmpty():
             break
-    plan = plan.withColumnRenamed("source", "of").select("of", "source_size", "target", "full", "low")
+    return plan.select(F.col("source").alias("of"), "source_size", "target", "full", "low")
+
+
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """For each row: doc_id, size, source, source_size, target, copies, taken (copies times size).
+
+    Every document of a source is taken as often as the target holds the whole source, and those below the source's
+    threshold once more; the document at the boundary is taken if that comes nearer to the target. Rows of one hash
+    (repeated ids) go together. Null texts have size 0, a null source is a source of its own, an empty table gives no rows.
+    """
+    rows = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), doc_hash(F.col(doc_id), F.col(text)).alias("h")), "sizes")
+    plan = mix_plan(rows, weights, most)
     copies = F.col("full") + F.when((F.col("full") < most) & (F.col("h") < F.col("low")), 1).otherwise(0)
-    return rows.join(plan, rows["source"].eqNullSafe(plan["of"])).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "h")
+    joined = rows.join(plan, rows["source"].eqNullSafe(plan["of"]))
+    return joined.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def draw_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of docs (doc_id, text, source and any others) that the mix takes, with copies (how often) and taken (words).
+
+    Columns of docs that are named copies or taken are replaced.
+    """
+    size, h = word_count(F.col("text")), doc_hash(F.col("doc_id"), F.col("text"))
+    plan = mix_plan(settle(docs.select("source", size.alias("size"), h.alias("h")), "sizes"), weights, most)
+    plan = plan.select(*(F.col(c).alias(f"__mix_{c}") for c in ("of", "full", "low")))
+    again = (F.col("__mix_full") < most) & (h < F.col("__mix_low"))
+    copies = F.col("__mix_full") + F.when(again, 1).otherwise(0)
+    joined = docs.join(plan, docs["source"].eqNullSafe(plan["__mix_of"])).withColumn("copies", copies).where("copies > 0")
+    return joined.withColumn("taken", F.col("copies") * size).select(*(c for c in docs.columns if c not in ("copies", "taken")), "copies", "taken")
