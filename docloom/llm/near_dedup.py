@@ -5,8 +5,10 @@ in [j, j + 1), to the j-th place of that order; a place keeps its smallest offer
 gives signatures of less variance than independent hashes, and the walk stops as soon as no place can still get smaller.
 
 Signatures are cut into bands; documents that share a band's values are candidates. Documents of one shingle set are one node.
-In a bucket, every node is first tried against the smallest one, and links are grouped. Then only pairs of different groups
-are left; buckets of many nodes compare these by signature in blocks of bounded size, which hold nodes of similar set size.
+In a bucket, every node is first tried against the one that shares most buckets, and links are grouped. Then only pairs of different
+groups are left; buckets of many nodes compare these in blocks of bounded size, which hold nodes of similar set size. Nodes near their
+bucket's centre carry the shingles in which they differ from it, from which two of them know what they share without their texts. A pair
+is judged in its first common band only.
 Every candidate whose signatures do not rule it out is confirmed on the full shingle sets.
 """
 
@@ -109,34 +111,43 @@ def _alike(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, made anew from the whole texts, reach the similarity."""
+    """(a, b, linked, missing, added): whether the shingle sets, made anew from the whole texts, reach the similarity; hashes of a's shingles that b lacks and of b's that a lacks."""
 
     def shingles(text: str | None) -> set:
         w = (text or "").encode().lower().split()
         return set(zip(*(w[i:] for i in range(words)))) if len(w) >= words else {tuple(w)} if w else set()
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_text, last = None, set()
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, last_text, last, last_hashes = Words(), None, set(), None
+
+        def hashes(text: str | None) -> np.ndarray:
+            data = np.frombuffer((text or "").encode().lower(), np.uint8)
+            return _shingles(scan(data, np.array([0, len(data)]))[3], words)
+
         for batch in batches:
-            linked = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                left = left.as_py()
-                if left != last_text:
-                    last_text, last = left, shingles(left)
-                other = shingles(right.as_py())
-                shared = len(last & other)
-                linked.append(shared > 0 and 100 * shared >= percent * (len(last) + len(other) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            for first in range(0, batch.num_rows, 256):
+                part, linked, missing, added = batch.slice(first, 256), [], [], []
+                for left, right in zip(part.column(2), part.column(3)):
+                    left, right = left.as_py(), right.as_py()
+                    if left != last_text:
+                        last_text, last, last_hashes = left, shingles(left), hashes(left)
+                    other, other_hashes = shingles(right), hashes(right)
+                    shared = len(last & other)
+                    linked.append(shared > 0 and 100 * shared >= percent * (len(last) + len(other) - shared))
+                    missing.append(np.setdiff1d(last_hashes, other_hashes, True).view(np.int64))
+                    added.append(np.setdiff1d(other_hashes, last_hashes, True).view(np.int64))
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (missing, added)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), *lists], ["a", "b", "linked", "missing", "added"])
 
     sides = [texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
     # By a last: its pairs come together, and its set is made once.
     joined = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(keep, "a long, b long").distinct()
+    return joined.mapInArrow(judge, "a long, b long, linked boolean, missing array<long>, added array<long>")
 
 
-def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket but no group yet."""
-    entries = shared.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
+def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that share a bucket but no group yet."""
+    entries = shared.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", "band", "rep", "centre", "members", F.coalesce("comp", "rep").alias("comp"))
     several = entries.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     entries = settle(entries.join(several, "key"), "entries")
     lists = entries.where(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "comp"))).alias("nodes"))
@@ -150,28 +161,46 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, similarity: f
     large = entries.where(F.col("members") > SMALL)
     if large.isEmpty():
         return small
+    nodes = large.select("rep", "centre").distinct()
+    # An id of several texts has no one difference.
+    apart = tried.groupBy(F.col("a").alias("centre"), F.col("b").alias("rep")).agg(F.count(F.lit(1)).alias("x"), F.first("missing").alias("missing"), F.first("added").alias("added")).where("x = 1").drop("x")
+    of_centre = reps.groupBy(F.col("rep").alias("centre")).agg(F.max("n").alias("n_centre"))
+    sized = nodes.join(reps.select("rep", "n", "sig"), "rep").join(apart, ["centre", "rep"], "left").join(of_centre, "centre")
+    sized = settle(sized.withColumn("own", F.col("rep") == F.col("centre")), "sized")
     # A pair of the similarity lies in one size class or in two adjacent ones.
-    classes = F.floor(0.999 * F.log("n") / float(-np.log(similarity))).cast("int")
-    sized = large.join(reps.select("rep", "n", "sig"), "rep").withColumn("size_class", classes)
-    sized = sized.select("key", "rep", "comp", "n", "sig", "size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)).alias("low"))
-    counts = sized.groupBy("key", "low").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
-    cut = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
-    dealt = sized.join(counts, ["key", "low"]).withColumn("cut", cut)
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    dealt = dealt.withColumn("other", other).select("key", "low", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "rep", "comp", "n", "sig", (F.col("size_class") > F.col("low")).alias("upper"), "cut")
+    size_class = F.floor(0.999 * F.log("n") / float(-np.log(similarity))).cast("int")
+    both = F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)).alias("low")
+    placed = large.join(reps.select("rep", size_class.alias("size_class")), "rep").select("key", "band", "rep", "centre", "comp", "size_class", both)
+    counts = placed.groupBy("key", "low").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
+    dealt = placed.join(counts, ["key", "low"]).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    i, j, upper = F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("size_class") > F.col("low")).alias("upper")
+    dealt = dealt.select("key", "low", i, j, "band", "rep", "centre", "comp", upper, "cut").join(sized, ["rep", "centre"])
     least = _agreement(similarity)
 
     def compare(table: pa.Table) -> pa.Table:
         rep, comp, n, upper, cut = (table.column(x).to_numpy() for x in ("rep", "comp", "n", "upper", "cut"))
+        whole, own = table.column("n_centre")[0].as_py(), table.column("own").to_pylist()
+        missing, added = ([set() if o else set(x) if x is not None else None for o, x in zip(own, table.column(c).to_pylist())] for c in ("missing", "added"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
-        crossed, out = table.column("i")[0].as_py() != table.column("j")[0].as_py(), []
+        crossed, band, out = table.column("i")[0].as_py() != table.column("j")[0].as_py(), table.column("band")[0].as_py(), []
+
+        def reaches(k: int, m: int) -> bool:
+            shared = whole - len(missing[k] | missing[m]) + len(added[k] & added[m])
+            return shared >= (similarity - 1e-9) * (n[k] + n[m] - shared)
+
         for k in range(len(rep) - 1):
             right = slice(k + 1, None)
             open_ = (comp[right] != comp[k]) & (rep[right] != rep[k]) & ~(upper[right] & upper[k]) & (np.minimum(n[right], n[k]) >= similarity * np.maximum(n[right], n[k]))
             if crossed:
                 open_ &= cut[right] != cut[k]
             at = np.flatnonzero(open_) + k + 1
-            out += [(min(rep[k], rep[m]), max(rep[k], rep[m])) for m in at[(sig[at] == sig[k]).sum(axis=1) >= least]]
+            equal = sig[at] == sig[k]
+            first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            at = at[(equal.sum(axis=1) >= least) & (first == band)]
+            if missing[k] is not None:
+                at = np.array([m for m in at if missing[m] is None or reaches(k, m)], np.int64)
+            out += zip(np.minimum(rep[at], rep[k]), np.maximum(rep[at], rep[k]))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -202,14 +231,20 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     sets = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sig")).alias("s"))
     reps = settle(sets.select("a", "b", "n", "rep", "s.bands", "s.sig"), "nodes")
     named = reps.where("rep IS NOT NULL")
-    entries = named.select("rep", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("members")).where("leader < top").drop("top")
+    entries = named.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = settle(entries.join(buckets, "key"), "buckets")
     texts = settle(rows.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep"), "texts")
-    stars = settle(shared.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = settle(_confirmed(_alike(stars, named, similarity), texts, words, percent), "star-links")
-    rest = _across(shared, components(links), named, similarity).join(stars, ["a", "b"], "left_anti")
-    more = settle(_confirmed(_alike(rest, named, similarity), texts, words, percent), "links")
+    # The bucket's centre, which in a group of variants is the one nearest to all: every other member is tried against it.
+    degrees = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
+    centres = shared.join(degrees, "rep").groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"))).alias("m")).select("key", (-F.col("m.col2")).alias("centre"))
+    centred = settle(shared.join(centres, "key"), "centred")
+    stars = settle(centred.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    tried = settle(_confirmed(_alike(stars, named, similarity), texts, words, percent), "star-links")
+    links = tried.where("linked").select("a", "b")
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _across(centred, components(links), named, tried, similarity).join(done, ["a", "b"], "left_anti")
+    more = settle(_confirmed(_alike(rest, named, similarity), texts, words, percent).where("linked").select("a", "b"), "links")
     labels = components(links.unionByName(more).unionByName(_one_id(signed, reps)))
     of_set = reps.select("a", "b", "n", "rep").join(labels, reps["rep"] == labels["id"], "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n", "a", "b").join(of_set, ["a", "b", "n"], "left")
