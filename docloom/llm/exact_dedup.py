@@ -98,7 +98,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     rows = docs.select(F.col(doc_id).alias("id"), data.alias("data"))
     rows = rows.select(F.struct("id", F.sha2("data", 256).alias("sha")).alias("doc"), F.col("data").cast("binary").alias("data"))
     named = settle(block_names(rows, block_bytes, route), "doc-names")
-    groups = named.groupBy("level", "name").agg(F.max("doc.id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # Written first, so that in the join a name of very many documents can be split.
+    groups = settle(named.groupBy("level", "name").agg(F.max("doc.id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     each = named.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return each.select(
         F.col("doc.id").alias("doc_id"),
