@@ -82,7 +82,7 @@ def truncated(x: Column, tokens: int, notice: str = "\n\n[Content truncated]") -
 
 def trimmed_distinct(tokens: Column) -> Column:
     """Trimmed tokens without blanks and repeats, in their order."""
-    return F.array_distinct(F.filter(F.transform(tokens, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def trimmed_filled(tokens: Column) -> Column:
