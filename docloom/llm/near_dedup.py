@@ -30,7 +30,7 @@ PLACES = BANDS * ROWS
 #: Signatures that agree in fewer places rule a pair of the similarity out: five standard deviations below 0.8.
 SLACK = 5
 #: Nodes of a bucket that are paired by lists; and of a block, when there are more.
-SMALL, BLOCK = 24, 512
+SMALL, BLOCK = 24, 4096
 PIECE = 1 << 16
 
 
@@ -171,7 +171,8 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFr
     size_class = F.floor(0.999 * F.log("n") / float(-np.log(similarity))).cast("int")
     both = F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)).alias("low")
     placed = large.join(reps.select("rep", size_class.alias("size_class")), "rep").select("key", "band", "rep", "centre", "comp", "size_class", both)
-    counts = placed.groupBy("key", "low").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
+    counts = placed.groupBy("key", "low").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"), (F.min("comp") < F.max("comp")).alias("open"))
+    counts = counts.where("open").drop("open")
     dealt = placed.join(counts, ["key", "low"]).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     i, j, upper = F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("size_class") > F.col("low")).alias("upper")
