@@ -9,9 +9,11 @@ overlaps four times as wide, in the end the whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ from .shared import settle
 
 #: Characters of a text that is not cut, of a chunk's own part, of the first overlap, and of what a boundary must have after it.
 WHOLE, CHUNK, OVERLAP, AHEAD = 200_000, 100_000, 2_000, 64
+#: Pieces whose counts a task keeps, and characters of a piece that is kept.
+MOST_KEPT, LONGEST_KEPT = 300_000, 32
+
+# How a byte-level pre-tokenizer splits a text, and characters beyond those on which any Unicode version agrees.
+PIECE = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+")
+UNUSUAL = regex.compile(r"[^ -~\t\n\r\u00C0-\u017F]")
 
 
 def _tokenizer(path: str):
@@ -33,13 +41,47 @@ def _tokenizer(path: str):
     return out
 
 
+class _Kept(dict):
+    """Tokens of pieces, each encoded when first met."""
+
+    def __init__(self, encoded: Callable[[str], int]):
+        self.encoded = encoded
+
+    def __missing__(self, piece: str) -> int:
+        n = self.encoded(piece)
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = n
+        return n
+
+
+def _counter(tokenizer) -> Callable[[str], int]:
+    """Tokens of a text. A byte-level tokenizer merges within a piece only, so its counts are sums over pieces, and a piece that comes again
+    is not encoded again. Texts with special strings or unusual characters are encoded as they are, and so are all of other tokenizers."""
+    form = json.loads(tokenizer.to_str())
+    split = form["pre_tokenizer"] or {}
+    by_piece = form["normalizer"] is None and form["model"]["type"] == "BPE" and not form["model"].get("dropout") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+    special = [x["content"] for x in form["added_tokens"]]
+
+    def encoded(text: str) -> int:
+        return len(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
+
+    kept = _Kept(encoded)
+
+    def count(text: str) -> int:
+        if not by_piece or UNUSUAL.search(text) or any(x in text for x in special):
+            return encoded(text)
+        if len(kept) > MOST_KEPT:
+            kept.clear()
+        return sum(map(kept.__getitem__, PIECE.findall(text)))
+
+    return count
+
+
 def _count_whole(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        of = _counter(_tokenizer(path))
         for batch in batches:
-            texts, tokens = batch.column(1).to_pylist(), []
-            for i in range(0, len(texts), 64):
-                tokens += [len(x) for x in tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
+            tokens = [of(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(batch.columns)) if i != 1), pa.array(tokens, pa.int64())], [*(x for x in batch.schema.names if x != "text"), "n_tokens"])
 
     return count
