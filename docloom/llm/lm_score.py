@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .shared import new_folder, settle
 from .words import PLACE, U, Words, mixed, text_slices
 
-ORDER = 2
+ORDER = 3
 #: n-grams that a task holds before it sends its blocks; and that a shard should have.
-HELD, SHARD = 1 << 21, 1 << 22
+HELD, SHARD = 1 << 21, 1 << 21
 END, START = U(0x1C80317FA3B1799D), U(0xBDD640FB06671AD1)
 EMPTY = U(0x5851F42D4C957F2D)
 
@@ -78,9 +78,21 @@ def _summed(keys: tuple[np.ndarray, ...], counts: tuple[np.ndarray, ...]) -> tup
     return (*(k[order][first] for k in keys), *(np.add.reduceat(c[order], first) if len(first) else c[:0] for c in counts))
 
 
-def _blocks(shards: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(shard, data) for columns that are sorted by the first, by which shards are ranges."""
-    of = shard_of(columns[0], shards)
+def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte of all numbers, so that equal high bytes stand together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(data: memoryview, n: int, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).view(kind).reshape(-1)
+
+
+def _blocks(shards: int, keys: tuple[np.ndarray, ...], *counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(shard, data) for columns that are sorted by the first key, by which shards are ranges.
+
+    The other keys are words and contexts that recur, so a block has each of them once and refers to its place.
+    """
+    of = shard_of(keys[0], shards)
     bounds = np.searchsorted(of, np.arange(shards + 1))
     full = np.flatnonzero(np.diff(bounds))
     codec = pa.Codec("zstd", 1)
@@ -89,19 +101,31 @@ def _blocks(shards: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         data = []
         for s in some:
             part = slice(bounds[s], bounds[s + 1])
-            cut = [np.diff(columns[0][part], prepend=U(0)), *(c[part] for c in columns[1:])]
-            # Byte by byte of all numbers, so that equal high bytes stand together.
-            packed = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in cut)
-            data.append((bounds[s + 1] - bounds[s]).tobytes() + codec.compress(packed, asbytes=True))
+            head, packed = [bounds[s + 1] - bounds[s]], [_planes(np.diff(keys[0][part], prepend=U(0)))]
+            for key in keys[1:]:
+                distinct, place = np.unique(key[part], return_inverse=True)
+                head.append(len(distinct))
+                packed += [_planes(np.diff(distinct, prepend=U(0))), _planes(place.astype(np.uint32))]
+            packed += [_planes(c[part]) for c in counts]
+            data.append(np.array(head, np.int64).tobytes() + codec.compress(b"".join(packed), asbytes=True))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["shard", "data"])
 
 
-def _unpacked(data: bytes, columns: int) -> list[np.ndarray]:
-    n = int(np.frombuffer(data[:8], np.int64)[0])
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 8 * n * columns, asbytes=True), np.uint8).reshape(columns, 8, n)
-    out = [np.ascontiguousarray(c.T).view(np.uint64).reshape(-1) for c in raw]
-    out[0] = np.cumsum(out[0], dtype=U)
-    return out
+def _unpacked(data: bytes, keys: int, counts: int) -> list[np.ndarray]:
+    n, *distinct = (int(x) for x in np.frombuffer(data[: 8 * keys], np.int64))
+    sizes = [8 * n, *(x for d in distinct for x in (8 * d, 4 * n)), *[8 * n] * counts]
+    raw, at = memoryview(pa.Codec("zstd").decompress(data[8 * keys :], sum(sizes), asbytes=True)), 0
+
+    def column(rows: int, width: int) -> np.ndarray:
+        nonlocal at
+        at += rows * width
+        return _from_planes(raw[at - rows * width : at], rows, {8: U, 4: np.uint32}[width])
+
+    out = [np.cumsum(column(n, 8), dtype=U)]
+    for d in distinct:
+        words = np.cumsum(column(d, 8), dtype=U)
+        out.append(words[column(n, 4)])
+    return out + [column(n, 8) for _ in range(counts)]
 
 
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
@@ -114,7 +138,7 @@ def _merged(blocks: pa.ChunkedArray, keys: int, counts: int) -> tuple[np.ndarray
     held: list[list[np.ndarray]] = []
     done: tuple[np.ndarray, ...] | None = None
     for i, data in enumerate(blocks):
-        held.append(_unpacked(data.as_py(), keys + counts))
+        held.append(_unpacked(data.as_py(), keys, counts))
         if i + 1 == len(blocks) or sum(len(x[0]) for x in held) > SHARD + (len(done[0]) if done else 0):
             parts = ([list(done)] if done else []) + held
             columns = [np.concatenate(c) for c in zip(*parts)]
@@ -157,9 +181,10 @@ def local_path(folder: str) -> str:
 
 
 def _put(path: str, **arrays: np.ndarray) -> None:
-    """Files appear whole or not at all, and again alike if a task is repeated."""
+    """Files appear whole or not at all, and again alike if a task is repeated. Numbers are as wide as the largest needs."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
     for name, x in arrays.items():
+        x = x.astype(np.min_scalar_type(int(x.max()))) if x.size else x
         part = f"{path}.{name}.{os.getpid()}.{np.random.randint(1 << 30)}.part"
         with open(part, "wb") as f:
             np.save(f, x)
@@ -186,8 +211,8 @@ def _reduce(folder: str, k: int, shards: int):
             _put(path, grams=whole[order], counts=value[order], contexts=context[first], followers=np.stack([np.add.reduceat(value, first).astype(np.int64), *times], axis=1))
         out = [(shard, None, *(int((value == i).sum()) for i in (1, 2, 3, 4)), len(value), int(value.sum()), int(raw.sum()))]
         if k > 1:
-            lower = _summed(tuple(keys[1:]), (np.ones(len(value), U), raw))
-            for batch in _blocks(shards, *lower):
+            *lower, followers, times_seen = _summed(tuple(keys[1:]), (np.ones(len(value), U), raw))
+            for batch in _blocks(shards, tuple(lower), followers, times_seen):
                 out += [(s.as_py(), d.as_py(), *[0] * 7) for s, d in zip(*batch.columns)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), *[pa.int64()] * 7))], names=["shard", "data", *STATS])
 
@@ -208,7 +233,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, shard_rows: i
         def blocks() -> Iterator[pa.RecordBatch]:
             keys = tuple(np.concatenate(x) for x in zip(*held))
             *keys, value = _summed(keys, (np.ones(len(keys[0]), U),))
-            return _blocks(shards, *keys, value, value)
+            return _blocks(shards, tuple(keys), value, value)
 
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
