@@ -108,6 +108,16 @@ def test_token_counts_with_and_without_chunks(spark):
 
 # Language identification
 
+def test_token_counts_by_piece():
+    """Pieces at every kind of boundary, special strings and unusual characters, against the library."""
+    tokenizer = token_count._tokenizer(TOKENIZER)
+    of, parts = token_count._counter(tokenizer), ["it's", "''s", "IT'S", "  ", "\n", "\n\n ", "\t", " a", "9x9", "!?", "é", "ſ", "×÷", "\u00a0", "\x1c", "漢字", "<|endoftext|>", "q" * 50, "'ll've", "日 "]
+    for a in parts:
+        for b in parts:
+            text = f"{a}{b} {a}\n{b}{b}"
+            assert of(text) == of(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
 def test_languages(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the hat", "en"), ("that is the thing", "en"), ("der hund und die katze", "de"), ("das ist der ding", "de"), (None, "de"), ("kein", None)] * 3)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
