@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -84,8 +84,8 @@ def _signer(words: int):
                         bands.append(np.zeros(0, np.int64))
                         sigs.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["doc_id", "n", "a", "b", "bands", "sig"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                ["doc_id", "sha", "n", "a", "b", "bands", "sig"],
             )
 
     return sign
@@ -162,9 +162,8 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFr
     if large.isEmpty():
         return small
     nodes = large.select("rep", "centre").distinct()
-    # An id of several texts has no one difference.
-    apart = tried.groupBy(F.col("a").alias("centre"), F.col("b").alias("rep")).agg(F.count(F.lit(1)).alias("x"), F.first("missing").alias("missing"), F.first("added").alias("added")).where("x = 1").drop("x")
-    of_centre = reps.groupBy(F.col("rep").alias("centre")).agg(F.max("n").alias("n_centre"))
+    apart = tried.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "missing", "added")
+    of_centre = reps.select(F.col("rep").alias("centre"), F.col("n").alias("n_centre"))
     sized = nodes.join(reps.select("rep", "n", "sig"), "rep").join(apart, ["centre", "rep"], "left").join(of_centre, "centre")
     sized = settle(sized.withColumn("own", F.col("rep") == F.col("centre")), "sized")
     # A pair of the similarity lies in one size class or in two adjacent ones.
@@ -209,51 +208,108 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFr
 
 
 def _one_id(signed: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) between an id and the nodes of its sets, for ids that repeat with other texts."""
+    """Links (a, b) between the nodes of an id that repeats with other sets."""
     own = F.struct("a", "b", "n")
-    repeated = signed.where("n > 0").groupBy("doc_id").agg((F.min(own) < F.max(own)).alias("several")).where("several").select("doc_id")
+    repeated = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(own) < F.max(own)).alias("several")).where("several").select("doc_id")
     ids = signed.join(repeated, "doc_id").select("doc_id", "a", "b", "n")
-    return ids.join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    nodes = settle(ids.join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).select("doc_id", "rep").distinct(), "nodes-of-ids")
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """For each row: doc_id, n_shingles, component_id, kept.
+def _keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, sha): ids that are null or repeat are told apart by their texts' hashes."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _sha(F.col(text)).alias("sha"))
 
-    A document's set holds its distinct shingles of `words` words (A-Z lowered, parted by white space), or all its words as one
-    if it has fewer. Documents are linked if 100 times the common shingles are at least `percent` times all of both, and
-    component_id is the smallest doc_id that links reach; kept: its own. Null, empty and blank texts have no shingles and no links.
-    Rows of one id are one node; a row without an id takes its set's component and is kept only if that has no id at all. doc_id
-    is an integer; an empty table gives no rows.
-    """
+
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of _keyed rows: signed rows; ids that are null or repeat; nodes, which are numbered sets with their first row's id and sha; links (a, b) of nodes."""
     similarity = percent / 100
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(rows.mapInArrow(_signer(words), "doc_id long, n long, a long, b long, bands array<long>, sig binary"), "signed")
-    # Nodes: sets by a fingerprint of 128 bits over all their shingles, and their number.
-    sets = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sig")).alias("s"))
-    reps = settle(sets.select("a", "b", "n", "rep", "s.bands", "s.sig"), "nodes")
-    named = reps.where("rep IS NOT NULL")
-    entries = named.select("rep", F.posexplode("bands").alias("band", "key"))
+    signed = settle(rows.select("doc_id", "text", "sha").mapInArrow(_signer(words), "doc_id long, sha binary, n long, a long, b long, bands array<long>, sig binary"), "signed")
+    odd = settle(signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("doc_id IS NULL OR times > 1").select(F.col("doc_id").alias("odd_id")), "odd-ids")
+    # Nodes: sets by a fingerprint of 128 bits over all their shingles, and their number. A set's first row is the one of the smallest id, without an id the last.
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("first_id"), F.col("sha").alias("first_sha"))
+    sets = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(first).alias("first"), F.first(F.struct("bands", "sig")).alias("s"))
+    reps = settle(sets.select("a", "b", "n", F.monotonically_increasing_id().alias("rep"), "first", "s.bands", "s.sig"), "nodes")
+    entries = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = settle(entries.join(buckets, "key"), "buckets")
-    texts = settle(rows.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep"), "texts")
+    texts = settle(_texts(rows, reps.join(shared.select("rep").distinct(), "rep").select("rep", "first.first_id", "first.first_sha"), odd), "texts")
     # The bucket's centre, which in a group of variants is the one nearest to all: every other member is tried against it.
     degrees = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
     centres = shared.join(degrees, "rep").groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"))).alias("m")).select("key", (-F.col("m.col2")).alias("centre"))
     centred = settle(shared.join(centres, "key"), "centred")
     stars = settle(centred.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    tried = settle(_confirmed(_alike(stars, named, similarity), texts, words, percent), "star-links")
+    tried = settle(_confirmed(_alike(stars, reps, similarity), texts, words, percent), "star-links")
     links = tried.where("linked").select("a", "b")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _across(centred, components(links), named, tried, similarity).join(done, ["a", "b"], "left_anti")
-    more = settle(_confirmed(_alike(rest, named, similarity), texts, words, percent).where("linked").select("a", "b"), "links")
-    labels = components(links.unionByName(more).unionByName(_one_id(signed, reps)))
-    of_set = reps.select("a", "b", "n", "rep").join(labels, reps["rep"] == labels["id"], "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc_id", "n", "a", "b").join(of_set, ["a", "b", "n"], "left")
-    component = F.coalesce(F.when(F.col("n") > 0, F.col("comp")), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rest = _across(centred, components(links), reps, tried, similarity).join(done, ["a", "b"], "left_anti")
+    more = settle(_confirmed(_alike(rest, reps, similarity), texts, words, percent).where("linked").select("a", "b"), "links")
+    return signed, odd, reps, links.unionByName(more)
+
+
+def _texts(rows: DataFrame, nodes: DataFrame, odd: DataFrame) -> DataFrame:
+    """(rep, text): one text of each of nodes (rep, first_id, first_sha)."""
+    if odd.isEmpty():
+        return rows.join(nodes, rows["doc_id"] == nodes["first_id"]).select("rep", "text")
+    is_odd = nodes["first_id"].eqNullSafe(odd["odd_id"])
+    plain, several = nodes.join(odd, is_odd, "left_anti").select("rep", "first_id"), nodes.join(odd, is_odd, "left_semi")
+    by_id = rows.join(plain, rows["doc_id"] == plain["first_id"]).select("rep", "text")
+    by_text = rows.join(several, rows["doc_id"].eqNullSafe(several["first_id"]) & (rows["sha"] == several["first_sha"])).select("rep", "text")
+    return by_id.unionByName(by_text.dropDuplicates(["rep"]))
+
+
+def _components(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, n, comp, first) of each node: its component's number and its first row."""
+    labels = components(links)
+    return reps.select("a", "b", "n", "rep", "first").join(labels, reps["rep"] == labels["id"], "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"), "first")
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """For each row: doc_id, n_shingles, component_id, kept.
+
+    A document's set holds its distinct shingles of `words` words (A-Z lowered, parted by white space), or all its words as one
+    if it has fewer. Documents are linked if 100 times the common shingles are at least `percent` times all of both, and
+    component_id is the smallest doc_id that links reach; kept: its own. Null, empty and blank texts have no shingles and no links.
+    Rows of one id are one node. Rows without an id are nodes by their texts: they link like others, and one of a component is
+    kept only if no row of it has an id. doc_id is an integer; an empty table gives no rows.
+    """
+    signed, _, reps, links = _linked(_keyed(docs, doc_id, text), words, percent)
+    of_set = settle(_components(reps, links.unionByName(_one_id(signed, reps))), "components")
+    firsts = settle(of_set.groupBy("comp").agg(F.min("first").alias("top")), "firsts")
+    of_set = of_set.join(firsts, "comp").select("a", "b", "n", "top")
+    known = signed.where("doc_id IS NOT NULL").select("doc_id", "n", "a", "b").join(of_set, ["a", "b", "n"], "left")
+    component = F.coalesce("top.first_id", "doc_id")
+    out = known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    # Rows without an id and of one text are counted, so that one of them can be told from the others.
+    nameless = signed.where("doc_id IS NULL").groupBy("sha", "n", "a", "b").agg(F.count(F.lit(1)).alias("times")).join(of_set, ["a", "b", "n"], "left")
+    nameless = nameless.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    alone = (F.col("n") == 0) | (F.col("top.no_id") & (F.col("sha") == F.col("top.first_sha")) & (F.col("copy") == 1))
+    return out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("top.first_id").alias("component_id"), alone.alias("kept")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any others) with one document of each group, the one of the smallest doc_id."""
-    dropped = settle(near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "near-copies")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    """docs (doc_id, text and any others) with one row of each group, the one of the smallest doc_id. Each row is judged by its own text, whether its id is null, repeated or neither."""
+    signed, odd, reps, links = _linked(_keyed(docs), 5, 80)
+    kept = settle(_components(reps, links).groupBy("comp").agg(F.min("first").alias("top")).select("top.first_id", "top.first_sha"), "kept")
+    shingled = signed.where("n > 0").select("doc_id", "sha")
+    is_kept = shingled["doc_id"].eqNullSafe(kept["first_id"]) & (shingled["sha"] == kept["first_sha"])
+    dropped = shingled.join(kept, is_kept, "left_anti").select(F.col("doc_id").alias("dropped_id"), F.col("sha").alias("dropped_sha")).distinct()
+    if odd.isEmpty():
+        dropped = settle(dropped.select("dropped_id"), "near-copies")
+        return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    dropped = settle(dropped, "near-copies")
+    is_odd = dropped["dropped_id"].eqNullSafe(odd["odd_id"])
+    plain, several = dropped.join(odd, is_odd, "left_anti").select("dropped_id"), dropped.join(odd, is_odd, "left_semi")
+    out = docs.join(plain, docs["doc_id"] == plain["dropped_id"], "left_anti")
+    out = out.join(several, out["doc_id"].eqNullSafe(several["dropped_id"]) & (_sha(out["text"]) == several["dropped_sha"]), "left_anti")
+    # Of rows that repeat an id and a text, one.
+    again = settle(shingled.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("doc_id").alias("again_id"), F.col("sha").alias("again_sha")), "again")
+    if again.isEmpty():
+        return out
+    is_again = out["doc_id"].eqNullSafe(again["again_id"]) & (_sha(out["text"]) == again["again_sha"])
+    one = out.join(again, is_again, "left_semi").withColumn("__sha", _sha(F.col("text"))).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    return out.join(again, is_again, "left_anti").unionByName(one)

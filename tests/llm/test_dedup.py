@@ -115,6 +115,25 @@ def test_near_dedup_without_and_with_repeated_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in found) == [(-1, -1, True), (-1, 5, False), (5, 5, True), (5, 5, True), (9, 5, False)]
 
 
+def test_drop_near_copies_judges_rows_of_null_and_repeated_ids(spark):
+    text, other, third = (" ".join(f"{p}{i}" for i in range(50)) for p in "wvu")
+    rows = [(None, text), (5, text), (5, "quite another text of some words"), (9, "quite another text of some words"), (None, "no id here and no copy")]
+    rows += [(3, text + " more"), (None, other), (None, other + " more"), (None, third), (None, third), (None, ""), (12, None)]
+    left = near_dedup.drop_near_copies(docs(spark, rows))
+    assert left.columns == ["doc_id", "text", "lang", "source", "kept"]
+    found = [(r.doc_id, r.text) for r in left.collect()]
+    others = [x for x in found if (x[1] or "").startswith(other)]
+    assert len(others) == 1 and others[0][0] is None
+    assert Counter(x for x in found if x not in others) == Counter([(3, text + " more"), (5, rows[2][1]), rows[4], (None, third), (None, ""), (12, None)])
+
+
+def test_near_copies_without_ids_are_linked(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (None, " ".join(base + ["more"])), (None, " ".join(base)), (7, " ".join(f"x{i}" for i in range(60))), (None, " ".join(f"x{i}" for i in range(61)))]
+    found = near_dedup.near_dedup(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == Counter([(None, None, True), (None, None, False), (None, None, False), (7, 7, True), (None, 7, False)])
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.Generator(np.random.PCG64(1))
     for n in (3, 50, 2000):
