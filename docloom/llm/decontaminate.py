@@ -128,14 +128,19 @@ def find_contamination(
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs without any hit, with all their columns and in one pass over the texts."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """The rows of docs without any hit, with all their columns. Each row is judged on its own, in one pass over the texts for each slice of windows; a pass leaves the next one only the rows that it did not hit."""
     windows = settle(item_windows(items, "item_id", "text", WINDOW), "windows")
-    if windows.count() > MOST_WINDOWS:
-        found = settle(find_contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct(), "contaminated")
-        return docs.join(found, docs["doc_id"].eqNullSafe(found["hit_id"]), "left_anti")
-    scan = _scanner(docs.sparkSession, windows.collect(), True)
+    slices = max(1, -(-windows.count() // most_windows))
+    for i in range(slices):
+        if i:
+            docs = settle(docs, f"clean-{i}")
+        part = windows.where(F.pmod("h", F.lit(slices)) == i).collect()
+        docs = docs.mapInArrow(_cleaner(_scanner(docs.sparkSession, part, True)), docs.schema)
+    return docs
 
+
+def _cleaner(scan):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
@@ -143,4 +148,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             hits = pa.concat_arrays([x.column(2) for x in scan(iter([pa.RecordBatch.from_arrays([n, text], ["n", "text"])]))])
             yield batch.filter(pc.equal(hits, 0))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return clean

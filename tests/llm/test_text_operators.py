@@ -69,6 +69,15 @@ def test_drop_contaminated(spark):
     assert decontaminate.find_contamination(docs(spark, []), items).count() == 0
 
 
+def test_drop_contaminated_judges_rows_alike_in_slices(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14))), (2, "short item")], "item_id long, text string")
+    hit = "so " + " ".join(f"w{i}" for i in range(3, 13)) + " said"
+    rows = [(None, hit), (None, "clean words"), (4, hit), (4, "other clean words"), (5, "a short item here"), (6, None)]
+    for most in (1, 2, 1000):
+        left = decontaminate.drop_contaminated(docs(spark, rows), items, most)
+        assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([rows[1], rows[3], rows[5]])
+
+
 # Chat formatting
 
 def test_chats_can_be_read_back(spark):
