@@ -56,7 +56,7 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
         return none
     # Frequent among the blocked; a token set's count among all follows by the inverted index.
     model = FPGrowth(itemsCol="tokens", minSupport=max(support * n / blocked, 1e-9) if support * n < blocked else 1.0).fit(rows.where("block").select("tokens"))
-    sets = settle(model.freqItemsets.where(F.size("items") <= 4).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits")), "itemsets")
+    sets = settle(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits")), "itemsets")
     tokens = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     pivots = sets.select("tokens", F.explode("tokens").alias("token")).join(tokens, "token").groupBy("tokens").agg(F.min(F.struct("uses", "token")).alias("p"))
     filed = settle(sets.join(pivots, "tokens").select("tokens", "hits", F.col("p.token").alias("pivot")), "filed")

@@ -110,3 +110,10 @@ def test_rules_hold_against_counting(spark):
         assert r.confidence == pytest.approx(sum(having) / len(having)) and r.confidence >= url_filter.CONFIDENCE
         assert r.support == pytest.approx(sum(having) / len(rows))
     assert {r.rule for r in url_filter.mine_rules(table, support=0.02).collect()} == {"a b", "d"}
+
+
+def test_rules_of_five_tokens(spark):
+    five = set("abcde")
+    rows = [(five, True)] * 10 + [(five - {x}, False) for x in sorted(five)] * 8 + [({"z"}, False)] * 20
+    table = spark.createDataFrame([(sorted(t), b) for t, b in rows], "tokens array<string>, block boolean")
+    assert {r.rule for r in url_filter.mine_rules(table, support=0.02).collect()} == {"a b c d e"}
