@@ -29,7 +29,7 @@ GENERATORS = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20./-]?[0-9]{2,6}){2,4}(?![0-9])",
     "phone": r"(?<![0-9])(?:00[0-9]{1,3}[\x20.-]?)?\(?0?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,200}+={0,2}(?![A-Za-z0-9_+/=-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/=-])",
 }
 KINDS = ["email", "ip", "card", "phone", "secret"]
 # Words that speak for a kind when they stand before a span.
@@ -42,6 +42,8 @@ CONTEXT = {
 }
 BEFORE = 24
 PRECISION, EXAMPLES, TREES, DEPTH = 0.98, 6000, 12, 4
+#: Formats of labelled_examples.
+CASES = 29
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -135,6 +137,11 @@ def labelled_examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     day = F.lpad((draw(8, 28) + 1).cast("string"), 2, "0")
     month = F.lpad((draw(9, 12) + 1).cast("string"), 2, "0")
     year = (F.lit(1990) + draw(10, 36)).cast("string")
+    # Long forms: 6 to 45 hashes in a row.
+    several = F.transform(F.sequence(F.lit(0), 5 + draw(11, 40).cast("int")), lambda i: F.sha2(F.concat_ws(".", F.col("id").cast("string"), i.cast("string")), 256))
+    long_hexes = F.array_join(several, "")
+    long_mixed = F.regexp_replace(F.base64(F.unhex(long_hexes)), "[=\n\r]", "")
+    long_letters = F.translate(long_hexes, "0123456789", "ghijklmnop")
     cases = [
         ("email", F.concat(name, words(" [at] ", "(at)", "[at]", " (at) "), F.substring(hexes, 20, 6), words(".com", " [dot] org", "(dot)net", "[dot]de")), words("mail ", "contact: ", "write to ", "the of "), 1),
         ("email", F.concat(part(1, 2), F.lit(" (at) "), part(4, 2), F.lit("."), part(7, 2)), words("score ", "rated ", "sold ", "of "), 0),
@@ -158,7 +165,15 @@ def labelled_examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         ("secret", F.concat(F.lit("https-path/"), F.translate(F.substring(hexes, 1, 8), "0123456789", "ghijklmnop"), F.lit("/"), F.translate(F.substring(hexes, 9, 9), "0123456789", "ghijklmnop")), words("see ", "at ", "url ", "from "), 0),
         ("secret", F.substring(hexes, 1, 32), words("checksum ", "digest ", "commit ", "etag "), 0),
         ("secret", F.concat(F.lit("figure-"), year, F.lit("-"), month, F.lit("-overview")), words("see ", "in ", "the ", "file "), 0),
+        ("secret", long_hexes, words('token = "', "key: ", "secret=", "password = '"), 1),
+        ("secret", long_mixed, words("api_key = ", "bearer ", "token: ", "credentials "), 1),
+        ("secret", F.concat(F.lit("eyJ"), long_mixed), words("auth ", "jwt ", "session ", "with "), 1),
+        ("secret", F.repeat(words("a", "x", "-", "_"), F.length(long_hexes)), words("", "the ", "line ", "key "), 0),
+        ("secret", F.repeat(part(1, 1), F.length(long_hexes)), words("", "of ", "row ", "sum "), 0),
+        ("secret", F.regexp_replace(long_letters, "(.{7})", "$1/"), words("see ", "at ", "path ", "from "), 0),
+        ("secret", long_letters, words("", "the ", "sequence ", "word "), 0),
     ]
+    assert len(cases) == CASES
     made = F.array(*(F.struct(F.lit(k).alias("kind"), m.alias("match"), b.alias("before"), F.lit(float(y)).alias("label")) for k, m, b, y in cases))
     rows = spark.range(n).select("id", F.element_at(made, (F.col("id") % len(cases) + 1).cast("int")).alias("x"))
     return rows.select("id", "x.*")
@@ -178,7 +193,7 @@ class Judge:
     def __init__(self, spark: SparkSession, n: int = EXAMPLES, precision: float = PRECISION):
         examples = labelled_examples(spark, n).coalesce(1).withColumn("f", F.array(*features(F.col("kind"), F.col("match"), F.col("before"))))
         size = len(features(F.lit(""), F.lit(""), F.lit("")))
-        rows = examples.select("kind", "label", ((F.col("id") / 22).cast("long") % 4 == 0).alias("calibrate"), *(F.col("f")[i].alias(f"f{i}") for i in range(size)))
+        rows = examples.select("kind", "label", ((F.col("id") / CASES).cast("long") % 4 == 0).alias("calibrate"), *(F.col("f")[i].alias(f"f{i}") for i in range(size)))
         vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(size)], outputCol="features").transform(rows.where("NOT calibrate"))
         model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(vectors)
         self.trees = [(float(w), t._java_obj.rootNode()) for w, t in zip(model.treeWeights, model.trees)]
@@ -220,13 +235,16 @@ def proposed_spans(text: Column, base: Column, judge: Judge) -> Column:
 
 
 def best_spans(spans: Column) -> Column:
-    """Those that no better one overlaps: of higher score, then first, then longer."""
+    """Taken one after the other, those that overlap none taken before: of highest score first, then first, then longer."""
+    order = F.array_sort(F.transform(spans, lambda x: F.struct((-x["score"]).alias("down"), x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
 
-    def better(o: Column, c: Column) -> Column:
-        tie = F.struct(o["start"], -o["end"], o["kind"]) < F.struct(c["start"], -c["end"], c["kind"])
-        return (o["start"] < c["end"]) & (c["start"] < o["end"]) & ((o["score"] > c["score"]) | ((o["score"] == c["score"]) & tie))
+    def step(kept: Column, x: Column) -> Column:
+        overlaps = F.exists(kept, lambda k: (k["start"] < -x["back"]) & (x["start"] < k["end"]))
+        span = F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (-x["back"]).alias("end"), (-x["down"]).alias("score"))
+        return F.when(overlaps, kept).otherwise(F.concat(kept, F.array(span)))
 
-    return F.filter(spans, lambda c: ~F.exists(spans, lambda o: better(o, c)))
+    return F.aggregate(order, none, step)
 
 
 def find_pii(docs: DataFrame, judge: Judge, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

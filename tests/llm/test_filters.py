@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import re
 
 import pytest
@@ -72,6 +74,22 @@ def test_judge_tells_held_out_examples_apart(spark, judge):
     assert precision > 0.95 and recall > 0.8
 
 
+def test_long_secrets_are_found(spark, judge):
+    long = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(4))
+    mixed = base64.b64encode(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(20))).decode()
+    rows = [(0, f'token = "{long[:200]}" x'), (1, f'token = "{long[:201]}" x'), (2, f"api_key = {mixed} x"), (3, "see " + "-" * 300), (4, "b" * 9000 + " " + "7" * 9000)]
+    found = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), judge).collect()}
+    assert found == {0: [("secret", 9, 209)], 1: [("secret", 9, 210)], 2: [("secret", 10, 10 + len(mixed))], 3: [], 4: []}
+
+
+def test_a_span_is_lost_only_to_a_kept_one(spark):
+    kind = "array<struct<kind:string,start:int,end:int,score:double>>"
+    spans = [("card", 0, 10, 0.9), ("phone", 8, 20, 0.8), ("secret", 18, 30, 0.7), ("ip", 40, 45, 0.6), ("phone", 40, 46, 0.6)]
+    rows = spark.createDataFrame([(spans,), ([],)], f"spans {kind}").select(pii.best_spans(F.col("spans")).alias("best")).collect()
+    assert [sorted(x.kind for x in r.best) for r in rows] == [["card", "phone", "secret"], []]
+    assert {tuple(x) for x in rows[0].best} == {spans[0], spans[2], spans[4]}
+
+
 URLS = [
     "https://A.Example.org/es/1?x=1#y", "http://example.org/en/1/2", "http://example.org/en/2", "https://www.foo.com/fr/a", "ftp://foo.com/de/b", "http://notorg/es/", "http://org", "http://org?x=/", "no scheme/at all", "", None,
     "http://spam-farm.net/x", "http://x://y/z", "HTTP://ÉX.com/De/?",
