@@ -164,7 +164,7 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFr
     nodes = large.select("rep", "centre").distinct()
     apart = tried.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "missing", "added")
     of_centre = reps.select(F.col("rep").alias("centre"), F.col("n").alias("n_centre"))
-    sized = nodes.join(reps.select("rep", "n", "sig"), "rep").join(apart, ["centre", "rep"], "left").join(of_centre, "centre")
+    sized = nodes.join(reps.select("rep", "n", "bands", "sig"), "rep").join(apart, ["centre", "rep"], "left").join(of_centre, "centre")
     sized = settle(sized.withColumn("own", F.col("rep") == F.col("centre")), "sized")
     # A pair of the similarity lies in one size class or in two adjacent ones.
     size_class = F.floor(0.999 * F.log("n") / float(-np.log(similarity))).cast("int")
@@ -183,6 +183,7 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFr
         whole, own = table.column("n_centre")[0].as_py(), table.column("own").to_pylist()
         missing, added = ([set() if o else set(x) if x is not None else None for o, x in zip(own, table.column(c).to_pylist())] for c in ("missing", "added"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         crossed, band, out = table.column("i")[0].as_py() != table.column("j")[0].as_py(), table.column("band")[0].as_py(), []
 
         def reaches(k: int, m: int) -> bool:
@@ -195,9 +196,9 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFr
             if crossed:
                 open_ &= cut[right] != cut[k]
             at = np.flatnonzero(open_) + k + 1
-            equal = sig[at] == sig[k]
-            first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            at = at[(equal.sum(axis=1) >= least) & (first == band)]
+            # The first band of equal values, not of equal cuts of the signature, which can agree by chance.
+            first = (bands[at] == bands[k]).argmax(axis=1)
+            at = at[((sig[at] == sig[k]).sum(axis=1) >= least) & (first == band)]
             if missing[k] is not None:
                 at = np.array([m for m in at if missing[m] is None or reaches(k, m)], np.int64)
             out += zip(np.minimum(rep[at], rep[k]), np.maximum(rep[at], rep[k]))

@@ -134,6 +134,16 @@ def test_near_copies_without_ids_are_linked(spark):
     assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == Counter([(None, None, True), (None, None, False), (None, None, False), (7, 7, True), (None, 7, False)])
 
 
+def test_the_first_common_band_is_one_of_equal_values(spark):
+    # All cuts of the signatures agree, the values only in band 5.
+    sig, bands = bytes(2 * near_dedup.PLACES), lambda n: [77 if b == 5 else 1000 * n + b for b in range(near_dedup.BANDS)]
+    reps = spark.createDataFrame([(n, 1, n, 50, bands(n), bytearray(sig)) for n in (1, 2, 3)], "rep long, a long, b long, n long, bands array<long>, sig binary")
+    shared = spark.createDataFrame([(77, 5, n, 3, 30) for n in (1, 2, 3)], "key long, band int, rep long, centre long, members long")
+    labels, tried = spark.createDataFrame([], "id long, comp long"), spark.createDataFrame([], "a long, b long, linked boolean, missing array<long>, added array<long>")
+    found = near_dedup._across(shared, labels, reps, tried, 0.8).collect()
+    assert {(1, 2)} <= {(r.a, r.b) for r in found}
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.Generator(np.random.PCG64(1))
     for n in (3, 50, 2000):
