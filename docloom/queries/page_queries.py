@@ -61,7 +61,7 @@ def h25_h30_questions(spark, sf_dir):
 
 
 def h46_h48_markdown(spark, sf_dir):
-    md = F.concat(F.lit("intro [a](https://x.org/a)\n# One\n"), F.substring("text", 1, 200), F.lit("\n```\n# no\n{{hint:no}}\n```\n## Two\n{{hint: be careful }} and ![i](x.png) [m](mailto:x) [1]\n"))
+    md = F.concat(F.lit("intro [a](https://x.org/a)\n# One\n"), F.col("text"), F.lit("\n```\n# no\n{{hint:no}}\n```\n## Two\n{{hint: be careful }} and ![i](x.png) [m](mailto:x) [1]\n"))
     kind = pa.struct([("sections", pa.int64()), ("links", pa.string()), ("hints", pa.string())])
     judge = lambda t: {"sections": len(markdown.sections(t)), "links": "|".join(u for _, _, u in markdown.citations(t)), "hints": "|".join(f"{k}:{x}" for k, x, _ in markdown.hints(t))}
     rows = read(spark, sf_dir, "documents").select("doc_id", md.alias("md"))

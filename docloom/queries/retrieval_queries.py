@@ -133,7 +133,7 @@ def i15_i16_fitted_prompt(spark, sf_dir):
     """A conversation's turns with the documents of its id and the next ones, HIGH and LOW in turn."""
     t = turns(spark, sf_dir)
     said = t.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("index"), "role", "text", "tokens"))).alias("turns"))
-    d = corpus(spark, sf_dir).select("doc_id", "url", F.substring("text", 1, 900).alias("text"), estimated_tokens(F.substring("text", 1, 900)).alias("tokens"))
+    d = corpus(spark, sf_dir).select("doc_id", "url", "text", estimated_tokens(F.col("text")).alias("tokens"))
     near = d.select(F.explode(F.sequence(F.col("doc_id") - 3, F.col("doc_id"))).alias("id"), F.struct((F.col("doc_id")).alias("index"), "url", "text", "tokens", F.when(F.col("doc_id") % 2 == 0, "HIGH").otherwise("LOW").alias("priority")).alias("d"))
     docs = near.groupBy("id").agg(F.array_sort(F.collect_list("d")).alias("docs"))
     prompts = said.join(docs, "id").select("id", F.lit(100).cast("long").alias("system_tokens"), F.lit(50).cast("long").alias("query_tokens"), "docs", "turns")
