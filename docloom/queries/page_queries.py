@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docloom.functions import html, markdown, murmur
+from docloom.functions import html, markdown, murmur, urls
 from docloom.operators import sparse
 from docloom.plans import query_parse
 from docloom.sources import files
@@ -28,6 +30,14 @@ def a3_crawl(spark, sf_dir):
     return files.crawl(links, "https://site.example.org/1")
 
 
+def a3_page_crawl(spark, sf_dir):
+    """The links of the pages, from the first URL and within its origin."""
+    pages = read(spark, sf_dir, "pages")
+    start = pages.select(urls.without_fragment(F.col("url")).alias("url")).where("url LIKE 'http%://%'").agg(F.min("url")).first()[0]
+    links = html.page_links(pages).join(pages.select("page_id", urls.without_fragment(F.col("url")).alias("source")), "page_id")
+    return files.crawl(links.select("source", F.col("link").alias("target")), start, re.match("[a-z]+://[^/?#]*", start)[0])
+
+
 def h39h_mirror_paths(spark, sf_dir):
     u = F.regexp_replace(F.replace("url", F.lit("http://"), F.lit("https://")), r"#.*$", "")
     return read(spark, sf_dir, "pages").select("page_id", files.mirror_path(u).alias("path"), files.mirror_path(u, 1).alias("cut_path"))
@@ -78,4 +88,4 @@ SQL = {
     "d17_distinct_hosts": "SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages",
 }
 
-QUERIES = {name: globals()[name] for name in ["a10_a11_page_links", "h40_b9_page_texts", *SQL, "h7_term_indexes", "h25_h30_questions", "h46_h48_markdown"]}
+QUERIES = {name: globals()[name] for name in ["a10_a11_page_links", "h40_b9_page_texts", *SQL, "h7_term_indexes", "h25_h30_questions", "h46_h48_markdown", "a3_page_crawl"]}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import drop_control_characters
-from docloom.functions.urls import language_of_file
+from docloom.functions.urls import in_crawl_boundary, language_of_file
 
 # Endings of documents, directories that hold no sources, and sizes.
 DOCUMENTS = r"(?i)\.(html|htm|pdf)$"
@@ -122,17 +122,17 @@ def read_lessons(spark: SparkSession, path: str, official: DataFrame) -> DataFra
     return lessons.withColumnRenamed("sourceReferences", "doc_sets")
 
 
-def crawl(links: DataFrame, start: str, most_levels: int = 50) -> DataFrame:
-    """(url, level): pages that links (source, target) reach from start, with their distance, by one join a level; each level is checkpointed."""
+def crawl(links: DataFrame, start: str, root: str | None = None) -> DataFrame:
+    """(url, level): pages that links (source, target) reach from start, with their distance, by one join a level until none is new; each level is checkpointed. With a root, only targets within its crawl boundary."""
     spark = links.sparkSession
-    edges = links.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
-    seen = spark.createDataFrame([(start, 0)], "url string, level int")
-    level = 0
-    while level < most_levels:
+    edges = links.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL")
+    edges = (edges.where(in_crawl_boundary(F.col("target"), root)) if root else edges).distinct().checkpoint()
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen, level = spark.createDataFrame([(start, 0)], "url string, level int"), 0
+    while True:
         frontier = seen.where(F.col("level") == level)
         found = edges.join(frontier, edges["source"] == frontier["url"]).select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
         found = found.withColumn("level", F.lit(level + 1)).checkpoint()
         if found.isEmpty():
-            break
-        seen, level = seen.unionByName(found).checkpoint(), level + 1
-    return seen
+            return seen
+        seen, level = seen.unionByName(found).coalesce(most).checkpoint(), level + 1
