@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode without it."""
+    """The folder that the cluster names in spark.checkpoint.dir; in local mode without it, as in tests, a temporary one."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -39,6 +40,83 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class scratch:
+    """Tables that one operator needs only while it works: `with scratch(spark, name) as settle` writes them into a folder that goes at the end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, new_folder(spark, name), {}
+
+    def __enter__(self) -> scratch:
+        return self
+
+    def __call__(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", compression).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, tables: Iterable[DataFrame]) -> None:
+        """Tables that nothing will read again."""
+        for df in tables:
+            delete(self.spark, self.paths.pop(id(df))[1])
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bits of the filter of apart() for each key, and at most: 2**19 rows of four numbers, some 50 MB.
+KEY_BITS, FILTER_BITS = 16, 27
+
+
+def apart(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs as two tables: rows whose key is not among keys (one long column), and the others, with few that are not either.
+
+    The keys are marked in a bitmap of bounded size, which is broadcast, so the first table passes without a shuffle and only the second has to
+    meet the keys. More keys than the bitmap is made for send more rows the second way; each row comes out once at any size.
+    """
+    keys = keys.toDF("key")
+    bits = min(FILTER_BITS, max(10, (KEY_BITS * keys.count()).bit_length()))
+    spread = lambda k: F.shiftrightunsigned(F.xxhash64(k, F.lit(bits)), 64 - bits)
+    at = spread(F.col("key"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    quarter = lambda a: F.shiftright(a, 6).bitwiseAND(F.lit(3))
+    marks = keys.groupBy(F.shiftright(at, 8).alias("__at")).agg(*(F.coalesce(F.bit_or(F.when(quarter(at) == i, one)), F.lit(0).cast("long")).alias(f"__bits{i}") for i in range(4)))
+    marks = settle(marks, "marks")
+    place = spread(key)
+    word = F.when(quarter(place) == 0, F.col("__bits0")).when(quarter(place) == 1, F.col("__bits1")).when(quarter(place) == 2, F.col("__bits2")).otherwise(F.col("__bits3"))
+    marked = F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = docs.join(F.broadcast(marks), F.shiftright(place, 8) == marks["__at"], "left")
+    columns = [docs[c] for c in docs.columns]
+    return met.where(F.coalesce(~marked, F.lit(True))).select(*columns), met.where(marked).select(*columns)
+
+
+def row_key(doc_id: Column, sha: Column) -> Column:
+    """A row's key for apart(): by its id, or without one by its text's hash, which is only made then."""
+    return F.when(doc_id.isNull(), F.xxhash64(sha)).otherwise(F.xxhash64(doc_id.cast("string")))
+
+
+def drop_rows(docs: DataFrame, sha: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the rows of dropped, and with one of each of repeated: settled tables of (dropped_id, dropped_sha).
+
+    sha: the hash of a row's text that they hold. It is made only for rows that may be among them, and for rows without an id.
+    """
+    own_key = row_key(F.col("dropped_id"), F.col("dropped_sha"))
+    free, others = apart(docs, row_key(docs["doc_id"], sha), dropped.select(own_key).unionByName(repeated.select(own_key)).toDF("key"))
+    others = others.withColumn("__sha", sha)
+    among = lambda rows, table: rows["doc_id"].eqNullSafe(table["dropped_id"]) & (rows["__sha"] == table["dropped_sha"])
+    others = others.join(dropped, among(others, dropped), "left_anti")
+    if not repeated.isEmpty():
+        one = others.join(repeated, among(others, repeated), "left_semi").dropDuplicates(["doc_id", "__sha"])
+        others = others.join(repeated, among(others, repeated), "left_anti").unionByName(one)
+    return free.unionByName(others.drop("__sha"))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; Spark's lower() would change other letters too."""
     return F.translate(text, UPPER, UPPER.lower())
