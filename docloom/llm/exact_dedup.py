@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, settle
+from .shared import ascii_lower, drop_rows, scratch, settle
 
 BLOCK_BYTES = 32768
 #: Names are numbers within ranges of the hash: 2**RANGE_BITS ranges of 2**(63 - RANGE_BITS) names.
@@ -31,10 +31,10 @@ def _numbered(keys: DataFrame, order: list[str]) -> DataFrame:
     return slotted.withColumn("name", F.shiftleft("slot", 63 - RANGE_BITS) + rank).drop("slot")
 
 
-def _name_blocks(blocks: DataFrame) -> DataFrame:
+def _name_blocks(blocks: DataFrame, work: scratch) -> DataFrame:
     """(doc, pos, blocks, n, name) for settled (doc, pos, blocks, h, block)."""
     contents = blocks.select("h", "block").distinct()
-    routes = settle(contents.groupBy("h").agg(F.count(F.lit(1)).alias("contents")), "block-routes")
+    routes = work(contents.groupBy("h").agg(F.count(F.lit(1)).alias("contents")), "block-routes")
     parts = blocks.select("doc", "pos", "blocks", F.lit(1).cast("long").alias("n"), "h")
     names = _numbered(routes.where("contents = 1").select("h"), [])
     named = parts.join(names, "h").drop("h")
@@ -48,10 +48,10 @@ def _name_blocks(blocks: DataFrame) -> DataFrame:
     return named.unionByName(whole.join(apart, ["h", "block"]).drop("h", "block"))
 
 
-def _name_pairs(parts: DataFrame) -> DataFrame:
+def _name_pairs(parts: DataFrame, work: scratch) -> DataFrame:
     """One level up: half the positions, each with the name of a pair. A last name without a neighbour is paired with 0."""
     even = F.col("pos") % 2 == 0
-    pairs = settle(
+    pairs = work(
         parts.groupBy("doc", F.shiftright("pos", 1).alias("pos"), F.ceil(F.col("blocks") / 2).cast("int").alias("blocks")).agg(
             F.max(F.when(even, F.col("name"))).alias("a"),
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(0)).alias("b"),
@@ -63,24 +63,25 @@ def _name_pairs(parts: DataFrame) -> DataFrame:
     return pairs.join(_numbered(keys, ["a", "b"]).drop("h"), ["a", "b"]).drop("a", "b")
 
 
-def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES, route: Callable[..., Column] = F.xxhash64) -> DataFrame:
+def block_names(texts: DataFrame, work: scratch, block_bytes: int = BLOCK_BYTES, route: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """(doc, level, name, n) for (doc, data): docs have equal level and name if and only if their data are equal.
 
-    doc: a key that rows share only if their data are equal; n: the number of its rows. data: binary, not null.
+    doc: a key that rows share only if their data are equal; n: the number of its rows. data: binary, not null. The result reads tables of work.
     route: the hash by which blocks are dealt; any function gives the same classes.
     """
     count = F.greatest(F.lit(1), F.ceil(F.length("data") / block_bytes)).cast("int")
     cut = texts.select("doc", "data", count.alias("blocks"), F.explode(F.sequence(F.lit(0), count - 1)).alias("pos"))
     block = F.substring("data", F.col("pos") * block_bytes + 1, F.lit(block_bytes))
-    blocks = settle(cut.select("doc", "pos", "blocks", block.alias("block")).withColumn("h", route("block")), "blocks")
-    parts, done, level = settle(_name_blocks(blocks), "names-0"), [], 0
+    blocks = work(cut.select("doc", "pos", "blocks", block.alias("block")).withColumn("h", route("block")), "blocks")
+    parts, done, level = work(_name_blocks(blocks, work), "names-0"), [], 0
+    work.drop([blocks])
     while True:
         done.append(parts.where("blocks = 1").select("doc", F.lit(level).alias("level"), "name", "n"))
         parts = parts.where("blocks > 1")
         if parts.isEmpty():
             break
         level += 1
-        parts = settle(_name_pairs(parts), f"names-{level}")
+        parts = work(_name_pairs(parts, work), f"names-{level}")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -97,7 +98,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     data = F.coalesce(ascii_lower(F.col(text)), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("id"), data.alias("data"))
     rows = rows.select(F.struct("id", F.sha2("data", 256).alias("sha")).alias("doc"), F.col("data").cast("binary").alias("data"))
-    named = settle(block_names(rows, block_bytes, route), "doc-names")
+    with scratch(docs.sparkSession, "blocks") as work:
+        named = settle(block_names(rows, work, block_bytes, route), "doc-names")
     # Written first, so that in the join a name of very many documents can be split.
     groups = settle(named.groupBy("level", "name").agg(F.max("doc.id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     each = named.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
@@ -112,15 +114,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) that exact_dedup keeps; of rows that repeat an id and a text, one of them."""
-    dropped = settle(exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha"), "copy"), "dropped")
-    copies, repeats = dropped.where("copy = 1"), dropped.where("copy > 1").select("dropped_id").distinct()
-    same_id = docs["doc_id"].eqNullSafe(copies["dropped_id"])
-    # Of rows of one id, those with the dropped text; a range, so that only rows with a dropped id are hashed again.
+    """The rows of docs (doc_id, text and any others) that exact_dedup keeps; of rows that repeat an id and a text, one of them. Texts are not shuffled but of rows that may be dropped."""
+    gone = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha"), "copy")
+    gone = settle(gone, "dropped")
+    dropped = gone.where("copy = 1").drop("copy")
     sha = F.sha2(F.coalesce(ascii_lower(docs["text"]), F.lit("")), 256)
-    out = docs.join(copies, same_id & sha.between(copies["dropped_sha"], copies["dropped_sha"]), "left_anti")
-    if repeats.isEmpty():
-        return out
-    again = out["doc_id"].eqNullSafe(repeats["dropped_id"])
-    folded = out.join(repeats, again, "left_semi").withColumn("__folded", F.coalesce(ascii_lower(F.col("text")), F.lit("")))
-    return out.join(repeats, again, "left_anti").unionByName(folded.dropDuplicates(["doc_id", "__folded"]).drop("__folded"))
+    return drop_rows(docs, sha, dropped, settle(gone.where("copy > 1").drop("copy").distinct(), "repeated"))
