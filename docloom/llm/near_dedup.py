@@ -14,7 +14,7 @@ Every candidate whose signatures do not rule it out is confirmed on the full shi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle
+from .shared import apart, drop_rows, row_key, scratch, settle
 from .words import GOLDEN, PLACE, U, Words, grams, mixed, text_slices
 
 BANDS, ROWS = 32, 4
@@ -145,7 +145,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return joined.mapInArrow(judge, "a long, b long, linked boolean, missing array<long>, added array<long>")
 
 
-def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFrame, similarity: float, settle: Callable[[DataFrame, str], DataFrame] = settle) -> DataFrame:
     """Pairs (a, b), a < b, of nodes that share a bucket but no group yet."""
     entries = shared.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", "band", "rep", "centre", "members", F.coalesce("comp", "rep").alias("comp"))
     several = entries.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
@@ -208,12 +208,12 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, tried: DataFr
     return small.unionByName(dealt.groupBy("key", "low", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
 
 
-def _one_id(signed: DataFrame, reps: DataFrame) -> DataFrame:
+def _one_id(signed: DataFrame, reps: DataFrame, work: scratch) -> DataFrame:
     """Links (a, b) between the nodes of an id that repeats with other sets."""
     own = F.struct("a", "b", "n")
     repeated = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(own) < F.max(own)).alias("several")).where("several").select("doc_id")
     ids = signed.join(repeated, "doc_id").select("doc_id", "a", "b", "n")
-    nodes = settle(ids.join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).select("doc_id", "rep").distinct(), "nodes-of-ids")
+    nodes = work(ids.join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).select("doc_id", "rep").distinct(), "nodes-of-ids")
     return nodes.join(nodes.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
 
 
@@ -226,46 +226,43 @@ def _sha(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Of _keyed rows: signed rows; ids that are null or repeat; nodes, which are numbered sets with their first row's id and sha; links (a, b) of nodes."""
+def _linked(rows: DataFrame, words: int, percent: int, work: scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of _keyed rows: signed rows; ids that are null or repeat; nodes, which are numbered sets with their first row's id and sha; links (a, b) of nodes. All are tables of work."""
     similarity = percent / 100
-    signed = settle(rows.select("doc_id", "text", "sha").mapInArrow(_signer(words), "doc_id long, sha binary, n long, a long, b long, bands array<long>, sig binary"), "signed")
-    odd = settle(signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("doc_id IS NULL OR times > 1").select(F.col("doc_id").alias("odd_id")), "odd-ids")
+    signed = work(rows.select("doc_id", "text", "sha").mapInArrow(_signer(words), "doc_id long, sha binary, n long, a long, b long, bands array<long>, sig binary"), "signed")
+    odd = work(signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("doc_id IS NULL OR times > 1").select(F.col("doc_id").alias("odd_id")), "odd-ids")
     # Nodes: sets by a fingerprint of 128 bits over all their shingles, and their number. A set's first row is the one of the smallest id, without an id the last.
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("first_id"), F.col("sha").alias("first_sha"))
     sets = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(first).alias("first"), F.first(F.struct("bands", "sig")).alias("s"))
-    reps = settle(sets.select("a", "b", "n", F.monotonically_increasing_id().alias("rep"), "first", "s.bands", "s.sig"), "nodes")
+    reps = work(sets.select("a", "b", "n", F.monotonically_increasing_id().alias("rep"), "first", "s.bands", "s.sig"), "nodes")
     entries = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = settle(entries.join(buckets, "key"), "buckets")
-    texts = settle(_texts(rows, reps.join(shared.select("rep").distinct(), "rep").select("rep", "first.first_id", "first.first_sha"), odd), "texts")
+    shared = work(entries.join(buckets, "key"), "buckets")
+    in_buckets = work(reps.join(shared.select("rep").distinct(), "rep").select("rep", "first.first_id", "first.first_sha"), "in-buckets")
+    texts = work(_texts(rows, in_buckets, odd), "texts")
     # The bucket's centre, which in a group of variants is the one nearest to all: every other member is tried against it.
     degrees = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
     centres = shared.join(degrees, "rep").groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"))).alias("m")).select("key", (-F.col("m.col2")).alias("centre"))
-    centred = settle(shared.join(centres, "key"), "centred")
-    stars = settle(centred.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    tried = settle(_confirmed(_alike(stars, reps, similarity), texts, words, percent), "star-links")
+    centred = work(shared.join(centres, "key"), "centred")
+    stars = work(centred.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    tried = work(_confirmed(_alike(stars, reps, similarity), texts, words, percent), "star-links")
     links = tried.where("linked").select("a", "b")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _across(centred, components(links), reps, tried, similarity).join(done, ["a", "b"], "left_anti")
-    more = settle(_confirmed(_alike(rest, reps, similarity), texts, words, percent).where("linked").select("a", "b"), "links")
+    rest = _across(centred, components(links, work), reps, tried, similarity, work).join(done, ["a", "b"], "left_anti")
+    more = work(_confirmed(_alike(rest, reps, similarity), texts, words, percent).where("linked").select("a", "b"), "links")
     return signed, odd, reps, links.unionByName(more)
 
 
 def _texts(rows: DataFrame, nodes: DataFrame, odd: DataFrame) -> DataFrame:
-    """(rep, text): one text of each of nodes (rep, first_id, first_sha)."""
-    if odd.isEmpty():
-        return rows.join(nodes, rows["doc_id"] == nodes["first_id"]).select("rep", "text")
-    is_odd = nodes["first_id"].eqNullSafe(odd["odd_id"])
-    plain, several = nodes.join(odd, is_odd, "left_anti").select("rep", "first_id"), nodes.join(odd, is_odd, "left_semi")
-    by_id = rows.join(plain, rows["doc_id"] == plain["first_id"]).select("rep", "text")
-    by_text = rows.join(several, rows["doc_id"].eqNullSafe(several["first_id"]) & (rows["sha"] == several["first_sha"])).select("rep", "text")
-    return by_id.unionByName(by_text.dropDuplicates(["rep"]))
+    """(rep, text): one text of each of nodes (rep, first_id, first_sha). Only texts of these are shuffled."""
+    _, met = apart(rows, row_key(rows["doc_id"], rows["sha"]), nodes.select(row_key(F.col("first_id"), F.col("first_sha"))))
+    found = met.join(nodes, met["doc_id"].eqNullSafe(nodes["first_id"]) & (met["sha"] == nodes["first_sha"])).select("rep", "text")
+    return found if odd.isEmpty() else found.dropDuplicates(["rep"])
 
 
-def _components(reps: DataFrame, links: DataFrame) -> DataFrame:
+def _components(reps: DataFrame, links: DataFrame, work: scratch) -> DataFrame:
     """(a, b, n, comp, first) of each node: its component's number and its first row."""
-    labels = components(links)
+    labels = components(links, work)
     return reps.select("a", "b", "n", "rep", "first").join(labels, reps["rep"] == labels["id"], "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"), "first")
 
 
@@ -278,39 +275,34 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     Rows of one id are one node. Rows without an id are nodes by their texts: they link like others, and one of a component is
     kept only if no row of it has an id. doc_id is an integer; an empty table gives no rows.
     """
-    signed, _, reps, links = _linked(_keyed(docs, doc_id, text), words, percent)
-    of_set = settle(_components(reps, links.unionByName(_one_id(signed, reps))), "components")
-    firsts = settle(of_set.groupBy("comp").agg(F.min("first").alias("top")), "firsts")
-    of_set = of_set.join(firsts, "comp").select("a", "b", "n", "top")
-    known = signed.where("doc_id IS NOT NULL").select("doc_id", "n", "a", "b").join(of_set, ["a", "b", "n"], "left")
-    component = F.coalesce("top.first_id", "doc_id")
-    out = known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-    # Rows without an id and of one text are counted, so that one of them can be told from the others.
-    nameless = signed.where("doc_id IS NULL").groupBy("sha", "n", "a", "b").agg(F.count(F.lit(1)).alias("times")).join(of_set, ["a", "b", "n"], "left")
-    nameless = nameless.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    alone = (F.col("n") == 0) | (F.col("top.no_id") & (F.col("sha") == F.col("top.first_sha")) & (F.col("copy") == 1))
-    return out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("top.first_id").alias("component_id"), alone.alias("kept")))
+    with scratch(docs.sparkSession, "near-copies") as work:
+        signed, _, reps, links = _linked(_keyed(docs, doc_id, text), words, percent, work)
+        of_set = work(_components(reps, links.unionByName(_one_id(signed, reps, work)), work), "of-set")
+        firsts = work(of_set.groupBy("comp").agg(F.min("first").alias("top")), "firsts")
+        of_set = of_set.join(firsts, "comp").select("a", "b", "n", "top")
+        known = signed.where("doc_id IS NOT NULL").select("doc_id", "n", "a", "b").join(of_set, ["a", "b", "n"], "left")
+        component = F.coalesce("top.first_id", "doc_id")
+        out = known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        # Rows without an id and of one text are counted, so that one of them can be told from the others.
+        nameless = signed.where("doc_id IS NULL").groupBy("sha", "n", "a", "b").agg(F.count(F.lit(1)).alias("times")).join(of_set, ["a", "b", "n"], "left")
+        nameless = nameless.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        alone = (F.col("n") == 0) | (F.col("top.no_id") & (F.col("sha") == F.col("top.first_sha")) & (F.col("copy") == 1))
+        nameless = nameless.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("top.first_id").alias("component_id"), alone.alias("kept"))
+        return settle(out.unionByName(nameless), "near-copies")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any others) with one row of each group, the one of the smallest doc_id. Each row is judged by its own text, whether its id is null, repeated or neither."""
-    signed, odd, reps, links = _linked(_keyed(docs), 5, 80)
-    kept = settle(_components(reps, links).groupBy("comp").agg(F.min("first").alias("top")).select("top.first_id", "top.first_sha"), "kept")
-    shingled = signed.where("n > 0").select("doc_id", "sha")
-    is_kept = shingled["doc_id"].eqNullSafe(kept["first_id"]) & (shingled["sha"] == kept["first_sha"])
-    dropped = shingled.join(kept, is_kept, "left_anti").select(F.col("doc_id").alias("dropped_id"), F.col("sha").alias("dropped_sha")).distinct()
-    if odd.isEmpty():
-        dropped = settle(dropped.select("dropped_id"), "near-copies")
-        return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
-    dropped = settle(dropped, "near-copies")
-    is_odd = dropped["dropped_id"].eqNullSafe(odd["odd_id"])
-    plain, several = dropped.join(odd, is_odd, "left_anti").select("dropped_id"), dropped.join(odd, is_odd, "left_semi")
-    out = docs.join(plain, docs["doc_id"] == plain["dropped_id"], "left_anti")
-    out = out.join(several, out["doc_id"].eqNullSafe(several["dropped_id"]) & (_sha(out["text"]) == several["dropped_sha"]), "left_anti")
-    # Of rows that repeat an id and a text, one.
-    again = settle(shingled.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("doc_id").alias("again_id"), F.col("sha").alias("again_sha")), "again")
-    if again.isEmpty():
-        return out
-    is_again = out["doc_id"].eqNullSafe(again["again_id"]) & (_sha(out["text"]) == again["again_sha"])
-    one = out.join(again, is_again, "left_semi").withColumn("__sha", _sha(F.col("text"))).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
-    return out.join(again, is_again, "left_anti").unionByName(one)
+    """docs (doc_id, text and any others) with one row of each group, the one of the smallest doc_id. Each row is judged by its own text, whether its id is null, repeated or neither.
+
+    Texts are read whole in their tasks; of the rows that stay, only those that may be among the dropped ones are shuffled.
+    """
+    with scratch(docs.sparkSession, "near-copies") as work:
+        signed, _, reps, links = _linked(_keyed(docs), 5, 80, work)
+        kept = work(_components(reps, links, work).groupBy("comp").agg(F.min("first").alias("top")).select("top.first_id", "top.first_sha"), "kept")
+        rows = work(signed.where("n > 0").groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("times")), "rows")
+        is_kept = rows["doc_id"].eqNullSafe(kept["first_id"]) & (rows["sha"] == kept["first_sha"])
+        names = [F.col("doc_id").alias("dropped_id"), F.col("sha").alias("dropped_sha")]
+        dropped = settle(rows.join(kept, is_kept, "left_anti").select(*names), "dropped")
+        # Of rows that repeat an id and a text, one.
+        repeated = settle(rows.where("times > 1").join(kept, is_kept, "left_semi").select(*names), "repeated")
+    return drop_rows(docs, _sha(docs["text"]), dropped, repeated)
