@@ -15,7 +15,7 @@ REMOVED = ["nav", "header", "footer", ".navigation", ".nav", ".navbar", ".sideba
 CONTENT = ["main", "article", ".content-container", ".main-content", ".documentation", ".doc-content", "#content", ".block", ".description", ".detail", ".summary"]
 NOISE = ["JavaScript is disabled", "Skip navigation links", "Hide sidebar", "Show sidebar", "Report a bug", "suggest an enhancement", "Other versions", "Use is subject to license terms", "Scripting on this page tracks", "but does not change the content"]
 MIN_CONTENT, MIN_INLINE, SHORT_LINE, MOST_NOISE = 500, 20, 3, 3
-ERROR_TITLES = {"403 forbidden", "404 not found", "404 page not found", "500 internal server error", "502 bad gateway", "503 service unavailable", "page not found", "access denied"}
+ERROR_TITLES = {"access denied", "403 forbidden", "404 not found", "page not found"}
 CHALLENGE_TITLE = "just a moment..."
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -222,20 +222,41 @@ def clean_text(html: str | None) -> str:
 
 def rejection(html: str | None) -> str | None:
     """Why a page is no document, or None: a challenge page, a CDN's or server's error page, or an empty body."""
+    return page_facts(html)[1]
+
+
+def page_facts(html: str | None) -> tuple[str, str | None]:
+    """(text, rejection) of a page that is parsed once."""
     root = parse(html)
-    first = lambda *s: next(iter(root.find(*s)), None)
-    text = lambda x: lower(x.text()) if x is not None else ""
-    title, noindex = text(first("title")), any("noindex" in [d.strip() for d in lower(m.attributes.get("content", "")).split(",")] for m in root.find("meta") if lower(m.attributes.get("name", "")) == "robots")
-    scripts = " ".join(s.attributes.get("src", "") + s.whole_text() for s in root.find("script"))
-    if title == CHALLENGE_TITLE and ("challenge-platform" in scripts or "_cf_chl" in scripts):
-        return "challenge structure"
-    if first("#cf-error-details", ".cf-error-details") is not None:
-        return "CDN error structure"
-    if title in ERROR_TITLES and (title == text(first("h1")) or noindex and title == text(first("h2"))):
-        return "error page structure"
-    if not clean_text(html):
-        return "empty body text"
-    return None
+    text_of = lambda x: lower(x.text().strip()) if x is not None else ""
+
+    def heading(*paths: tuple[str, ...]) -> str:
+        """Of the first h1 whose parents up to the body are those of a path."""
+        for x in root.find("h1"):
+            above, at = [], x.parent
+            while at is not None and at.tag != "body":
+                above.append(at.tag)
+                at = at.parent
+            if at is not None and tuple(above) in paths:
+                return text_of(x)
+        return ""
+
+    title = text_of(next(iter(root.find("title")), None))
+    robots = [m for m in root.find("meta") if m.attributes.get("name") == "robots" and m.parent is not None and m.parent.tag == "head"]
+    noindex = any("noindex" in [d.strip() for d in lower(m.attributes.get("content", "")).split(",")] for m in robots)
+    script = any("/cdn-cgi/challenge-platform/" in s.attributes.get("src", "") for s in root.find("script"))
+    stage = root.find("#challenge-stage", "#cf-chl-widget") or [x for x in root.find("#challenge-form") if x.tag == "form"]
+    code = any(c.find(".cf-error-code") for c in root.find("#cf-error-details"))
+    error = title in ERROR_TITLES and (title == heading((), ("center",)) or noindex and title == heading(("main",)))
+    root.remove(*REMOVED)
+    text = without_noise(structured_text(main_content(root) or next(iter(root.find("body")), root)))
+    if title == CHALLENGE_TITLE and script and stage:
+        return text, "challenge structure"
+    if code:
+        return text, "CDN error structure"
+    if error:
+        return text, "error page structure"
+    return text, None if text else "empty body text"
 
 
 def page_sections(html: str | None) -> list[tuple[str, str]]:
@@ -270,6 +291,6 @@ def page_links(pages: DataFrame, key: str = "page_id", html: str = "html", url:
 
 def page_texts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, text, rejection)."""
-    both = lambda h: {"text": clean_text(h), "rejection": rejection(h)}
+    both = lambda h: dict(zip(("text", "rejection"), page_facts(h)))
     out = map_pages(pages, key, [html], both, "page", pa.struct([("text", pa.string()), ("rejection", pa.string())]), "struct<text string, rejection string>".replace(" string", ":string"))
     return out.select(key, "page.*")

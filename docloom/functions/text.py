@@ -63,12 +63,12 @@ def cut_with_ellipsis(x: Column, most: int) -> Column:
 
 
 def failure_details(x: Column, most: int = 240) -> Column:
-    """On one line, cut with three dots."""
-    flat = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\r\n]+", " "))
+    """On one line (each line end is a blank), cut with three dots."""
+    flat = F.regexp_replace(F.translate(F.coalesce(x, F.lit("")), "\r\n", "  "), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat)
 
 
-def truncated(x: Column, tokens: int, notice: str = "\n\n[Content truncated]") -> Column:
+def truncated(x: Column, tokens: int, notice: str = "\n[...content truncated for token limits...]") -> Column:
     """(text, truncated, original_length): cut at four characters a token, back to the last full stop or line end if that is in the last fifth."""
     most = tokens * 4
     head = F.substring(x, 1, most)

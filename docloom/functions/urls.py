@@ -21,6 +21,10 @@ DOCUMENTATION_ENDINGS = [".md", ".txt", ".rst", ".html", ".htm"]
 CONFIGURATION_ENDINGS = [".xml", ".yml", ".yaml", ".json", ".toml", ".gradle", ".kts", ".properties", ".css", ".scss"]
 
 
+# The site whose API pages have a needless directory, and their path.
+SPRING, SPRING_API = "https://docs.spring.io/", "/spring-framework/docs/current/javadoc-api/"
+
+
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
@@ -46,10 +50,12 @@ def doc_type_of_file(name: Column) -> Column:
 
 
 def canonical_doc_url(url: Column) -> Column:
-    """Without doubled API path segments, and with single slashes after the scheme."""
+    """Without doubled API path segments, on one site without a module's, and with single slashes after the scheme."""
     x = F.replace(F.replace(url, F.lit("/docs/api/api/"), F.lit("/docs/api/")), F.lit("/api/api/"), F.lit("/api/"))
-    x = F.replace(x, F.lit("/javadoc-api/java/"), F.lit("/javadoc-api/"))
-    return F.concat(F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9+.-]*://)?", 0), F.regexp_replace(F.regexp_replace(x, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), "/+", "/"))
+    x = F.when(x.contains(SPRING), F.replace(x, F.lit(f"{SPRING_API}java/"), F.lit(SPRING_API))).otherwise(x)
+    at = F.locate("://", x)
+    start = F.when(at > 0, at + 2).otherwise(0)
+    return F.concat(F.substring(x, F.lit(1), start), F.regexp_replace(F.substring(x, start + 1, F.length(x)), "/+", "/"))
 
 
 def citation_type(url: Column) -> Column:
@@ -109,28 +115,53 @@ def collection_segment(x: Column) -> Column:
     """For collection names: a-z, 0-9 and hyphens, with part of a hash if that loses something."""
     low = F.lower(x)
     plain = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(plain == x, plain).otherwise(F.concat(plain, F.lit("-h"), F.substring(F.sha2(x, 256), 1, 12)))
+    return F.when(plain == x, plain).otherwise(F.concat(plain, F.lit("-h"), F.substring(F.sha2(x, 256), 1, 8)))
 
 
-def license_of(first_line: Column) -> Column:
-    """By the first line of a license file; the order decides."""
-    x = F.upper(F.coalesce(first_line, F.lit("")))
-    has = lambda pattern: x.rlike(pattern)
-    return (
-        F.when(has("MIT"), "MIT").when(has("APACHE.*2"), "Apache-2.0").when(has("GPL.*3"), "GPL-3.0").when(has("GPL.*2"), "GPL-2.0")
-        .when(has("LGPL"), "LGPL").when(has("BSD.*3"), "BSD-3-Clause").when(has("BSD.*2"), "BSD-2-Clause").when(has("MPL|MOZILLA"), "MPL-2.0").otherwise("unknown")
-    )
+# What the first line of a license file has, in this order and as written, and the license that it stands for.
+LICENSES = [
+    ("%MIT%", "MIT"), ("%Apache%2%", "Apache-2.0"), ("%GPL%3%", "GPL-3.0"), ("%GPL%2%", "GPL-2.0"), ("%BSD%3%", "BSD-3-Clause"), ("%BSD%2%", "BSD-2-Clause"), ("%ISC%", "ISC"),
+    ("%MPL%2%", "MPL-2.0"), ("%LGPL%", "LGPL-3.0"), ("%AGPL%", "AGPL-3.0"), ("%Unlicense%", "Unlicense"),
+]
+# The roots of registered API pages.
+JAVA_API_ROOTS = ["https://docs.oracle.com/en/java/javase/21/docs/api/", "https://docs.oracle.com/en/java/javase/24/docs/api/", "https://docs.oracle.com/en/java/javase/25/docs/api/"]
+PACKAGE = r"^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*$"
 
 
-def java_package_of_url(url: Column) -> Column:
-    """The dotted package of an API page: the lower-case directories after the API root and module; empty unless there are two."""
-    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"/api/(?:[a-z]+(?:\.[a-z]+)+/)?([^?#]*)/[^/]*$", 1)
-    package = F.translate(path, "/", ".")
-    return F.when(package.rlike(r"^[a-z_$][A-Za-z0-9_$]*(\.[a-z_$][A-Za-z0-9_$]*)+$"), package).otherwise("")
-
-
-def java_package_of_source(text: Column) -> Column:
-    return F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
+def license_of(first_line: Column) -> Column:
+    """By the first line of a license file, whose case counts; empty if it says nothing known."""
+    found = F.lit(None).cast("string")
+    for pattern, name in LICENSES[::-1]:
+        found = F.when(F.coalesce(first_line, F.lit("")).like(pattern), name).otherwise(found)
+    return F.coalesce(found, F.lit(""))
+
+
+def java_package_of_url(url: Column, roots: list[str] | None = None) -> Column:
+    """The package of a page below a registered API root: the directories after the module, joined by dots; empty unless there are two."""
+    plain, rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""), F.lit("")
+    for root in roots or JAVA_API_ROOTS:
+        rest = F.when(F.lower(F.substring(plain, 1, len(root))) == root.lower(), F.substring(plain, F.lit(len(root) + 1), F.length(plain))).otherwise(rest)
+    parts = F.split(rest, "/")
+    page = F.array_position(F.transform(parts, lambda p: p.endswith(".html")), True).cast("int")
+    end = F.when(page > 0, page - 1).otherwise(F.size(parts))
+    below = F.filter(F.slice(parts, F.lit(2), F.greatest(end - 1, F.lit(0))), lambda p: F.trim(p) != "")
+    package = F.array_join(below, ".")
+    return F.when(package.rlike(PACKAGE) & package.contains("."), package).otherwise("")
+
+
+def java_package_of_text(text: Column) -> Column:
+    """Of a page's text: the first word that begins with java. in the 100 characters from its first "Package " on; empty if it is no package name."""
+    at = F.locate("Package ", F.coalesce(text, F.lit("")))
+    words = F.split(F.substring(text, at, F.lit(100)), r"\s+")
+    first = F.get(F.filter(words, lambda w: F.lower(w).startswith("java.")), 0)
+    name = F.regexp_replace(first, "[,.;]$", "")
+    return F.when((at > 0) & name.rlike(PACKAGE), name).otherwise("")
+
+
+def java_package(url: Column, text: Column, roots: list[str] | None = None) -> Column:
+    """By the URL, else by the page's text."""
+    of_url = java_package_of_url(url, roots)
+    return F.when(of_url != "", of_url).otherwise(java_package_of_text(text))
 
 
 def in_crawl_boundary(url: Column, root: str) -> Column:

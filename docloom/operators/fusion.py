@@ -22,45 +22,46 @@ def reciprocal_rank_fusion(rankings: Iterable[DataFrame], by: list[str], key: st
 
 
 def best_by_point(points: DataFrame, by: list[str], key: str, collection: Column) -> DataFrame:
-    """One row per point: the strictly highest score, ties to the first collection."""
-    order = W.partitionBy(*by, key).orderBy(F.col("score").desc(), collection)
-    return points.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """One row per point: the strictly highest score, ties to the first collection. Map-side aggregation, so a point of many collections is no hot key."""
+    best = F.min_by(F.struct(*points.columns), F.struct((-F.col("score")).alias("down"), collection.alias("collection")))
+    return points.groupBy(*by, key).agg(best.alias("__best")).select("__best.*")
 
 
 def first_seen(rows: DataFrame, version: str, content_hash: str, url: Column, *order: str) -> DataFrame:
-    """The first row of each (version, hash); without a hash, of each URL; rows with neither are all kept."""
+    """The first row of each (version, hash); without a hash, of each URL; rows with neither are all kept. Map-side aggregation, so a frequent text is no hot key."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     key = F.when(~blank(F.col(content_hash)), F.concat_ws("\0", F.lit("h"), F.coalesce(version, F.lit("")), content_hash)).when(~blank(url), F.concat_ws("\0", F.lit("u"), url))
     keyed = rows.withColumn("__key", key)
-    first = keyed.where("__key IS NOT NULL").withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(*order))).where("__n = 1").drop("__n")
-    return first.unionByName(keyed.where("__key IS NULL")).drop("__key")
+    first = keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__row")).select("__row.*")
+    return first.unionByName(keyed.where("__key IS NULL").drop("__key"))
 
 
 def version_coverage(ordered: list[dict], requested: list[str], limit: int) -> list[dict]:
-    """The first `limit` rows with every requested version that any row has.
+    """The first `limit` rows with every requested version.
 
     Each missing version's first row is appended if there is room; else it takes the place of the last row that is not needed: one
-    of a version not requested, or of a version with several rows.
+    of a version not requested, or of a version with several rows. A version that no row has, and a limit that can't hold
+    every version, are errors: nothing is left out silently.
     """
+    if limit < len(set(requested)):
+        raise ValueError(f"{limit} rows can't hold {len(set(requested))} versions")
     kept, rest = list(ordered[:limit]), ordered[limit:]
     for version in requested:
         if any(r["version"] == version for r in kept):
             continue
         found = next((r for r in rest if r["version"] == version), None)
         if found is None:
-            continue
+            raise LookupError(f"no evidence for release {version}")
         if len(kept) < limit:
             kept.append(found)
             continue
         versions = [r["version"] for r in kept]
-        spare = next((i for i in range(len(kept) - 1, -1, -1) if versions[i] not in requested or versions.count(versions[i]) > 1), None)
-        if spare is not None:
-            kept[spare] = found
+        kept[next(i for i in range(len(kept) - 1, -1, -1) if versions[i] not in requested or versions.count(versions[i]) > 1)] = found
     return kept
 
 
 def cover_versions(ranked: DataFrame, requested: list[str], limit: int, query: str = "query") -> DataFrame:
-    """version_coverage of every query's candidates (columns rank and version), with place (1, 2, ...). Candidates are a top-k, so a group is bounded."""
+    """version_coverage of every query's candidates (columns rank and version), with place (1, 2, ...). Candidates are a top-k, so a group is bounded. A query without evidence for a requested version ends the job with an error."""
     schema = ranked.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the end of page paths, and the shape of root pages, that a retired API index holds.
-RETIRED_PAGE = r"(/class-use/|^[A-Za-z]+://[^?#]*/api/[A-Z][^/?#]*\.html$)"
+# Pages of one site's API that an index should no longer hold: lists of uses, and root pages.
+RETIRED_PAGE = r"^https://docs\.oracle\.com/en/java/javase/[0-9]+/docs/api/(?:(?:.*/)?class-use/|[A-Z][A-Za-z0-9_$]*\.html(?:[?#].*)?$)"
 
 
 def chunk_decisions(chunks: DataFrame, markers: DataFrame, force: Column | bool = False) -> DataFrame:

@@ -55,10 +55,10 @@ def fitted_prompt(prompts: DataFrame, limit: int) -> DataFrame:
 
 
 def render(system: Column, docs: Column, turns: Column, query: Column) -> Column:
-    """System, documents as [CTX n] url and text, turns with a prefix for replies, and the query, parted by blank lines."""
+    """System, documents as [CTX n] url and text, turns with a prefix for replies only, and the query, parted by blank lines. Without documents or turns nothing stands in their place."""
     contexts = F.transform(docs, lambda d: F.concat(F.lit("[CTX "), d["index"].cast("string"), F.lit("] "), d["url"], F.lit("\n"), d["text"]))
-    said = F.transform(turns, lambda t: F.concat(F.when(t["role"] == "assistant", "Assistant: ").otherwise("User: "), t["text"]))
-    return F.concat_ws("\n\n", system, F.array_join(contexts, "\n\n"), F.array_join(said, "\n\n"), query)
+    said = F.transform(turns, lambda t: F.concat(F.when(t["role"] == "assistant", "Assistant: ").otherwise(""), t["text"]))
+    return F.array_join(F.concat(F.array(system), contexts, said, F.array(query)), "\n\n")
 
 
 def last_answer(turns: DataFrame, by: str = "conv_id") -> DataFrame:
@@ -68,7 +68,7 @@ def last_answer(turns: DataFrame, by: str = "conv_id") -> DataFrame:
 
 
 def transcripts(turns: DataFrame, by: str = "conv_id") -> DataFrame:
-    """(by, transcript): ### User and ### Assistant blocks in order. One conversation is one row."""
-    block = F.concat(F.when(F.lower(F.trim("role")) == "assistant", "### Assistant\n\n").otherwise("### User\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"))
+    """(by, transcript): ### User and ### Assistant blocks in order; whoever is not the user counts as the assistant. One conversation is one row."""
+    block = F.concat(F.when(F.lower(F.trim("role")) == "user", "### User\n\n").otherwise("### Assistant\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", block.alias("block"))))
     return turns.groupBy(by).agg(ordered.alias("x")).select(by, F.array_join(F.transform("x", lambda t: t["block"]), "").alias("transcript"))

@@ -10,9 +10,9 @@ HIGH_QUALITY_CHARS = 100
 
 
 def search_quality(results: DataFrame, by: str, text: str = "text", url: str = "url") -> DataFrame:
-    """(by, results, high, level): NONE without results (a null text is none), KEYWORD_SEARCH, HIGH_QUALITY if all are, else MIXED_QUALITY."""
+    """(by, results, high, level): NONE without results (a null text is none), KEYWORD_SEARCH if a URL has a marker of it, HIGH_QUALITY if all are, else MIXED_QUALITY."""
     high = F.length(text) > HIGH_QUALITY_CHARS
-    counted = results.groupBy(by).agg(F.count(text).alias("results"), F.count_if(high).alias("high"), F.coalesce(F.max(F.col(url).contains("local-search")), F.lit(False)).alias("keyword"))
+    counted = results.groupBy(by).agg(F.count(text).alias("results"), F.count_if(high).alias("high"), F.coalesce(F.max(F.col(url).contains("local-search") | F.col(url).contains("keyword")), F.lit(False)).alias("keyword"))
     level = F.when(F.col("results") == 0, "NONE").when(F.col("keyword"), "KEYWORD_SEARCH").when(F.col("high") == F.col("results"), "HIGH_QUALITY").otherwise("MIXED_QUALITY")
     return counted.withColumn("level", level).drop("keyword")
 
@@ -41,12 +41,18 @@ def backoff_seconds(failures: Column, first: int = 60, most: int = 86400) -> Col
     return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2.0), F.least(F.greatest(failures - 1, F.lit(0)), F.lit(40)))).cast("long")
 
 
-def duration_seconds(x: Column) -> Column:
-    """Of 1ms, 2d, 3h, 4m, 5s, or plain seconds; null if it is none of these. Milliseconds are rounded up."""
-    number = F.regexp_extract(F.trim(x), r"^([0-9]+(?:\.[0-9]+)?)(ms|d|h|m|s)?$", 1)
-    unit = F.regexp_extract(F.trim(x), r"^([0-9]+(?:\.[0-9]+)?)(ms|d|h|m|s)?$", 2)
-    times = F.when(unit == "ms", 0.001).when(unit == "d", 86400.0).when(unit == "h", 3600.0).when(unit == "m", 60.0).otherwise(1.0)
-    return F.when(number != "", F.ceil(number.cast("double") * times)).cast("long")
+def duration_seconds(x: Column, strict: bool = False) -> Column:
+    """Of 1ms, 2d, 3h, 4m, 5s in either case, or plain seconds: whole numbers only; none is 0. Milliseconds are cut to seconds, of 1 at least.
+
+    Anything else is null, or with strict ends the job with an error.
+    """
+    t = F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    number, unit = (F.regexp_extract(t, r"^([0-9]+)\s*(ms|d|h|m|s)?$", i) for i in (1, 2))
+    plain = t.rlike("^[0-9]+$")
+    n = number.cast("long")
+    seconds = F.when(unit == "ms", F.greatest(F.lit(1), F.floor(n / 1000))).when(unit == "d", n * 86400).when(unit == "h", n * 3600).when(unit == "m", n * 60).when((unit == "s") | plain, n)
+    bad = F.raise_error(F.concat(F.lit("no duration: "), x)).cast("long") if strict else F.lit(None).cast("long")
+    return F.when(t == "", 0).when(number != "", seconds).otherwise(bad).cast("long")
 
 
 def reset_time(x: Column, now: Column) -> Column:
@@ -54,14 +60,13 @@ def reset_time(x: Column, now: Column) -> Column:
     t = F.trim(x)
     seconds = F.when(t.rlike("^[0-9]+$"), t.cast("long"))
     absolute = F.when(seconds >= 1_000_000_000, F.timestamp_seconds(seconds))
-    relative = F.coalesce(seconds, duration_seconds(t))
+    relative = F.coalesce(seconds, F.when(t != "", duration_seconds(t)))
     later = F.timestamp_seconds(F.unix_timestamp(now) + relative)
     return F.coalesce(absolute, F.when(t.rlike("^[0-9]{4}-"), F.try_to_timestamp(t)), later)
 
 
 def duration_text(seconds: Column) -> Column:
-    """1d 2h 3m: without parts that are 0; 0m for less than a minute."""
-    d, h, m = F.floor(seconds / 86400), F.floor(F.pmod(seconds, F.lit(86400)) / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60)
-    part = lambda n, u: F.when(n > 0, F.concat(n.cast("string"), F.lit(u)))
-    text = F.concat_ws(" ", part(d, "d"), part(h, "h"), part(m, "m"))
-    return F.when(text == "", "0m").otherwise(text)
+    """1d 0h 3m, 2h 0m or 0m: from the first part that is not 0 on, minutes always."""
+    d, h, m = (x.cast("long").cast("string") for x in (F.floor(seconds / 86400), F.floor(F.pmod(seconds, F.lit(86400)) / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60)))
+    minutes = F.concat(m, F.lit("m"))
+    return F.when(seconds >= 86400, F.concat(d, F.lit("d "), h, F.lit("h "), minutes)).when(seconds >= 3600, F.concat(h, F.lit("h "), minutes)).otherwise(minutes)

@@ -46,7 +46,7 @@ def h8_safe_name(spark, sf_dir):
 
 def h9_h10_fingerprints(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    head = F.substring("text", 1, 90)
+    head = F.col("text")
     payload = identity.marker_payload(F.concat(F.lit(" "), head), F.col("source"))
     rows = c.select("doc_id", head.alias("title"), "source", identity.provenance_fingerprint(F.col("source"), F.col("url"), F.col("lang"), F.col("version"), head).alias("fingerprint"), payload.alias("payload"))
     back = identity.marker_fields(F.col("payload"))
@@ -73,7 +73,7 @@ def h17_h18_keyword_score(spark, sf_dir):
 
 
 def h20_h21_h23_cuts(spark, sf_dir):
-    t = F.col("text")
+    t = F.concat((F.col("doc_id") % 9).cast("string"), F.lit("\n\n"), "text", F.lit("\r\n"))
     return read(spark, sf_dir, "documents").select("doc_id", text.cut_with_ellipsis(t, 500).alias("snippet"), text.failure_details(t).alias("details"))
 
 
@@ -85,7 +85,7 @@ def h22_token_cut(spark, sf_dir):
 
 def h58_h59_token_lists(spark, sf_dir):
     parts = F.split("text", "[,.]")
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(text.trimmed_distinct(parts), 1, 8), "|").alias("distinct_parts"), F.size(text.trimmed_filled(parts)).cast("long").alias("filled"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.array_join(text.trimmed_distinct(parts), "|"), 256).alias("distinct_parts"), F.size(text.trimmed_filled(parts)).cast("long").alias("filled"))
 
 
 def b8_route(spark, sf_dir):
@@ -97,7 +97,8 @@ def b8_route(spark, sf_dir):
 
 
 def h33_canonical_url(spark, sf_dir):
-    doubled = F.concat(F.replace("url", F.lit(".net/"), F.lit(".net/docs/api/api//x//")), F.lit("/api/api/javadoc-api/java/y"))
+    site = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^[a-z]+://[^/?#]*", "https://docs.spring.io")).otherwise(F.col("url"))
+    doubled = F.concat(F.replace(site, F.lit("/en/"), F.lit("/en/docs/api/api//x//")), F.lit("/api/api/spring-framework/docs/current/javadoc-api/java/y"))
     return read(spark, sf_dir, "pages").select("page_id", urls.canonical_doc_url(doubled).alias("canonical"), urls.without_fragment(F.col("url")).alias("plain"), urls.terminal_page(F.col("url")).alias("page"))
 
 
@@ -115,19 +116,22 @@ def h39c_h39f_repository_names(spark, sf_dir):
 
 
 FILE_NAMES = ["A.java", "b.GRADLE.kts", "c.kts", "Dockerfile", "CMakeLists.txt", "d.md", "e", "f.unknown", "g.YML", "h.h", "i.tar.gz", "j."]
-LICENSES = ["MIT License", "Apache License Version 2.0", "GNU LGPL v3", "GNU AFFERO GPL", "GPL version 2", "BSD 3-Clause", "Mozilla Public License", "All rights reserved"]
+#: Put before words of the documents, so that order and case decide.
+LICENSES = ["MIT License", "Apache License Version 2.0", "GNU LGPL v3", "GNU AGPL", "GPL version 2", "BSD 3-Clause", "permit me", "ISC", "MPL 2", "LGPL", "The Unlicense", "mit", "All rights reserved"]
 
 
 def h39d_h39g_file_kinds(spark, sf_dir):
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-    rows = read(spark, sf_dir, "documents").select("doc_id", pick(FILE_NAMES).alias("file"), pick(LICENSES).alias("line"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", pick(FILE_NAMES).alias("file"), F.concat(pick(LICENSES), F.lit(" "), F.substring_index("text", "\n", 1)).alias("line"))
     return rows.select("doc_id", urls.language_of_file(F.col("file")).alias("language"), urls.doc_type_of_file(F.col("file")).alias("doc_type"), urls.license_of(F.col("line")).alias("license"))
 
 
 def h39_java_package(spark, sf_dir):
-    api = F.concat(F.lit("https://docs.example.org/docs/api/java.base/java/util/x"), F.col("doc_id").cast("string"), F.lit("/List.html"))
-    source = F.concat(F.lit("// head\n  package org.example.p"), F.col("doc_id").cast("string"), F.lit(" ;\nclass A {}"))
-    return read(spark, sf_dir, "documents").select("doc_id", urls.java_package_of_url(api).alias("of_url"), urls.java_package_of_source(source).alias("of_source"))
+    root = F.when(F.col("doc_id") % 3 < 2, F.concat(F.lit("https://docs.oracle.com/en/java/javase/"), (21 + F.col("doc_id") % 6).cast("string"), F.lit("/docs/api/java.base/"))).otherwise(F.lit("https://docs.example.org/docs/api/java.base/"))
+    below = F.concat(F.when(F.col("doc_id") % 5 == 0, F.col("lang")).otherwise(F.concat("lang", F.lit("/"), "source")), F.lit("/List.html?x=/a/b#of()"))
+    page = F.concat("text", F.lit(" Package "), F.substring("text", 1, 40), F.lit(" JAVA."), "lang", F.lit(".x, java.util;"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(root, below).alias("url"), page.alias("page"))
+    return rows.select("doc_id", urls.java_package_of_url(F.col("url")).alias("of_url"), urls.java_package(F.col("url"), F.col("page")).alias("package"))
 
 
 def b21_crawl_boundary(spark, sf_dir):
@@ -149,37 +153,46 @@ SQL = {
     "h6_point_uuid": f"SELECT doc_id, {UUID} AS point_id FROM (SELECT doc_id, md5(sha256(text)) AS m FROM documents)",
     "h8_safe_name": f"""SELECT page_id, {SAFE.format(u='url')} AS name, {SAFE.format(u='l').replace('p)', 'q)').replace('(p,', '(q,').replace('ELSE p', 'ELSE q')} AS long_name FROM
         (SELECT page_id, url, l, regexp_replace(url, '[^a-zA-Z0-9._-]', '_', 'g') AS p, regexp_replace(l, '[^a-zA-Z0-9._-]', '_', 'g') AS q FROM (SELECT *, url || repeat('/é?segment', 12) AS l FROM pages))""",
-    "h9_h10_fingerprints": f"""WITH {CORPUS_SQL} SELECT doc_id, sha256(concat_ws('.', {', '.join(B64URL.format(x) for x in ('source', 'url', 'lang', 'version', 'left(text, 90)'))})) AS fingerprint,
-        sha256('1' || chr(10) || 'titleB64=' || {B64.format("trim(' ' || left(text, 90))")} || chr(10) || 'packageB64=' || {B64.format('source')} || chr(10)) AS payload_hash, true AS reads_back FROM corpus""",
+    "h9_h10_fingerprints": f"""WITH {CORPUS_SQL} SELECT doc_id, sha256(concat_ws('.', {', '.join(B64URL.format(x) for x in ('source', 'url', 'lang', 'version', 'text'))})) AS fingerprint,
+        sha256('1' || chr(10) || 'titleB64=' || {B64.format("trim(' ' || text)")} || chr(10) || 'packageB64=' || {B64.format('source')} || chr(10)) AS payload_hash, true AS reads_back FROM corpus""",
     "h11_h15_text_measures": f"""SELECT doc_id, sha256({LOW}) AS lower_hash, CASE WHEN length(text) = 0 THEN 0 ELSE length(text) // 4 + 1 END AS tokens, regexp_matches(text, '\\S') AS visible,
         regexp_extract(text, '([0-9]+)', 1) AS first_number, length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', '', 'g')) + 1 AS clean_chars,
         length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) + 2 AS utf16_units FROM documents""",
     "h17_h18_keyword_score": f"""WITH x AS (SELECT doc_id, {LOW} AS t FROM documents), n AS (SELECT doc_id, length(t) AS len, (length(t) - length(replace(t, 'the', ''))) // 3 AS a, (length(t) - length(replace(t, 'en', ''))) // 2 AS b, (length(t) - length(replace(t, 'de', ''))) // 2 AS c FROM x)
         SELECT doc_id, a AS hits, round((a + b + c) / greatest(50, len), 9) AS score FROM n""",
-    "h20_h21_h23_cuts": """WITH x AS (SELECT doc_id, text, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS f FROM documents)
+    "h20_h21_h23_cuts": """WITH x AS (SELECT doc_id, text, regexp_replace(translate(text, chr(13) || chr(10), '  '), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS f FROM (SELECT doc_id, doc_id % 9 || chr(10) || chr(10) || text || chr(13) || chr(10) AS text FROM documents))
         SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '…' ELSE text END AS snippet, CASE WHEN length(f) > 240 THEN left(f, 240) || '...' ELSE f END AS details FROM x""",
     "h22_token_cut": """WITH x AS (SELECT doc_id, text, left(text, 400) AS h FROM documents),
         y AS (SELECT *, 400 - least(CASE WHEN contains(h, '.') THEN strpos(reverse(h), '.') ELSE 401 END, CASE WHEN contains(h, chr(10)) THEN strpos(reverse(h), chr(10)) ELSE 401 END) AS p FROM x),
-        z AS (SELECT doc_id, length(text) > 400 AS o, length(text) AS n, CASE WHEN length(text) > 400 THEN CASE WHEN p > 320 THEN left(h, p + 1) ELSE h END || chr(10) || chr(10) || '[Content truncated]' ELSE text END AS t FROM y)
+        z AS (SELECT doc_id, length(text) > 400 AS o, length(text) AS n, CASE WHEN length(text) > 400 THEN CASE WHEN p > 320 THEN left(h, p + 1) ELSE h END || chr(10) || '[...content truncated for token limits...]' ELSE text END AS t FROM y)
         SELECT doc_id, sha256(t) AS text_hash, length(t) AS chars, o AS truncated, n AS original_length FROM z""",
-    "h58_h59_token_lists": """WITH f AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,.]'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
-        SELECT doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 8), '|') AS distinct_parts, len(l) AS filled FROM f""",
+    "h58_h59_token_lists": """WITH f AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,.]'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+        n AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM f) GROUP BY 1, 2),
+        g AS (SELECT doc_id, string_agg(x, '|' ORDER BY i) AS p FROM n GROUP BY 1)
+        SELECT f.doc_id, sha256(coalesce(p, '')) AS distinct_parts, len(l) AS filled FROM f LEFT JOIN g USING (doc_id)""",
     "b8_route": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'books' WHEN doc_id % 11 = 0 OR doc_id % 5 = 1 THEN 'articles' WHEN doc_id % 7 = 0 OR doc_id % 11 = 1 THEN 'pdfs' ELSE 'docs' END AS routed FROM documents""",
-    "h33_canonical_url": r"""WITH x AS (SELECT page_id, url, replace(url, '.net/', '.net/docs/api/api//x//') || '/api/api/javadoc-api/java/y' AS u FROM pages),
-        y AS (SELECT *, replace(replace(replace(u, '/docs/api/api/', '/docs/api/'), '/api/api/', '/api/'), '/javadoc-api/java/', '/javadoc-api/') AS v FROM x)
-        SELECT page_id, regexp_extract(v, '^[a-z]+://') || regexp_replace(regexp_replace(v, '^[a-z]+://', ''), '/+', '/', 'g') AS canonical, split_part(url, '#', 1) AS plain,
+    "h33_canonical_url": r"""WITH w AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '^[a-z]+://[^/?#]*', 'https://docs.spring.io') ELSE url END AS s FROM pages),
+        x AS (SELECT page_id, url, replace(s, '/en/', '/en/docs/api/api//x//') || '/api/api/spring-framework/docs/current/javadoc-api/java/y' AS u FROM w),
+        z AS (SELECT *, replace(replace(u, '/docs/api/api/', '/docs/api/'), '/api/api/', '/api/') AS t FROM x),
+        y AS (SELECT *, CASE WHEN contains(t, 'https://docs.spring.io/') THEN replace(t, '/spring-framework/docs/current/javadoc-api/java/', '/spring-framework/docs/current/javadoc-api/') ELSE t END AS v FROM z)
+        SELECT page_id, CASE WHEN strpos(v, '://') > 0 THEN left(v, strpos(v, '://') + 2) || regexp_replace(substr(v, strpos(v, '://') + 3), '/+', '/', 'g') ELSE regexp_replace(v, '/+', '/', 'g') END AS canonical, split_part(url, '#', 1) AS plain,
         nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]+\.html)$', 1), '') AS page FROM y""",
     "h39k_citation_type": """WITH x AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url || '.PDF' WHEN 1 THEN url || '/api/x' WHEN 2 THEN replace(url, 'example.com', 'github.com') WHEN 3 THEN '/local' WHEN 4 THEN 'mailto:x' ELSE url END AS u FROM pages)
         SELECT page_id, CASE WHEN lower(u) LIKE '%.pdf' THEN 'pdf-document' WHEN u LIKE 'http%' AND (u LIKE '%docs.oracle.com%' OR u LIKE '%javadoc%' OR u LIKE '%/api/%') THEN 'api-documentation'
         WHEN u LIKE 'http%' AND u LIKE '%github.com%' THEN 'code-repository' WHEN u LIKE 'http%' THEN 'external-link' WHEN u LIKE '/%' THEN 'local-link' ELSE 'unknown' END AS citation_type, u NOT LIKE 'mailto:%' AS citable FROM x""",
     "h39c_h39f_repository_names": f"""WITH {CORPUS_SQL}, x AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'My Repo_' ELSE 'repo-' END || doc_id AS n FROM corpus)
         SELECT doc_id, 'https://code.example.org/x/blob/' || version || '/src/%C3%A9%20dir/' || lang || '/A%2Bb%20' || doc_id || '.java' AS file_url, CASE WHEN regexp_full_match(lower(n), '[a-z0-9._-]+') THEN lower(n) END AS identity,
-        CASE WHEN doc_id % 2 = 0 THEN 'my-repo-' || doc_id || '-h' || left(sha256(n), 12) ELSE n END AS segment FROM x""",
-    "h39d_h39g_file_kinds": f"""WITH x AS (SELECT doc_id, lower({FILE_NAMES}[1 + doc_id % {len(FILE_NAMES)}]) AS f, {LICENSES}[1 + doc_id % {len(LICENSES)}] AS l FROM documents), y AS (SELECT *, regexp_extract(f, '(\\.[^.]*)$', 1) AS e FROM x)
+        CASE WHEN doc_id % 2 = 0 THEN 'my-repo-' || doc_id || '-h' || left(sha256(n), 8) ELSE n END AS segment FROM x""",
+    "h39d_h39g_file_kinds": f"""WITH x AS (SELECT doc_id, lower({FILE_NAMES}[1 + doc_id % {len(FILE_NAMES)}]) AS f, {LICENSES}[1 + doc_id % {len(LICENSES)}] || ' ' || split_part(text, chr(10), 1) AS l FROM documents), y AS (SELECT *, regexp_extract(f, '(\\.[^.]*)$', 1) AS e FROM x)
         SELECT doc_id, coalesce({NAMES}[f], CASE WHEN f LIKE '%.gradle.kts' THEN 'kotlin' END, {LANGUAGES}[e], '') AS language,
         CASE WHEN f IN ({str(list(urls.LANGUAGE_OF_NAME))[1:-1]}) THEN 'configuration' WHEN e IN ({str(urls.DOCUMENTATION_ENDINGS)[1:-1]}) THEN 'documentation' WHEN e IN ({str(urls.CONFIGURATION_ENDINGS)[1:-1]}) THEN 'configuration' ELSE 'source-code' END AS doc_type,
-        ['MIT', 'Apache-2.0', 'GPL-3.0', 'unknown', 'GPL-2.0', 'BSD-3-Clause', 'MPL-2.0', 'unknown'][1 + doc_id % 8] AS license FROM y""",
-    "h39_java_package": "SELECT doc_id, 'java.util.x' || doc_id AS of_url, 'org.example.p' || doc_id AS of_source FROM documents",
+        CASE WHEN l LIKE '%MIT%' THEN 'MIT' WHEN l LIKE '%Apache%2%' THEN 'Apache-2.0' WHEN l LIKE '%GPL%3%' THEN 'GPL-3.0' WHEN l LIKE '%GPL%2%' THEN 'GPL-2.0' WHEN l LIKE '%BSD%3%' THEN 'BSD-3-Clause' WHEN l LIKE '%BSD%2%' THEN 'BSD-2-Clause'
+          WHEN l LIKE '%ISC%' THEN 'ISC' WHEN l LIKE '%MPL%2%' THEN 'MPL-2.0' WHEN l LIKE '%LGPL%' THEN 'LGPL-3.0' WHEN l LIKE '%AGPL%' THEN 'AGPL-3.0' WHEN l LIKE '%Unlicense%' THEN 'Unlicense' ELSE '' END AS license FROM y""",
+    "h39_java_package": r"""WITH x AS (SELECT doc_id, (doc_id % 3 < 2 AND 21 + doc_id % 6 IN (21, 24, 25)) AS registered, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang || '.' || source END AS p,
+          text || ' Package ' || left(text, 40) || ' JAVA.' || lang || '.x, java.util;' AS t FROM documents),
+        y AS (SELECT doc_id, CASE WHEN registered AND regexp_full_match(p, '[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)+') THEN p ELSE '' END AS of_url, list_filter(regexp_split_to_array(substr(t, strpos(t, 'Package '), 100), '\s+'), lambda w: starts_with(lower(w), 'java.'))[1] AS w FROM x),
+        z AS (SELECT *, regexp_replace(w, '[,.;]$', '') AS n FROM y)
+        SELECT doc_id, of_url, CASE WHEN of_url <> '' THEN of_url WHEN regexp_full_match(n, '[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*') THEN n ELSE '' END AS package FROM z""",
     "b21_crawl_boundary": r"SELECT page_id, regexp_matches(url, '^https://tionsh\.example\.net/en($|[/?#])') AS inside FROM pages",
 }
 

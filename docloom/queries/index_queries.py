@@ -78,8 +78,9 @@ def a20_set_payload(spark, sf_dir):
 
 
 def a28_retired_pages(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").withColumn("url", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://x/api/class-use/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, F.lit("https://x/docs/api/List.html")).otherwise(F.col("url")))
-    return index.retired_pages(p).select("page_id", "url")
+    host = F.when(F.col("page_id") % 2 == 0, "https://docs.oracle.com/en/java/javase/25/docs/api/").when(F.col("page_id") % 4 == 1, "https://x.org/docs/api/").otherwise("https://docs.oracle.com/en/java/javase/ea/docs/api/")
+    page = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("java/util/class-use/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, F.lit("List.html#of")).otherwise(F.substring_index("url", "/", -1))
+    return index.retired_pages(read(spark, sf_dir, "pages").withColumn("url", F.concat(host, page))).select("page_id", "url")
 
 
 def a29_a30_required_counts(spark, sf_dir):
@@ -118,11 +119,12 @@ def d8_d13_rates(spark, sf_dir):
     return e.select("user_id", F.round(quality.percent_complete(F.col("hits"), F.col("misses")), 9).alias("percent"), F.round(quality.hit_rate(F.col("hits"), F.col("misses")), 9).alias("rate"))
 
 
-DURATIONS = ["15", "250ms", "2d", "3h", "4m", "1.5s", "abc", "90s"]
+#: After a number of the event.
+UNITS = ["", "ms", "d", " h ", "M", "S", ".5s", "x", " ms", "MS"]
 
 
 def h50_h53_durations(spark, sf_dir):
-    d = F.element_at(F.array(*map(F.lit, DURATIONS)), (F.col("event_id") % 8 + 1).cast("int"))
+    d = F.concat((F.col("event_id") * 13 % 7000).cast("string"), F.element_at(F.array(*map(F.lit, UNITS)), (F.col("event_id") % len(UNITS) + 1).cast("int")))
     e = read(spark, sf_dir, "events")
     return e.select("event_id", quality.duration_seconds(d).alias("seconds"), quality.duration_text(F.col("event_id") * 37).alias("text"), quality.backoff_seconds(F.col("event_id") % 20).alias("backoff"))
 
@@ -164,7 +166,9 @@ SQL = {
         SELECT *, 'upsert' AS how FROM (SELECT * FROM t WHERE point_id NOT IN (SELECT point_id FROM r) UNION ALL SELECT * FROM r)
         UNION ALL SELECT *, 'replace' FROM (SELECT * FROM t WHERE url NOT IN (SELECT url FROM r) AND point_id NOT IN (SELECT point_id FROM r) UNION ALL SELECT * FROM r)""",
     "a20_set_payload": f"{C} SELECT doc_id, source, CASE WHEN source = 'src3' THEN '99' ELSE version END AS version FROM c",
-    "a28_retired_pages": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://x/api/class-use/' || page_id ELSE 'https://x/docs/api/List.html' END AS url FROM pages WHERE page_id % 3 < 2",
+    "a28_retired_pages": r"""WITH x AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://docs.oracle.com/en/java/javase/25/docs/api/' WHEN page_id % 4 = 1 THEN 'https://x.org/docs/api/' ELSE 'https://docs.oracle.com/en/java/javase/ea/docs/api/' END ||
+        CASE page_id % 3 WHEN 0 THEN 'java/util/class-use/' || page_id WHEN 1 THEN 'List.html#of' ELSE regexp_extract(url, '([^/]*)$', 1) END AS url FROM pages)
+        SELECT page_id, url FROM x WHERE regexp_matches(url, '^https://docs\.oracle\.com/en/java/javase/[0-9]+/docs/api/(.*/)?class-use/') OR regexp_matches(url, '^https://docs\.oracle\.com/en/java/javase/[0-9]+/docs/api/[A-Z][A-Za-z0-9_$]*\.html([?#].*)?$')""",
     "a29_a30_required_counts": f"{C} SELECT r.collection, count(c.doc_id) AS points, count(c.doc_id) > 0 AS ok FROM (VALUES ('books'), ('docs'), ('missing')) r(collection) LEFT JOIN c USING (collection) GROUP BY 1",
     "d3_duplicate_hashes": "SELECT sha256(text) AS hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     "b4_constraint": f"{C} SELECT doc_id FROM c WHERE version IN ('24', '25') AND source IN ('src1', 'src2', 'src3')",
@@ -174,8 +178,9 @@ SQL = {
         SELECT *, processed + skipped + failed AS inspected, true AS conserved FROM g""",
     "d8_d13_rates": """WITH g AS (SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS h, count(*) FILTER (event_id % 3 <> 0) AS m FROM events GROUP BY 1)
         SELECT user_id, round(CASE WHEN m > 0 THEN least(100.0::DOUBLE, h * 100.0::DOUBLE / m) ELSE 0 END, 9) AS percent, round(h / (h + m), 9) AS rate FROM g""",
-    "h50_h53_durations": """WITH x AS (SELECT event_id, event_id * 37 AS s FROM events), p AS (SELECT *, s // 86400 AS d, s % 86400 // 3600 AS h, s % 3600 // 60 AS m FROM x)
-        SELECT event_id, [15, 1, 172800, 10800, 240, 2, NULL, 90][1 + event_id % 8] AS seconds, CASE WHEN s < 60 THEN '0m' ELSE concat_ws(' ', CASE WHEN d > 0 THEN d || 'd' END, CASE WHEN h > 0 THEN h || 'h' END, CASE WHEN m > 0 THEN m || 'm' END) END AS text,
+    "h50_h53_durations": f"""WITH x AS (SELECT event_id, event_id * 37 AS s, event_id * 13 % 7000 AS v, lower(trim({UNITS}[1 + event_id % {len(UNITS)}])) AS u FROM events), p AS (SELECT *, s // 86400 AS d, s % 86400 // 3600 AS h, s % 3600 // 60 AS m FROM x)
+        SELECT event_id, CAST(CASE u WHEN '' THEN v WHEN 'ms' THEN greatest(1, v // 1000) WHEN 'd' THEN v * 86400 WHEN 'h' THEN v * 3600 WHEN 'm' THEN v * 60 WHEN 's' THEN v END AS BIGINT) AS seconds,
+        CASE WHEN d > 0 THEN d || 'd ' || h || 'h ' || m || 'm' WHEN h > 0 THEN h || 'h ' || m || 'm' ELSE m || 'm' END AS text,
         CAST(least(86400, 60 * pow(2, greatest(event_id % 20 - 1, 0))) AS BIGINT) AS backoff FROM p""",
     "j1_coalesced": "SELECT user_id, batch, string_agg(event_type || event_id, '' ORDER BY event_id) AS text FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 24 AS batch FROM events) GROUP BY 1, 2",
     "j10_extended_limits": "WITH x AS (SELECT event_id, user_id, ts, epoch_us(ts) + event_id % 1000 * 60000000 AS until FROM events) SELECT event_id, max(until) OVER (PARTITION BY user_id ORDER BY ts, until ROWS UNBOUNDED PRECEDING) AS active_until FROM x",

@@ -103,8 +103,8 @@ def e3_first_seen(spark, sf_dir):
 
 
 def e8_version_coverage(spark, sf_dir):
-    ranked = sparse_ranking(spark, sf_dir, 20).join(corpus(spark, sf_dir).select("doc_id", "version"), "doc_id").select(F.col("item_id").alias("query"), "doc_id", "version", "rank")
-    return fusion.cover_versions(ranked, ["24", "21", "17"], 3)
+    ranked = sparse_ranking(spark, sf_dir, 60).join(corpus(spark, sf_dir).select("doc_id", "version"), "doc_id").select(F.col("item_id").alias("query"), "doc_id", "version", "rank")
+    return fusion.cover_versions(ranked, ["24", "21", "25"], 4)
 
 
 def turns(spark, sf_dir):
@@ -146,7 +146,7 @@ def i15_i16_fitted_prompt(spark, sf_dir):
 
 def d4_search_quality(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality")
-    c = docs.join(labels, "doc_id").select(F.concat_ws("-", "source", F.col("quality").cast("string")).alias("slice"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 90)).otherwise(F.col("text")).alias("text"), F.when(F.col("doc_id") % 50 == 0, F.lit("local-search://q")).otherwise(F.lit("https://x")).alias("url"))
+    c = docs.join(labels, "doc_id").select(F.concat_ws("-", "source", F.col("quality").cast("string"), (F.col("doc_id") % 40).cast("string")).alias("slice"), F.col("text"), F.when(F.col("doc_id") % 50 == 0, F.lit("local-search://q")).when(F.col("doc_id") % 70 == 0, F.lit("https://x/keyword")).otherwise(F.lit("https://x")).alias("url"))
     return quality.search_quality(c, "slice")
 
 
@@ -195,8 +195,8 @@ SQL = {
         UNION ALL SELECT t.conv_id, t.turn, t.tokens, t.k, t.tokens <= f.budget, f.budget - CASE WHEN t.tokens <= f.budget THEN t.tokens ELSE 0 END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
         SELECT conv_id, turn, tokens FROM f WHERE fits""",
     "e10_last_answer": "SELECT conv_id, max_by(text, turn) AS answer FROM conversations WHERE lower(trim(role)) = 'assistant' GROUP BY 1",
-    "e11_transcript": """SELECT conv_id, sha256(t) AS transcript_hash, length(t) AS chars FROM (SELECT conv_id, string_agg(CASE WHEN lower(trim(role)) = 'assistant' THEN '### Assistant' ELSE '### User' END || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY 1)""",
-    "d4_search_quality": """WITH c AS (SELECT source || '-' || quality AS slice, CASE WHEN doc_id % 3 = 0 THEN left(text, 90) ELSE text END AS t, doc_id % 50 = 0 AS k FROM documents JOIN labels USING (doc_id)),
+    "e11_transcript": """SELECT conv_id, sha256(t) AS transcript_hash, length(t) AS chars FROM (SELECT conv_id, string_agg(CASE WHEN lower(trim(role)) = 'user' THEN '### User' ELSE '### Assistant' END || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY 1)""",
+    "d4_search_quality": """WITH c AS (SELECT source || '-' || quality || '-' || doc_id % 40 AS slice, text AS t, doc_id % 50 = 0 OR doc_id % 70 = 0 AS k FROM documents JOIN labels USING (doc_id)),
         g AS (SELECT slice, count(t) AS results, count(*) FILTER (length(t) > 100) AS high, bool_or(k) AS k FROM c GROUP BY 1)
         SELECT slice, results, high, CASE WHEN results = 0 THEN 'NONE' WHEN k THEN 'KEYWORD_SEARCH' WHEN high = results THEN 'HIGH_QUALITY' ELSE 'MIXED_QUALITY' END AS level FROM g""",
 }

@@ -16,7 +16,7 @@ from docloom.functions.urls import in_crawl_boundary, language_of_file
 
 # Endings of documents, directories that hold no sources, and sizes.
 DOCUMENTS = r"(?i)\.(html|htm|pdf)$"
-EXCLUDED = [".git", ".gradle", ".idea", ".mvn", ".next", ".svelte-kit", ".venv", ".vscode", "__pycache__", "bin", "build", "coverage", "dist", "node_modules", "out", "target", "vendor"]
+EXCLUDED = [".git", "build", "target", "node_modules", ".gradle", ".idea", ".vscode", "__pycache__", "vendor", "dist", "out", ".next", ".cache", ".npm", ".yarn", "bin", "obj"]
 MOST_DOCUMENTS, MOST_SOURCE_BYTES, MOST_SITEMAP_BYTES = 1_000_000, 1 << 20, 50 << 20
 
 

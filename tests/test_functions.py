@@ -40,7 +40,7 @@ def test_text_functions_on_nulls_and_edges(spark):
     assert not value(spark, text.has_visible_content(F.lit(" ​\n "))) and value(spark, text.has_visible_content(F.lit(" x")))
     assert value(spark, text.occurrences(F.lit("aaaa"), F.lit("aa"))) == 2 and value(spark, text.occurrences(F.lit("aa"), F.lit(""))) == 0
     cut = value(spark, text.truncated(F.lit("a" * 35 + "." + "b" * 20), 10))
-    assert cut.text.startswith("a" * 35 + ".\n\n[") and cut.truncated and cut.original_length == 56
+    assert cut.text == "a" * 35 + ".\n[...content truncated for token limits...]" and cut.truncated and cut.original_length == 56
     assert value(spark, text.truncated(F.lit("short"), 10)).text == "short"
 
 
@@ -60,6 +60,8 @@ def test_citation_types_and_licenses(spark):
     cases = {"https://x/a.PDF": "pdf-document", "https://docs.oracle.com/x": "api-documentation", "https://github.com/x": "code-repository", "https://x.org": "external-link", "/x": "local-link", "x": "unknown", "": "unknown"}
     assert {u: value(spark, urls.citation_type(F.lit(u))) for u in cases} == cases
     assert value(spark, urls.license_of(F.lit("GNU LESSER GPL version 3"))) == "GPL-3.0"
+    lines = {"permit me": "", "mit": "", "ISC License": "ISC", "GNU AGPL": "AGPL-3.0", "LGPL": "LGPL-3.0", "The Unlicense": "Unlicense", "MPL 2": "MPL-2.0", "Mozilla": "", "GNU AGPL 3": "GPL-3.0"}
+    assert {x: value(spark, urls.license_of(F.lit(x))) for x in lines} == lines
     assert value(spark, urls.language_of_file(F.lit("x.gradle.kts"))) == "kotlin"
 
 
@@ -143,8 +145,14 @@ def test_clean_text_and_links():
 
 def test_page_guard():
     assert html.rejection("<title>404 Not Found</title><body><h1>404 not found</h1>nginx</body>") == "error page structure"
-    assert html.rejection("<title>Just a moment...</title><script src='/cdn-cgi/challenge-platform/x'></script><div>wait</div>") == "challenge structure"
-    assert html.rejection("<div id='cf-error-details'>x</div>") == "CDN error structure"
+    assert html.rejection("<title>Just a moment...</title><script src='/cdn-cgi/challenge-platform/x'></script><div id='challenge-stage'>wait</div>") == "challenge structure"
+    assert html.rejection("<title>Just a moment...</title><script src='/cdn-cgi/challenge-platform/x'></script><div>wait here</div>") is None
+    assert html.rejection("<div id='cf-error-details'><b class='cf-error-code'>x</b></div>") == "CDN error structure" and html.rejection("<div id='cf-error-details'>much text</div>") is None
+    assert html.rejection("<title>500 Internal Server Error</title><body><h1>500 Internal Server Error</h1></body>") is None
+    page = "<head>{}<title>Page not found</title></head><body><main><h1>Page not found</h1>text</main></body>"
+    assert html.rejection(page.format("")) is None and html.rejection(page.format("<meta name=robots content='NOINDEX, x'>")) == "error page structure"
+    assert html.rejection("<title>Access denied</title><body><center><h1>Access Denied</h1></center></body>") == "error page structure"
+    assert html.rejection("<title>Access denied</title><body><div><h1>Access Denied</h1></div></body>") is None
     assert html.rejection("<body></body>") == "empty body text" and html.rejection(PAGE) is None
 
 
