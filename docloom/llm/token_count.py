@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 #: Characters of a text that is not cut, of a chunk's own part, of the first overlap, and of what a boundary must have after it.
-WHOLE, CHUNK, OVERLAP, AHEAD = 200_000, 100_000, 2_000, 64
+WHOLE, CHUNK, OVERLAP, AHEAD = 16_000, 8_000, 500, 64
 #: Pieces whose counts a task keeps, and characters of a piece that is kept.
 MOST_KEPT, LONGEST_KEPT = 300_000, 32
 
@@ -115,8 +115,9 @@ def _count_chunks(path: str, chunk: int, ahead: int):
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 512, whole: int = WHOLE, chunk: int = CHUNK, overlap: int = OVERLAP, ahead: int = AHEAD) -> DataFrame:
     """For each row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    path: the tokenizer's file, the same on every machine. Tokens are those of tokenizers.encode without added special tokens. Null
-    and empty texts have 0. Rows that repeat an id are counted each; an empty table gives no rows.
+    path: the tokenizer's file, the same on every machine. Tokens are those of tokenizers.encode without added special tokens. Texts of more
+    than `whole` characters are cut into chunks, which are dealt over all tasks; equal texts are counted once. Null and empty texts have 0.
+    Rows that repeat an id are counted each; other columns are not read, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
@@ -124,21 +125,22 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     short = rows.where(F.length("text") <= whole).select("doc_id", "text", n_bytes).mapInArrow(_count_whole(path), f"doc_id {kind}, n_bytes long, n_tokens long")
     over = (F.col("n_tokens") > limit).alias("over_limit")
     # Huge texts are keyed by their content: rows of equal texts have equal counts.
-    huge = rows.where(F.length("text") > whole).select("doc_id", "text", n_bytes, F.sha2("text", 256).alias("doc"))
+    texts = rows.where(F.length("text") > whole).select("doc_id", "text", n_bytes, F.sha2("text", 256).alias("doc"))
+    huge = settle(texts.select("doc_id", "n_bytes", "doc"), "huge")
     if huge.isEmpty():
         return short.select("doc_id", "n_bytes", "n_tokens", over)
-    huge = settle(huge, "huge")
-    open_, counted, width = huge.dropDuplicates(["doc"]).select("doc", "text"), [], overlap
-    while not open_.isEmpty():
+    open_, counted, width = texts, [], overlap
+    while True:
         pieces = F.greatest(F.lit(1), F.ceil((F.length("text") - width) / chunk)).cast("int")
-        start = F.col("i") * chunk
-        chunks = open_.select("doc", "text", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("i")).select(
-            "doc", start.cast("long").alias("start"), F.substring("text", start + 1, F.lit(chunk + width)).alias("text"), F.lit(width).alias("overlap")
-        )
+        # Cut once, in parts that follow one another; a chunk is a part and the beginning of the text after it.
+        parts = open_.select("doc", pieces.alias("pieces"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("parts"))
+        at = lambda i: F.coalesce(F.get("parts", i), F.lit(""))
+        joined = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.concat(at(i), F.substring(at(i + 1), 1, width)))
+        chunks = parts.select("doc", F.posexplode(joined).alias("i", "text")).select("doc", (F.col("i") * chunk).cast("long").alias("start"), "text", F.lit(width).alias("overlap"))
         lists = "left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
-        parts = settle(chunks.repartition("doc", "start").mapInArrow(_count_chunks(path, chunk, ahead), f"doc string, start long, n long, {lists}"), "chunks")
-        before = parts.select("doc", (F.col("start") + chunk).alias("start"), "right_at", "right_n")
-        pairs = parts.select("doc", "start", "n", "left_at", "left_n").join(before, ["doc", "start"], "left")
+        found = settle(chunks.dropDuplicates(["doc", "start"]).mapInArrow(_count_chunks(path, chunk, ahead), f"doc string, start long, n long, {lists}"), "chunks")
+        before = found.select("doc", (F.col("start") + chunk).alias("start"), "right_at", "right_n")
+        pairs = found.select("doc", "start", "n", "left_at", "left_n").join(before, ["doc", "start"], "left")
         # The first place that both sides of an overlap have; null if none.
         spliced = pairs.withColumn("at", F.array_min(F.array_intersect("left_at", "right_at")))
         to_splice, from_splice = (F.element_at(n, F.array_position(at, F.col("at")).cast("int")) for at, n in (("right_at", "right_n"), ("left_at", "left_n")))
@@ -148,10 +150,12 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         )
         sums = settle(sums, "spliced")
         counted.append(sums.where("NOT torn").select("doc", "n_tokens"))
-        open_ = huge.dropDuplicates(["doc"]).join(sums.where("torn").select("doc"), "doc", "left_semi").select("doc", "text")
-        chunk, width = 4 * chunk, 4 * width
+        torn = sums.where("torn").select("doc")
+        if torn.isEmpty():
+            break
+        open_, chunk, width = texts.join(torn, "doc", "left_semi"), 4 * chunk, 4 * width
     counts = counted[0]
     for x in counted[1:]:
         counts = counts.unionByName(x)
-    long_ = huge.select("doc_id", "n_bytes", "doc").join(counts, "doc").select("doc_id", "n_bytes", "n_tokens")
+    long_ = huge.join(counts, "doc").select("doc_id", "n_bytes", "n_tokens")
     return short.unionByName(long_).select("doc_id", "n_bytes", "n_tokens", over)
