@@ -13,8 +13,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go. Prototypes are learned from all documents with a language given."""
-    return language_id.drop_unidentified(docs, language_id.learn_prototypes(docs))
+    """Documents no nearer to any language than chance go; lang is filled where it is null. Prototypes are learned from all documents with a language given."""
+    return language_id.drop_unidentified(docs, language_id.learn_prototypes(docs), least=language_id.by_chance())
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import settle
 from .words import GOLDEN, U, mixed
 
 DIMENSIONS, N = 2048, 3
@@ -114,8 +116,11 @@ def _slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list]]
         yield first, texts
 
 
-def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, n: int = N) -> dict[str, np.ndarray]:
-    """Each language's bundle over all rows of labelled; rows without text or language teach nothing. Its size: languages times dimensions."""
+def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, n: int = N, most: int = 1000) -> dict[str, np.ndarray]:
+    """Each language's bundle over all rows of labelled; rows without text or language teach nothing. Its size: languages times dimensions.
+
+    More than `most` values of lang are an error: they are no languages.
+    """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dimensions, n), {}
@@ -140,6 +145,9 @@ def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang"
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     # Partitions' sums meet in 32 tasks, then by dimension: whole numbers, so any order gives the same.
     partial = rows.mapInArrow(bundle, "lang string, sums array<long>").repartition(32).mapInArrow(combine, "lang string, sums array<long>")
+    partial = settle(partial, "bundles")
+    if (languages := partial.select("lang").distinct().count()) > most:
+        raise ValueError(f"{languages} values of lang, at most {most} languages")
     total = partial.select("lang", F.posexplode("sums").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
     for name, i, x in total.collect():
@@ -169,8 +177,8 @@ def _predictor(spark: SparkSession, prototypes: dict[str, np.ndarray], dimension
 def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text", dimensions: int = DIMENSIONS, n: int = N) -> DataFrame:
     """For each row: doc_id, lang_pred and score, the cosine (0 if negative) with the nearest prototype; ties go to the first name.
 
-    A text that is null or has no letter is `und` with score 0, and so is every text if there is no prototype. Rows that repeat
-    an id are judged each; an empty table gives no rows.
+    A text that is null or has no letter is `und` with score 0, and so is every text if there is no prototype. A text of any length is
+    read whole, in its task. Rows that repeat an id are judged each; other columns are not read, whatever their names; an empty table gives no rows.
     """
     predict = _predictor(docs.sparkSession, prototypes, dimensions, n)
 
@@ -184,14 +192,26 @@ def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_i
     return rows.mapInArrow(judge, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double")
 
 
-def drop_unidentified(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, n: int = N) -> DataFrame:
-    """The rows of docs whose text has a language, with all their columns and in one pass over the texts."""
+def drop_unidentified(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, n: int = N, least: float | None = None) -> DataFrame:
+    """The rows of docs whose text has a language, with all their columns and in one pass over the texts.
+
+    Texts without letters go, and those whose cosine with the nearest prototype is below `least`. With `least`, rows that stay without a
+    lang get the predicted one; a given lang is not changed. Each row is judged by its own text; an empty table gives no rows.
+    """
     predict = _predictor(docs.sparkSession, prototypes, dimensions, n)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dimensions, n)
         for batch in batches:
-            found, _ = predict(batch.column(batch.schema.get_field_index("text")), profiles)
-            yield batch.filter(pa.array([x != NONE for x in found], pa.bool_()))
+            found, scores = predict(batch.column(batch.schema.get_field_index("text")), profiles)
+            stays = pa.array([x != NONE and (least is None or y >= least) for x, y in zip(found, scores)], pa.bool_())
+            if least is not None and (at := batch.schema.get_field_index("lang")) >= 0:
+                batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(batch.column(at), pa.array(found, batch.schema.field(at).type)))
+            yield batch.filter(stays)
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+def by_chance(dimensions: int = DIMENSIONS) -> float:
+    """Three standard deviations of the cosine of vectors that have nothing in common: a text below it is no nearer to any language than chance."""
+    return 3 / dimensions**0.5
