@@ -33,7 +33,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read(spark, sf_dir, "documents"), pii.Judge(spark))
     counts = [F.size(F.filter("base", kind_is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), F.size(F.filter("spans", kind_is("secret"))).cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def kind_is(kind: str) -> Callable[[Column], Column]:
@@ -47,7 +47,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
     marked = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block")), "page_id").where("block IS NOT NULL")
-    rules = url_filter.mine_rules(marked.select(url_filter.url_tokens(*url_filter.url_parts(F.col("url"))).alias("tokens"), "block"))
+    # Of very many token sets some would look like rules by chance, so the bound is strict.
+    rules = url_filter.mine_rules(marked.select(url_filter.url_tokens(*url_filter.url_parts(F.col("url"))).alias("tokens"), "block"), hits=20, z=3.09)
     return url_filter.filter_urls(pages, rules)
 
 
@@ -74,7 +75,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], chats.schema)
+    kinds = {c: chats.schema[c].dataType for c in ("conv_id", "turn")}
+    own = spark.range(1).select(F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(said).alias("text"))
+    own = own.withColumn("turn", F.col("turn").cast(kinds["turn"]))
     back = chat_format.read_back(chat_format.format_chats(chats.unionByName(own)))
     digest = F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256)
     return back.select(
