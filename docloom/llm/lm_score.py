@@ -34,7 +34,7 @@ from .words import PLACE, U, Words, mixed, text_slices
 
 ORDER = 3
 #: Words that a task holds before it sends its blocks (local numbers have 21 bits), and n-grams that a shard should have.
-HELD, SHARD = (1 << 21) - 8, 1 << 21
+HELD, SHARD = 1 << 20, 1 << 20
 #: Ranges that a block is sent to; more shards than these are reached in two shuffles.
 RANGES = 4096
 #: Files that a worker keeps mapped; before Python 3.13 each of them keeps a descriptor open.
@@ -654,7 +654,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         scan, reader = Words(), Reader(model)
         for batch in batches:
             columns = []
-            for _, data, offsets in text_slices(batch.column(1), 4 << 20):
+            for _, data, offsets in text_slices(batch.column(1), 2 << 20):
                 words, doc = _sequences(*scan(data, offsets)[3:1:-1], len(offsets) - 1)
                 p, raw = reader.probabilities(words, doc)
                 base = np.log10((raw + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
