@@ -30,7 +30,8 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
 
     The formatted text is context and target, one after the other; the loss mask covers the target, without its END mark.
     Rows of a conversation follow turn (null first), then role and text, so ties and repeated rows have one order; null roles
-    and texts are empty, and rows without a conversation are one conversation, whose id is null. An empty table gives no examples.
+    and texts are empty, and rows without a conversation are one conversation, whose id is null. Texts of any length are formatted whole; a conversation becomes one
+    row, so it must fit in a task. Other columns are not read. An empty table gives no examples.
     """
     own = F.col("conv_id")
     rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))

@@ -97,7 +97,8 @@ def find_contamination(
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lowered. A window is `window` consecutive words of an
     item, or a shorter item's all words. A document's word inside any occurrence of a window is hit. Null and empty texts have
-    no words; an item without an id has the empty id; an empty benchmark hits nothing. Rows that repeat an id are judged each.
+    no words; an item without an id has the empty id; an empty benchmark hits nothing. Texts of any length are scanned whole, in their task. Rows that
+    repeat an id are judged each; other columns are not read, whatever their names.
     """
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     windows = settle(item_windows(items, item_id, item_text, window), "windows")

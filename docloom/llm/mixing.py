@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import settle, word_count
+from .shared import settle, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 #: A source's words are taken at most so often.
@@ -91,7 +91,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     Every document of a source is taken as often as the target holds the whole source, and those below the source's
     threshold once more; the document at the boundary is taken if that comes nearer to the target. Rows of one hash
-    (repeated ids) go together. Null texts have size 0, a null source is a source of its own, an empty table gives no rows.
+    (repeated ids) go together, and ties have one order. Null texts have size 0, texts of any length are counted whole, a null source is a
+    source of its own, an empty table gives no rows. The plan has a row a source, and sources are numbered in one task: they must be few enough for that.
     """
     rows = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), doc_hash(F.col(doc_id), F.col(text)).alias("h")), "sizes")
     plan = mix_plan(rows, weights, most)
@@ -107,8 +108,9 @@ def draw_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """
     size, h = word_count(F.col("text")), doc_hash(F.col("doc_id"), F.col("text"))
     plan = mix_plan(settle(docs.select("source", size.alias("size"), h.alias("h")), "sizes"), weights, most)
-    plan = plan.select(*(F.col(c).alias(f"__mix_{c}") for c in ("of", "full", "low")))
-    again = (F.col("__mix_full") < most) & (h < F.col("__mix_low"))
-    copies = F.col("__mix_full") + F.when(again, 1).otherwise(0)
-    joined = docs.join(plan, docs["source"].eqNullSafe(plan["__mix_of"])).withColumn("copies", copies).where("copies > 0")
+    names = {c: unused(docs, f"mix_{c}") for c in ("of", "full", "low")}
+    plan = plan.select(*(F.col(c).alias(n) for c, n in names.items()))
+    again = (F.col(names["full"]) < most) & (h < F.col(names["low"]))
+    copies = F.col(names["full"]) + F.when(again, 1).otherwise(0)
+    joined = docs.join(plan, docs["source"].eqNullSafe(plan[names["of"]])).withColumn("copies", copies).where("copies > 0")
     return joined.withColumn("taken", F.col("copies") * size).select(*(c for c in docs.columns if c not in ("copies", "taken")), "copies", "taken")

@@ -273,7 +273,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     if it has fewer. Documents are linked if 100 times the common shingles are at least `percent` times all of both, and
     component_id is the smallest doc_id that links reach; kept: its own. Null, empty and blank texts have no shingles and no links.
     Rows of one id are one node. Rows without an id are nodes by their texts: they link like others, and one of a component is
-    kept only if no row of it has an id. doc_id is an integer; an empty table gives no rows.
+    kept only if no row of it has an id. doc_id is an integer; texts of any length are read whole; other columns are not read, whatever
+    their names; an empty table gives no rows.
     """
     with scratch(docs.sparkSession, "near-copies") as work:
         signed, _, reps, links = _linked(_keyed(docs, doc_id, text), words, percent, work)

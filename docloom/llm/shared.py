@@ -70,6 +70,13 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 #: Bits of the filter of apart() for each key, and at most: 2**19 rows of four numbers, some 50 MB.
 KEY_BITS, FILTER_BITS = 16, 27
 
@@ -80,18 +87,18 @@ def apart(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Dat
     The keys are marked in a bitmap of bounded size, which is broadcast, so the first table passes without a shuffle and only the second has to
     meet the keys. More keys than the bitmap is made for send more rows the second way; each row comes out once at any size.
     """
-    keys = keys.toDF("key")
+    keys, at_name, names = keys.toDF("key"), unused(docs, "at"), [unused(docs, f"bits{i}") for i in range(4)]
     bits = min(FILTER_BITS, max(10, (KEY_BITS * keys.count()).bit_length()))
     spread = lambda k: F.shiftrightunsigned(F.xxhash64(k, F.lit(bits)), 64 - bits)
     at = spread(F.col("key"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
     quarter = lambda a: F.shiftright(a, 6).bitwiseAND(F.lit(3))
-    marks = keys.groupBy(F.shiftright(at, 8).alias("__at")).agg(*(F.coalesce(F.bit_or(F.when(quarter(at) == i, one)), F.lit(0).cast("long")).alias(f"__bits{i}") for i in range(4)))
+    marks = keys.groupBy(F.shiftright(at, 8).alias(at_name)).agg(*(F.coalesce(F.bit_or(F.when(quarter(at) == i, one)), F.lit(0).cast("long")).alias(names[i]) for i in range(4)))
     marks = settle(marks, "marks")
     place = spread(key)
-    word = F.when(quarter(place) == 0, F.col("__bits0")).when(quarter(place) == 1, F.col("__bits1")).when(quarter(place) == 2, F.col("__bits2")).otherwise(F.col("__bits3"))
+    word = F.when(quarter(place) == 0, marks[names[0]]).when(quarter(place) == 1, marks[names[1]]).when(quarter(place) == 2, marks[names[2]]).otherwise(marks[names[3]])
     marked = F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    met = docs.join(F.broadcast(marks), F.shiftright(place, 8) == marks["__at"], "left")
+    met = docs.join(F.broadcast(marks), F.shiftright(place, 8) == marks[at_name], "left")
     columns = [docs[c] for c in docs.columns]
     return met.where(F.coalesce(~marked, F.lit(True))).select(*columns), met.where(marked).select(*columns)
 
@@ -108,13 +115,14 @@ def drop_rows(docs: DataFrame, sha: Column, dropped: DataFrame, repeated: DataFr
     """
     own_key = row_key(F.col("dropped_id"), F.col("dropped_sha"))
     free, others = apart(docs, row_key(docs["doc_id"], sha), dropped.select(own_key).unionByName(repeated.select(own_key)).toDF("key"))
-    others = others.withColumn("__sha", sha)
-    among = lambda rows, table: rows["doc_id"].eqNullSafe(table["dropped_id"]) & (rows["__sha"] == table["dropped_sha"])
+    name = unused(docs, "sha")
+    others = others.withColumn(name, sha)
+    among = lambda rows, table: rows["doc_id"].eqNullSafe(table["dropped_id"]) & (rows[name] == table["dropped_sha"])
     others = others.join(dropped, among(others, dropped), "left_anti")
     if not repeated.isEmpty():
-        one = others.join(repeated, among(others, repeated), "left_semi").dropDuplicates(["doc_id", "__sha"])
+        one = others.join(repeated, among(others, repeated), "left_semi").dropDuplicates(["doc_id", name])
         others = others.join(repeated, among(others, repeated), "left_anti").unionByName(one)
-    return free.unionByName(others.drop("__sha"))
+    return free.unionByName(others.drop(name))
 
 
 def ascii_lower(text: Column) -> Column:
