@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of the test items' windows, scanned against every window of the documents.
 
-Hash hits are verified word by word. The set is broadcast up to a number of windows; a larger one is dealt into slices
-of that size by hash, the documents are scanned once for each slice, and the hits of a document are put together.
+Hash hits are verified word by word. The set is sorted arrays, broadcast up to a number of bytes (and of windows); a larger one is dealt into
+slices by hash, the documents are scanned once for each slice, and the hits of a document are put together.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .shared import settle
 from .words import ALPHANUMERIC, Words, grams, text_slices
 
 WINDOW = 10
-MOST_WINDOWS = 1_000_000
+MOST_WINDOWS, MOST_BYTES = 1_000_000, 64 << 20
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
@@ -46,31 +46,47 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
     return rows.mapInArrow(find, "item string, words int, h long, gram binary").distinct()
 
 
-def _scanner(spark, windows: list, whole: bool):
-    sets: dict[int, dict[int, list[tuple[bytes, str]]]] = {}
-    for item, k, h, gram in windows:
-        sets.setdefault(k, {}).setdefault(h, []).append((bytes(gram), item))
-    shared = spark.sparkContext.broadcast({k: (np.sort(np.fromiter(found, np.int64, len(found)).view(np.uint64)), found) for k, found in sets.items()})
+def _slices(windows: DataFrame, most_windows: int) -> int:
+    """Into how many parts windows are dealt, so that none has more windows or bytes than it may."""
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("gram") + F.octet_length("item") + 32).alias("bytes")).first()
+    return max(1, -(-size["n"] // most_windows), -(-(size["bytes"] or 0) // MOST_BYTES))
+
+
+def _scanner(windows: DataFrame, whole: bool):
+    """windows: a part of them, which the driver gathers as arrays and workers get."""
+    table = windows.select("words", "h", "gram", "item").toArrow()
+    keys = table.column("h").to_numpy().view(np.uint64)
+    order = np.lexsort((keys, table.column("words").to_numpy()))
+    table, keys = table.take(order), keys[order]
+    sizes, first = np.unique(table.column("words").to_numpy(), return_index=True)
+    sets = {int(k): slice(int(i), int(j)) for k, i, j in zip(sizes, first, [*first[1:], len(keys)])}
+    grams_ = pa.concat_arrays([c.cast(pa.large_binary()) for c in table.column("gram").chunks] or [pa.array([], pa.large_binary())])
+    ends = np.cumsum(pc.binary_length(grams_).to_numpy(zero_copy_only=False), dtype=np.int64)
+    names, item = np.unique(np.array(table.column("item").to_pylist(), object).astype(str), return_inverse=True)
+    shared = windows.sparkSession.sparkContext.broadcast((sets, keys, np.concatenate([[0], ends]).astype(np.int64), b"".join(grams_.to_pylist()), names.tolist(), item.astype(np.int32)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sets = Words(ALPHANUMERIC), shared.value
+        words, (sets, every, at, text, names, item) = Words(ALPHANUMERIC), shared.value
         for batch in batches:
             n_words, places, items = [], [], []
             for _, data, offsets in text_slices(batch.column(1)):
                 starts, ends, doc, h = words(data, offsets)
                 bounds = np.searchsorted(doc, np.arange(len(offsets)))
                 hit, found_items = np.zeros(len(starts), bool), {}
-                for k, (keys, found) in sets.items():
+                for k, of in sets.items():
                     if len(h) < k:
                         continue
-                    g = grams(h, k)
-                    near = keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g
+                    g, keys = grams(h, k), every[of]
+                    place = np.searchsorted(keys, g)
+                    near = keys[np.minimum(place, len(keys) - 1)] == g
                     for i in np.flatnonzero(near & (doc[: len(g)] == doc[k - 1 :])):
                         said = b" ".join(data[s:e].tobytes() for s, e in zip(starts[i : i + k], ends[i : i + k]))
-                        for gram, item in found[int(g[i].view(np.int64))]:
-                            if gram == said:
+                        j = of.start + int(place[i])
+                        while j < of.stop and every[j] == g[i]:
+                            if text[at[j] : at[j + 1]] == said:
                                 hit[i : i + k] = True
-                                found_items.setdefault(int(doc[i]), set()).add(item)
+                                found_items.setdefault(int(doc[i]), set()).add(names[item[j]])
+                            j += 1
                 n_words += np.diff(bounds).tolist()
                 for i in range(len(offsets) - 1):
                     some = i in found_items
@@ -100,20 +116,19 @@ def find_contamination(
     no words; an item without an id has the empty id; an empty benchmark hits nothing. Texts of any length are scanned whole, in their task. Rows that
     repeat an id are judged each; other columns are not read, whatever their names.
     """
-    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
+    kind = docs.schema[doc_id].dataType.simpleString()
     windows = settle(item_windows(items, item_id, item_text, window), "windows")
-    count = windows.count()
-    slices = max(1, -(-count // most_windows))
+    slices = _slices(windows, most_windows)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if slices == 1:
-        out = rows.mapInArrow(_scanner(spark, windows.collect(), True), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
+        out = rows.mapInArrow(_scanner(windows, True), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
     else:
         # Rows of one id and text have the same hits.
         rows = rows.withColumn("t", F.sha2(F.coalesce("text", F.lit("")), 256))
         scans = []
         for i in range(slices):
-            part = windows.where(F.pmod("h", F.lit(slices)) == i).collect()
-            found = rows.mapInArrow(_scanner(spark, part, False), f"doc_id {kind}, t string, n_words long, places array<int>, items array<string>")
+            part = windows.where(F.pmod("h", F.lit(slices)) == i)
+            found = rows.mapInArrow(_scanner(part, False), f"doc_id {kind}, t string, n_words long, places array<int>, items array<string>")
             scans.append(settle(found if i == 0 else found.where("size(items) > 0"), f"hits-{i}"))
         base = scans[0].select("doc_id", "t", "n_words")
         every = scans[0].where("size(items) > 0")
@@ -132,12 +147,12 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """The rows of docs without any hit, with all their columns. Each row is judged on its own, in one pass over the texts for each slice of windows; a pass leaves the next one only the rows that it did not hit."""
     windows = settle(item_windows(items, "item_id", "text", WINDOW), "windows")
-    slices = max(1, -(-windows.count() // most_windows))
+    slices = _slices(windows, most_windows)
     for i in range(slices):
         if i:
             docs = settle(docs, f"clean-{i}")
-        part = windows.where(F.pmod("h", F.lit(slices)) == i).collect()
-        docs = docs.mapInArrow(_cleaner(_scanner(docs.sparkSession, part, True)), docs.schema)
+        part = windows.where(F.pmod("h", F.lit(slices)) == i)
+        docs = docs.mapInArrow(_cleaner(_scanner(part, True)), docs.schema)
     return docs
 
 
