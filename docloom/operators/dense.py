@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .sparse import top_k
 
-#: Queries that are sent to the workers at a time.
-BLOCK = 4096
+#: Queries that are sent to the workers at a time, and rows that are compared with all of them at once: 32 MB of scores.
+BLOCK, ROWS = 4096, 1024
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -51,13 +51,15 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                 x = np.array(lists.filter(pa.array(fits)).flatten(), np.float64).reshape(-1, max(1, matrix.shape[1]))
                 if not len(x):
                     continue
-                own = np.array(batch.column(0), np.int64)[fits]
-                s = np.round(matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, digits) + 0.0
-                if not keep_self:
-                    s[names[:, None] == own[None, :]] = -np.inf
-                s, own = np.concatenate([best_s, s], axis=1), np.concatenate([best_k, np.broadcast_to(own, s.shape)], axis=1)
-                order = np.lexsort((own, -s), axis=1)[:, :k]
-                best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
+                ids = np.array(batch.column(0), np.int64)[fits]
+                for at in range(0, len(x), ROWS):
+                    some, own = x[at : at + ROWS], ids[at : at + ROWS]
+                    s = np.round(matrix @ (some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-300)).T, digits) + 0.0
+                    if not keep_self:
+                        s[names[:, None] == own[None, :]] = -np.inf
+                    s, own = np.concatenate([best_s, s], axis=1), np.concatenate([best_k, np.broadcast_to(own, s.shape)], axis=1)
+                    order = np.lexsort((own, -s), axis=1)[:, :k]
+                    best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
             kept = np.isfinite(best_s).ravel()
             arrays = [np.repeat(names, best_s.shape[1])[kept], best_k.ravel()[kept], best_s.ravel()[kept]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query", key, "score"])

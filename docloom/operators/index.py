@@ -105,3 +105,55 @@ def longest_prefix(rows: DataFrame, path: str, roots: DataFrame, root: str) -> D
     found = paths.select(path, F.explode(levels).alias(root)).join(roots, root)
     best = found.groupBy(path).agg(F.max_by(F.struct(*roots.columns), F.length(root)).alias("__root"))
     return rows.join(best, path, "left").select(*rows.columns, "__root.*")
+
+
+def delete_url(table: DataFrame, doc_url: str | None, url: str = "url") -> DataFrame:
+    """table without the rows of a URL; a blank one deletes nothing."""
+    return table.where(~F.col(url).eqNullSafe(doc_url)) if (doc_url or "").strip() else table
+
+
+def delete_points(table: DataFrame, ids: DataFrame, key: str = "point_id") -> DataFrame:
+    return table.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def points_of_urls(table: DataFrame, wanted: DataFrame, url: str = "url", key: str = "point_id") -> DataFrame:
+    """(url, points, first_point) of every wanted URL, 0 if it has none."""
+    counts = table.groupBy(url).agg(F.count(F.lit(1)).alias("points"), F.min(key).alias("first_point"))
+    return wanted.select(url).distinct().join(counts, url, "left").select(url, F.coalesce("points", F.lit(0)).alias("points"), "first_point")
+
+
+def sufficient_coverage(files: DataFrame, stored: DataFrame, url: str = "url", expected: str = "expected") -> DataFrame:
+    """files with covered: the URL has points, and at least as many as are expected (if any are)."""
+    counts = stored.groupBy(F.col(url).alias("__url")).agg(F.count(F.lit(1)).alias("__points"))
+    joined = files.join(counts, files[url] == counts["__url"], "left")
+    points, wanted = F.coalesce("__points", F.lit(0)), F.coalesce(expected, F.lit(0))
+    return joined.withColumn("covered", (points > 0) & ((wanted <= 0) | (points >= wanted))).drop("__url", "__points")
+
+
+def require_schema(table: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """table, if it has every wanted column in its type; else an error that names the first that it lacks."""
+    have = dict(table.dtypes)
+    for name, kind in wanted.items():
+        if have.get(name) != kind:
+            raise TypeError(f"{name} is {have.get(name, 'absent')}, not {kind}")
+    return table
+
+
+def discovered_collections(collections: DataFrame, prefix: str) -> DataFrame:
+    """(name, status) of collections (name, valid) with the prefix; one that is not valid makes all FAILED, and none of them is used."""
+    found = collections.where(F.col("name").startswith(prefix))
+    whole = found.agg(F.min(F.coalesce("valid", F.lit(False))).alias("all_valid"))
+    return found.join(F.broadcast(whole)).select("name", F.when(F.col("all_valid"), "READY").otherwise("FAILED").alias("status"))
+
+
+def accepted_mirrors(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources (source, min_files) with files and accepted: a staged mirror is published only if it has so many pages."""
+    counts = files.where(F.col("path").rlike(r"(?i)\.html?$")).groupBy("source").agg(F.count(F.lit(1)).alias("files"))
+    joined = sources.join(counts, "source", "left").withColumn("files", F.coalesce("files", F.lit(0)))
+    return joined.withColumn("accepted", F.col("files") >= F.col("min_files"))
+
+
+def quarantined(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows without a reason, and the others with it: two tables, nothing is lost."""
+    judged = rows.withColumn("reason", reason)
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")

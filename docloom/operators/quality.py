@@ -70,3 +70,33 @@ def duration_text(seconds: Column) -> Column:
     d, h, m = (x.cast("long").cast("string") for x in (F.floor(seconds / 86400), F.floor(F.pmod(seconds, F.lit(86400)) / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60)))
     minutes = F.concat(m, F.lit("m"))
     return F.when(seconds >= 86400, F.concat(d, F.lit("d "), h, F.lit("h "), minutes)).when(seconds >= 3600, F.concat(h, F.lit("h "), minutes)).otherwise(minutes)
+
+
+def latest_reset_seconds(*headers: Column) -> Column:
+    """The largest positive duration of several headers; null if none has one."""
+    largest = F.greatest(*(F.coalesce(duration_seconds(h), F.lit(0)) for h in headers), F.lit(0).cast("long"))
+    return F.when(largest > 0, largest)
+
+
+def is_spam(honeypot: Column, rendered_at: Column, received_at: Column, least_ms: int = 3000) -> Column:
+    """A form that has the hidden field filled, no time of rendering, or was sent sooner than a person could."""
+    filled = F.trim(F.coalesce(honeypot, F.lit(""))) != ""
+    return filled | F.coalesce(rendered_at <= 0, F.lit(True)) | F.coalesce(received_at - rendered_at < least_ms, F.lit(True))
+
+
+def chunk_outcome(hashes: Column, total: Column, skipped: Column) -> Column:
+    """(generated_none, skipped_all, valid) of a page's chunks: valid if no count is negative, none exceeds the total and every chunk has a hash."""
+    valid = (total >= 0) & (skipped >= 0) & (skipped <= total) & (F.size(hashes) == total)
+    return F.struct((total == 0).alias("generated_none"), ((total > 0) & (skipped == total)).alias("skipped_all"), valid.alias("valid"))
+
+
+def run_totals(files: DataFrame, run: str) -> DataFrame:
+    """(run, files, tokens, seconds, per_second) of files (seconds, tokens)."""
+    out = files.groupBy(run).agg(F.count(F.lit(1)).alias("files"), F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"))
+    return out.withColumn("per_second", F.when(F.col("seconds") > 0, F.col("files") / F.col("seconds")).otherwise(0.0))
+
+
+def joined_notices(notices: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:
+    """(by, notice): texts in order, parted by semicolons. An answer's notices are few."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text"))))
+    return notices.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "; ").alias("notice"))
