@@ -1,8 +1,11 @@
 import hashlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from docloom.llm import language_id
 from tests.llm.test_dedup import brute, lower
 from tests.llm.test_text_operators import contamination, targets
 
@@ -22,8 +25,39 @@ def folder(spark, tmp_path_factory):
     return path
 
 
+def with_a_language(rows):
+    """Rows nearer to a language than chance, by vectors that are bound, permuted and bundled gram by gram."""
+    size, letters, grams = 2048, {}, {}
+    profiles = language_id.Profiles(size)
+
+    def letter(code):
+        if code not in letters:
+            letters[code] = profiles.letter(code)
+        return letters[code]
+
+    def vector(text):
+        codes = [0]
+        for c in (text or "").lower():
+            if c.isalpha():
+                codes.append(ord(c))
+            elif codes[-1]:
+                codes.append(0)
+        codes += [0] if codes[-1] else []
+        total = np.zeros(size)
+        for gram, n in Counter(zip(codes, codes[1:], codes[2:])).items():
+            if gram not in grams:
+                grams[gram] = np.prod([np.roll(letter(x), j + 1) for j, x in enumerate(gram)], axis=0)
+            total += n * grams[gram].astype(float)
+        return total
+
+    vectors = [vector(r.text) for r in rows]
+    prototypes = {lang: sum(v for r, v in zip(rows, vectors) if r.lang == lang) for lang in {r.lang for r in rows} - {None}}
+    unit = np.stack([x / np.linalg.norm(x) for x in prototypes.values()])
+    return [r for r, v in zip(rows, vectors) if v.any() and (unit @ v).max() / np.linalg.norm(v) >= 3 / size**0.5]
+
+
 def by_hand(rows, items):
-    rows = [r for r in rows if any(c.isalpha() for c in r.text or "")]
+    rows = with_a_language(rows)
     texts = {}
     for r in rows:
         key = lower(r.text)
