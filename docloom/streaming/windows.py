@@ -12,32 +12,32 @@ from pyspark.sql import functions as F
 
 
 class FixedWindow:
-    """At most `most` acceptances within `seconds` of the window's first; the next one after that starts a new window."""
+    """At most `most` acceptances within `seconds` of the window's first; the next one after that starts a new window. What is not delivered gives its place back."""
 
     def __init__(self, most: int = 3, seconds: int = 3600):
         self.most, self.seconds, self.began, self.used = most, seconds, None, 0
 
-    def accept(self, at: float) -> bool:
+    def accept(self, at: float, delivered: bool = True) -> bool:
         if self.began is None or at >= self.began + self.seconds:
             self.began, self.used = at, 0
         if self.used >= self.most:
             return False
-        self.used += 1
+        self.used += delivered
         return True
 
 
-def fixed_window_limit(events: DataFrame, key: str, ts: str, order: str, most: int = 3, seconds: int = 3600) -> DataFrame:
-    """events (key and order are integers) with accepted. Each task reads its keys' events in order and holds one window at a time, however many a key has."""
-    rows = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).repartition(key).sortWithinPartitions(key, "__at", order)
+def fixed_window_limit(events: DataFrame, key: str, ts: str, order: str, most: int = 3, seconds: int = 3600, delivered: str | None = None) -> DataFrame:
+    """events (key and order are integers) with accepted; delivered: a boolean column, null counts as true. Each task reads its keys' events in order and holds one window at a time, however many a key has."""
+    rows = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"), F.coalesce(delivered, F.lit(True)).alias("__delivered") if delivered else F.lit(True).alias("__delivered")).repartition(key).sortWithinPartitions(key, "__at", order)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, window = object(), None
         for batch in batches:
             said = []
-            for k, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for k, at, sent in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if k != last:
                     last, window = k, FixedWindow(most, seconds * 1_000_000)
-                said.append(window.accept(at))
+                said.append(window.accept(at, sent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.bool_())], [key, order, "accepted"])
 
     return rows.mapInArrow(judge, f"{key} long, {order} long, accepted boolean")
@@ -60,3 +60,18 @@ def extended_limits(limits: DataFrame, key: str, at: str, until: str) -> DataFra
     """limits (key, at, until) with active_until after each: a window is only ever extended, or replaced when it has passed."""
     so_far = W.partitionBy(key).orderBy(at, until).rowsBetween(W.unboundedPreceding, W.currentRow)
     return limits.withColumn("active_until", F.max(until).over(so_far))
+
+
+def provider_windows(events: DataFrame, key: str, at: str, order: str, failed: str, until: str, window: int) -> DataFrame:
+    """events with available, active_until and failures, as they are after each in the order of (at, order); at and until are integers of one unit.
+
+    A failed event is a rate limit until `until`, or without one for `window` from at. While a limit lasts it is only ever extended; one that has
+    passed is replaced. So the limit that lasts is the largest so far. failures: since the last event that did not fail.
+    """
+    before = W.partitionBy(key).orderBy(at, order)
+    limit = F.when(F.col(failed), F.coalesce(until, F.col(at) + window))
+    marked = events.withColumn("__limit", limit).withColumn("__run", F.count(F.when(~F.col(failed), 1)).over(before.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    largest, run = F.max("__limit").over(before.rowsBetween(W.unboundedPreceding, W.currentRow)), W.partitionBy(key, "__run").orderBy(at, order)
+    lasting = F.when(largest > F.col(at), largest)
+    failures = F.count(F.when(F.col(failed), 1)).over(run.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return marked.select(*events.columns, lasting.isNull().alias("available"), lasting.alias("active_until"), failures.alias("failures"))
