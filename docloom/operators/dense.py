@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .sparse import top_k
 
-#: Queries that are sent to the workers at a time, and rows that are compared with all of them at once: 32 MB of scores.
-BLOCK, ROWS = 4096, 1024
+#: Bytes of query vectors that are sent to the workers at a time, at most, and of scores that are made at once.
+BLOCK_BYTES, SCORE_BYTES = 32 << 20, 32 << 20
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,45 +24,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, total(F.zip_with(a, b, lambda x, y: x * y)) / norm)
 
 
+def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each query by descending score, then key; sorted by query."""
+    order = np.lexsort((key, -score, query))
+    query, key, score = query[order], key[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], key[kept], score[kept]
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", keep_self: bool = True, digits: int = 6) -> DataFrame:
     """(query, key, score, rank): the k nearest rows of vectors for each row of queries, by cosine rounded to `digits`, then key.
 
-    Each task keeps its own k best per query, so only those are shuffled. Queries go to the workers in blocks of BLOCK. Null vectors and
-    vectors of another length than the queries' are no neighbours.
+    Each task keeps its own k best per query, so only those are shuffled. Queries are dealt by hash to blocks of some BLOCK_BYTES, of which one at a time is
+    with the driver; each scans vectors once. Null vectors and vectors of another length than the queries' are no neighbours.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(embedding).isNotNull()).select(key, embedding)
-    found = None
-    ids = [r[0] for r in queries.where(F.col(embedding).isNotNull()).select(key).orderBy(key).collect()]
-    for first in range(0, max(1, len(ids)), BLOCK):
-        block = ids[first : first + BLOCK]
-        data = queries.where(F.col(key).between(block[0], block[-1])).select(key, embedding).orderBy(key).collect() if block else []
-        names = np.array([r[0] for r in data], np.int64)
-        matrix = np.array([r[1] for r in data], np.float64).reshape(len(data), -1)
+    asked = queries.where(F.col(embedding).isNotNull()).select(key, embedding)
+    count, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(0))).first()
+    blocks, found = max(1, -(-count * width * 8 // BLOCK_BYTES)), None
+    for block in range(blocks):
+        data = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).orderBy(key).toArrow()
+        names = np.array(data.column(0), np.int64)
+        matrix = np.array(data.column(1).combine_chunks().flatten(), np.float64).reshape(len(names), -1) if len(names) else np.zeros((0, 1))
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((names, matrix))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            best_s, best_k = np.full((len(names), 0), 0.0), np.zeros((len(names), 0), np.int64)
+            at_once = max(1, SCORE_BYTES // (8 * max(1, len(names))))
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            # Of a query with k entries, the score that a row has to reach.
+            floor = np.full(len(names), -np.inf)
             for batch in batches:
                 lists = batch.column(1)
                 fits = np.array(lists.value_lengths()) == matrix.shape[1] if len(names) else np.zeros(len(lists), bool)
-                x = np.array(lists.filter(pa.array(fits)).flatten(), np.float64).reshape(-1, max(1, matrix.shape[1]))
-                if not len(x):
-                    continue
+                x = np.array(lists.filter(pa.array(fits)).flatten(), np.float64).reshape(-1, matrix.shape[1])
                 ids = np.array(batch.column(0), np.int64)[fits]
-                for at in range(0, len(x), ROWS):
-                    some, own = x[at : at + ROWS], ids[at : at + ROWS]
+                for at in range(0, len(x), at_once):
+                    some, own = x[at : at + at_once], ids[at : at + at_once]
                     s = np.round(matrix @ (some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-300)).T, digits) + 0.0
                     if not keep_self:
                         s[names[:, None] == own[None, :]] = -np.inf
-                    s, own = np.concatenate([best_s, s], axis=1), np.concatenate([best_k, np.broadcast_to(own, s.shape)], axis=1)
-                    order = np.lexsort((own, -s), axis=1)[:, :k]
-                    best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
-            kept = np.isfinite(best_s).ravel()
-            arrays = [np.repeat(names, best_s.shape[1])[kept], best_k.ravel()[kept], best_s.ravel()[kept]]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query", key, "score"])
+                    if len(own) > k:
+                        floor = np.maximum(floor, np.partition(s, len(own) - k, axis=1)[:, len(own) - k])
+                    q, c = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+                    best = _best(*(np.concatenate(pair) for pair in zip(best, (q, own[c], s[q, c]))), k)
+                    last = np.flatnonzero(np.bincount(best[0], minlength=len(names)) == k)
+                    floor[last] = np.maximum(floor[last], best[2][np.searchsorted(best[0], last, "right") - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query", key, "score"])
 
         part = rows.mapInArrow(search, f"query long, {key} long, score double")
         found = part if found is None else found.unionByName(part)
