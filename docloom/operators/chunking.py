@@ -29,9 +29,25 @@ def token_windows(docs: DataFrame, tokens: Column, max_tokens: int = MAX_TOKENS,
     return cut.withColumn("chunk", F.slice("__tokens", F.col("chunk_index") * step + 1, F.lit(max_tokens))).drop("__tokens")
 
 
-def global_chunk_index(chunks: DataFrame, key: str, *order: str) -> DataFrame:
-    """With global_index: chunks of a key numbered from 0 over all its segments or pages, skipped chunks included."""
-    return chunks.withColumn("global_index", F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
+def global_chunk_index(chunks: DataFrame, key: str, *order: str, span: tuple[int, int] | None = None, pieces: int = 64) -> DataFrame:
+    """With global_index: chunks of a key numbered from 0 over all its segments or pages, skipped chunks included.
+
+    With the span (least, largest) of the first of order, a number, a key's chunks are cut into `pieces` ranges of it; each is numbered for itself,
+    after the counts of those before, so that a key that holds a third of all rows is many tasks. Without it a key is one. Values beyond
+    the span fall into the ranges at its ends.
+    """
+    if span is None:
+        return chunks.withColumn("global_index", F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
+    low, high = span
+    piece = F.floor((F.col(order[0]) - low) / F.lit(max(1, high - low + 1)) * pieces)
+    # Null comes first in the order.
+    placed = chunks.withColumn("__piece", F.when(F.col(order[0]).isNull(), -1).otherwise(F.greatest(F.lit(0), F.least(F.lit(pieces - 1), piece))))
+    counts = placed.groupBy(F.col(key).alias("__key"), F.col("__piece").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("__key").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    own = F.row_number().over(W.partitionBy(key, "__piece").orderBy(*order)) - 1
+    joined = placed.join(offsets, placed[key].eqNullSafe(offsets["__key"]) & (placed["__piece"] == offsets["__at"]))
+    return joined.withColumn("global_index", own + F.col("__before")).drop("__piece", "__key", "__at", "__n", "__before")
 
 
 def keep_last_tokens(tokens: Column, n: int) -> Column:

@@ -20,7 +20,8 @@ def e2_token_windows(spark, sf_dir):
 def e9_global_chunk_index(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     windows = chunking.token_windows(docs, chunking.white_space_tokens(F.col("text")), 200, 50).select("source", "doc_id", "chunk_index")
-    return chunking.global_chunk_index(windows, "source", "doc_id", "chunk_index")
+    span = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return chunking.global_chunk_index(windows, "source", "doc_id", "chunk_index", span=None if span[0] is None else tuple(span))
 
 
 def h14_keep_last_tokens(spark, sf_dir):

@@ -114,7 +114,7 @@ def a14_mirrors(spark, sf_dir):
 
 
 def a27_collections(spark, sf_dir):
-    named = lambda p, bad: read(spark, sf_dir, "documents").where("doc_id < 9000000").groupBy("source").agg(F.max(F.col("doc_id") % 100 < bad).alias("valid")).select(F.concat(F.lit(p), "source").alias("name"), "valid")
+    named = lambda p, bad: read(spark, sf_dir, "documents").groupBy("source").agg(F.max(F.col("doc_id") % 100 < bad).alias("valid")).select(F.concat(F.lit(p), "source").alias("name"), "valid")
     both = named("github-a-", 100).unionByName(named("github-b-", 0)).unionByName(named("docs-", 0))
     return index.discovered_collections(both, "github-a-").unionByName(index.discovered_collections(both, "github-b-"))
 

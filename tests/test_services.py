@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import dense, faults, lessons, vectors
+from docloom.operators import chunking, dense, faults, lessons, vectors
 
 
 def test_schema_names_every_fault(spark):
@@ -90,3 +90,13 @@ def test_dense_search_in_blocks_equals_brute_force(spark, monkeypatch, keep_self
     scores = np.round(unit @ unit.T, 6) + 0.0
     want = {(q, k, r + 1) for q in range(120) for r, k in enumerate(sorted((k for k in range(120) if keep_self or k != q), key=lambda k: (-scores[q, k], k))[:5])}
     assert {(r["query"], r["vec_id"], r["rank"]) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("span", [(0, 299), (100, 150), (7, 7)])
+def test_chunk_numbers_by_ranges(spark, span):
+    rows = [("hot" if i % 3 else None, i, c) for i in range(300) for c in range(i % 4)] + [("hot", None, 0), ("one", 5, 0)]
+    chunks = spark.createDataFrame(rows, "source string, doc_id long, chunk int")
+    whole = chunking.global_chunk_index(chunks, "source", "doc_id", "chunk").collect()
+    cut = chunking.global_chunk_index(chunks, "source", "doc_id", "chunk", span=span, pieces=8)
+    assert cut.columns == [*chunks.columns, "global_index"]
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole))
