@@ -151,14 +151,19 @@ def main_content(root: Node) -> Node | None:
     return max(divs, key=lambda e: len(e.text())) if divs else None
 
 
-def _list(x: Node, depth: int, out: list[str]) -> None:
-    for item in x.elements:
-        if item.tag != "li":
-            continue
-        if own := item.own_text():
-            out.append("\n" + "  " * depth + "• " + own)
-        for child in item.elements:
-            _list(child, depth + 1, out) if child.tag in ("ul", "ol") else _formatted(child, out)
+def _list(x: Node, out: list[str]) -> None:
+    """The items of a list, and of the lists in them. Nested lists are on a stack of their own, so no page is nested too deep."""
+    stack: list[tuple[Node, int | None]] = [(x, 0)]
+    while stack:
+        x, depth = stack.pop()
+        if depth is None:
+            _formatted(x, out)
+        elif x.tag == "li":
+            if own := x.own_text():
+                out.append("\n" + "  " * depth + "• " + own)
+            stack.extend((c, depth + 1 if c.tag in ("ul", "ol") else None) for c in reversed(x.elements))
+        else:
+            stack.extend((c, depth) for c in reversed(x.elements) if c.tag == "li")
 
 
 def _formatted(x: Node, out: list[str]) -> None:
@@ -170,7 +175,7 @@ def _formatted(x: Node, out: list[str]) -> None:
     elif x.tag in ("pre", "code"):
         out.append(f"\n```\n{x.whole_text()}\n```\n")
     elif x.tag in ("ul", "ol"):
-        _list(x, 0, out)
+        _list(x, out)
         out.append("\n")
     elif x.tag == "table":
         out.extend("\n" + " | ".join(c.text() for c in row.find("td", "th")) for row in x.find("tr"))

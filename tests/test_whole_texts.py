@@ -25,3 +25,12 @@ def test_documents_that_do_not_fit_are_left_out_whole(spark, folder):
     # 750 tokens are left: 501 for document 2 but not 301 more for 4; then the turn, and 101 for document 1 but not 1001 for 3.
     (found,) = queries.QUERIES["i15_i16_fitted_prompt"](spark, folder).collect()
     assert (found.id, found.kept, found.turns, found.minimal, found.error) == (1, "1:LOW:101 2:HIGH:501", "0", False, False)
+
+
+def test_deeply_nested_lists():
+    from docloom.functions import html
+
+    nested = "<p>Above the lists.</p>" + "<ul><li>item" * 3000 + "</li></ul>" * 3000
+    lines = html.clean_text(f"<body>{nested}</body>").split("\n")
+    assert lines[0] == "Above the lists." and lines[1] == "• item" and lines[-1] == "  " * 2999 + "• item" and len(lines) == 3001
+    assert html.clean_text("<body><p>One.</p><ul><li>a b c d<ol><li>e f g h</li></ol><p>Said here.</p></li><li>i j k l</li></ul></body>").split("\n") == ["One.", "• a b c d", "  • e f g h", "Said here.", "• i j k l"]
