@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import faults, lessons, quality, vectors
+from docloom.sources import mirrors
 from docloom.tables import read
 
 BATCH, RESPONSE, DIMENSION = 32, 16, 64
@@ -79,7 +80,18 @@ def a25_quarantine(spark, sf_dir):
     return copies.select("inspection_path", "fingerprint", "files", F.length("content").alias("characters"))
 
 
+def h43_published_identities(spark, sf_dir):
+    """Mirrors of 25 pages, which declare a version, another one on one page, or none, and show the release or hold it in a script."""
+    m, n = F.floor(F.col("page_id") / 25), F.col("page_id") % 25
+    version = F.when(m % 4 == 0, "25").when((m % 4 == 1) & (n == 3), "26").when(m % 4 == 1, "25").when(m % 4 == 3, " 25 ")
+    meta = F.coalesce(F.concat(F.lit('<META NAME="Version" content="'), version, F.lit('">')), F.lit(""))
+    shown = F.when(m % 3 == 0, "<script>Release 25</script>").otherwise("<p>Release\n<b>25</b></p>")
+    pages = read(spark, sf_dir, "pages").select(m.alias("mirror"), F.concat(meta, shown, F.coalesce("html", F.lit(""))).alias("html"), (n == 1).alias("required"))
+    return mirrors.published_identities(pages, "mirror", "html", "required", "25", "Release 25")
+
+
 QUERIES = {
+    "h43_published_identities": h43_published_identities,
     "h56_vector_faults": h56_vector_faults,
     "h57_declared_order": h57_declared_order,
     "h62_error_categories": h62_error_categories,
@@ -90,6 +102,8 @@ QUERIES = {
 }
 
 SQL = {
+    "h43_published_identities": """WITH p AS (SELECT page_id // 25 AS mirror, page_id % 25 AS n FROM pages), v AS (SELECT *, CASE mirror % 4 WHEN 1 THEN CASE WHEN n = 3 THEN '26' ELSE '25' END WHEN 2 THEN NULL ELSE '25' END AS version FROM p)
+        SELECT mirror, min(version) AS least_version, max(version) AS most_version, coalesce(min(version) = '25' AND max(version) = '25', false) AS version_agrees, bool_or(n = 1 AND mirror % 3 <> 0) AS text_found FROM v GROUP BY mirror""",
     "h56_vector_faults": """WITH v AS (SELECT vec_id // 32 AS batch, vec_id % 32 AS position, CASE WHEN vec_id % 97 = 5 THEN NULL WHEN vec_id % 89 = 3 THEN 10 ELSE len(embedding) END AS length FROM embeddings),
         b AS (SELECT batch, count(*) AS received, count(*) + CASE WHEN batch % 13 = 4 THEN 1 ELSE 0 END AS expected, min(CASE WHEN length IS NULL OR length <> 64 THEN position END) AS first FROM v GROUP BY batch)
         SELECT b.batch, expected, received, CASE WHEN expected <> received THEN 'count' WHEN v.length IS NULL THEN 'null' ELSE 'dimension' END AS fault,

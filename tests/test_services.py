@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, dense, faults, lessons, vectors
+from docloom.sources import mirrors
 
 
 def test_schema_names_every_fault(spark):
@@ -100,3 +101,14 @@ def test_chunk_numbers_by_ranges(spark, span):
     cut = chunking.global_chunk_index(chunks, "source", "doc_id", "chunk", span=span, pieces=8)
     assert cut.columns == [*chunks.columns, "global_index"]
     assert sorted(map(str, cut.collect())) == sorted(map(str, whole))
+
+
+def test_published_identities(spark):
+    rows = [
+        ("good", "<meta name=version content=' 25 '><p>Java <i>25</i></p>", True), ("good", "<meta name=VERSION content=25>", False), ("good", None, None),
+        ("mixed", "<meta name=version content=25>", True), ("mixed", "<meta name=version content=24>", False), ("bare", "<style>Java 25</style>Java", True), ("elsewhere", "Java 25", False),
+    ]
+    pages = spark.createDataFrame(rows, "mirror string, html string, required boolean")
+    found = {r["mirror"]: tuple(r)[1:] for r in mirrors.published_identities(pages, "mirror", "html", "required", "25", "Java 25").collect()}
+    assert found == {"good": ("25", "25", True, True), "mixed": ("24", "25", False, False), "bare": (None, None, False, False), "elsewhere": (None, None, False, False)}
+    assert mirrors.published_identities(pages.limit(0), "mirror", "html", "required", "25", "x").count() == 0
