@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat_format, decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, token_count, url_filter
-from .shared import read
+from . import chat_format, decontaminate, exact_dedup, fill_middle, language_id, line_dedup, lm_score, manifest, mixing, near_dedup, pii, token_count, url_filter
+from .shared import ascii_lower, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,30 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    proofs = manifest.prove_rows(docs, found={"text": ascii_lower(docs["text"])}, where=fold() == 0)
+    names = {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof": "proof_sha256", "folded": "folded_root"}
+    return proofs.select("doc_id", *(F.lower(F.hex(a)).alias(b) for a, b in names.items()), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -166,6 +190,79 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+t AS (
+  SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d),
+n AS (SELECT *, CAST(len(tokens) AS BIGINT) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b FROM t),
+s AS (
+  SELECT *, array_to_string(list_slice(tokens, 1, a), '') AS p, array_to_string(list_slice(tokens, a + 1, b), '') AS m, array_to_string(list_slice(tokens, b + 1, n), '') AS s,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM s
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '-')) >= 3),
+x AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.keep_id AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM x GROUP BY r
+"""
+
+CRC32 = "xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')" for x in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _climb_sql(name: str, levels: int) -> str:
+    """Supersteps over {name}_0 (tree, i, digest): runs of each level, and the nodes above them; the top of a tree passes through."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}_runs_{k} AS (SELECT tree, i // 16 AS i, list(digest ORDER BY i) AS run, any_value(width) AS width FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS width FROM {name}_{k}) GROUP BY tree, i // 16)")
+        out.append(f"{name}_{k + 1} AS (SELECT tree, i, CASE WHEN width = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS digest FROM {name}_runs_{k})")
+    return ",\n".join(out)
+
+
+def _path_sql(name: str, before: str, tree: str, place: str, levels: int) -> str:
+    """Paths through {name}'s levels: folds the digest of each row and gathers the digests beside it."""
+    out = []
+    for k in range(levels):
+        at, pos = f"({place} // {16**k})", f"({place} // {16**k} % 16)"
+        left, right = f"array_to_string(run[1:{pos}], '')", f"array_to_string(run[{pos} + 2:], '')"
+        last = before if k == 0 else f"{name}_path_{k - 1}"
+        out.append(
+            f"{name}_path_{k} AS (SELECT p.* EXCLUDE (beside, folded), beside || CASE WHEN width = 1 THEN '' ELSE {left} || {right} END AS beside, CASE WHEN width = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded "
+            f"FROM {last} p JOIN {name}_runs_{k} r ON r.tree IS NOT DISTINCT FROM {tree} AND r.i = {at} // 16)"
+        )
+    return ",\n".join(out)
+
+
+#: Supersteps of a source's tree and of the sources': 16 to their power are the most leaves.
+LEVELS, SOURCE_LEVELS = 6, 4
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN {CRC32} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+n_0 AS (SELECT source AS tree, i, leaf AS digest FROM leaves),
+{_climb_sql("n", LEVELS)},
+subroots AS (SELECT tree AS source, digest AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place FROM n_{LEVELS}),
+s_0 AS (SELECT 0 AS tree, place AS i, subroot AS digest FROM subroots),
+{_climb_sql("s", SOURCE_LEVELS)},
+start AS (SELECT l.doc_id, l.i AS own_place, l.source, l.leaf, b.subroot, b.place, '' AS beside, coalesce(l.other, l.leaf) AS folded FROM leaves l JOIN subroots b ON l.source IS NOT DISTINCT FROM b.source),
+{_path_sql("n", "start", "p.source", "p.own_place", LEVELS)},
+{_path_sql("s", f"n_path_{LEVELS - 1}", "0", "p.place", SOURCE_LEVELS)}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(beside) AS proof_sha256, folded AS folded_root, folded = digest AS verified FROM s_path_{SOURCE_LEVELS - 1}, s_{SOURCE_LEVELS}
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_lm_score": op1_lm_score,
     "op2_near_dedup": op2_near_dedup,
@@ -177,7 +274,10 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_manifest": op13_manifest,
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_fill_middle": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_manifest": OP13_SQL}
