@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.functions import tokenizer
+
 MAX_TOKENS, OVERLAP = 900, 150
 
 
@@ -29,6 +31,25 @@ def token_windows(docs: DataFrame, tokens: Column, max_tokens: int = MAX_TOKENS,
     return cut.withColumn("chunk", F.slice("__tokens", F.col("chunk_index") * step + 1, F.lit(max_tokens))).drop("__tokens")
 
 
+def tokenizer_windows(docs: DataFrame, path: str, text: str = "text", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, **options) -> DataFrame:
+    """docs' columns but the text, with chunk_index (from 0), chunk (its text) and tokens: windows of a tokenizer's tokens.
+
+    A text is encoded once, in the task that has it, and windows are slices of its bytes; no tokens are copied. Null and empty texts have no chunk.
+    """
+    rest = [c for c in docs.columns if c != text]
+    placed = docs.withColumn("__places", tokenizer.window_places(path, F.col(text), max_tokens, overlap, **options))
+    # Cut within the row, so that the exploded rows carry their own chunk and not the text.
+    chunks = F.transform("__places", lambda p: F.struct(tokenizer.decoded(F.col(text), p["first"], p["bytes"]).alias("chunk"), p["tokens"].cast("long").alias("tokens")))
+    return placed.select(*rest, F.posexplode(chunks).alias("chunk_index", "__chunk")).select(*rest, "chunk_index", "__chunk.chunk", "__chunk.tokens")
+
+
+def keep_last_of_tokenizer(path: str, text: Column, n: int, **options) -> Column:
+    """The text of the last n tokens; a text of no more as it is, and null as empty."""
+    text = F.coalesce(text, F.lit(""))
+    before = tokenizer.bytes_before_last(path, text, n, **options)
+    return F.when(before == 0, text).otherwise(tokenizer.decoded(text, before + 1, F.octet_length(text)))
+
+
 def global_chunk_index(chunks: DataFrame, key: str, *order: str, span: tuple[int, int] | None = None, pieces: int = 64) -> DataFrame:
     """With global_index: chunks of a key numbered from 0 over all its segments or pages, skipped chunks included.
 

@@ -32,14 +32,26 @@ def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[kept], key[kept], score[kept]
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", keep_self: bool = True, digits: int = 6) -> DataFrame:
+def _scope(lists: pa.Array, names: np.ndarray) -> np.ndarray:
+    """[query, row]: whether the row's list has the query's name. names are sorted."""
+    lengths = np.array(lists.value_lengths().fill_null(0), np.int64)
+    values, row = np.array(lists.flatten(), np.int64), np.repeat(np.arange(len(lists)), lengths)
+    at = np.searchsorted(names, values)
+    known = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == values)
+    out = np.zeros((len(names), len(lists)), bool)
+    out[at[known], row[known]] = True
+    return out
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", keep_self: bool = True, digits: int = 6, inside: str | None = None) -> DataFrame:
     """(query, key, score, rank): the k nearest rows of vectors for each row of queries, by cosine rounded to `digits`, then key.
 
     Each task keeps its own k best per query, so only those are shuffled. Queries are dealt by hash to blocks of some BLOCK_BYTES, of which one at a time is
     with the driver; each scans vectors once. Null vectors and vectors of another length than the queries' are no neighbours.
+    inside: a column of vectors, the array of the queries' keys in whose scope a row lies; other queries don't see it.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(embedding).isNotNull()).select(key, embedding)
+    rows = vectors.where(F.col(embedding).isNotNull()).select(key, embedding, *([F.col(inside).cast("array<long>")] if inside else []))
     asked = queries.where(F.col(embedding).isNotNull()).select(key, embedding)
     count, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(0))).first()
     blocks, found = max(1, -(-count * width * 8 // BLOCK_BYTES)), None
@@ -61,9 +73,12 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                 fits = np.array(lists.value_lengths()) == matrix.shape[1] if len(names) else np.zeros(len(lists), bool)
                 x = np.array(lists.filter(pa.array(fits)).flatten(), np.float64).reshape(-1, matrix.shape[1])
                 ids = np.array(batch.column(0), np.int64)[fits]
+                seen = _scope(batch.column(2).filter(pa.array(fits)), names) if inside else None
                 for at in range(0, len(x), at_once):
                     some, own = x[at : at + at_once], ids[at : at + at_once]
                     s = np.round(matrix @ (some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-300)).T, digits) + 0.0
+                    if seen is not None:
+                        s[~seen[:, at : at + at_once]] = -np.inf
                     if not keep_self:
                         s[names[:, None] == own[None, :]] = -np.inf
                     if len(own) > k:

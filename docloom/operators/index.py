@@ -157,3 +157,47 @@ def quarantined(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """Rows without a reason, and the others with it: two tables, nothing is lost."""
     judged = rows.withColumn("reason", reason)
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
+
+
+def point_digests(points: DataFrame, url: str = "url", key: str = "point_id") -> DataFrame:
+    """(url, points, digests): a digest of each URL's keys that does not depend on their order: four sums of 32 bits of two hashes, and the count.
+
+    Equal multisets have equal digests. Sums are partial before the shuffle, so only one row per URL and task is shuffled, whatever its number of points.
+    """
+    one, two = F.xxhash64(key), F.xxhash64(F.lit(1), key)
+    halves = [x for h in (one, two) for x in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    return points.groupBy(url).agg(F.count(F.lit(1)).alias("points"), F.array(*(F.sum(h) for h in halves)).alias("digests"))
+
+
+def identity_differences(stored: DataFrame, expected: DataFrame, url: str = "url", key: str = "point_id") -> DataFrame:
+    """(url, stored, expected, missing, extra, repeated, exact) for every URL of either side.
+
+    Expected keys count once. URLs whose digests agree are exact; only the keys of the others meet, one by one. repeated: keys that are stored more than once.
+    """
+    expected = expected.select(url, key).distinct()
+    s, e = (point_digests(x, url, key).select(F.col(url).alias(f"__{n}"), F.col("points").alias(n), F.col("digests").alias(f"__{n}_digests")) for x, n in ((stored, "stored"), (expected, "expected")))
+    both = s.join(e, F.col("__stored") == F.col("__expected"), "full_outer").withColumn("__url", F.coalesce("__stored", "__expected"))
+    both = both.select("__url", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("expected", F.lit(0)).alias("expected"), (F.col("stored").eqNullSafe(F.col("expected")) & F.col("__stored_digests").eqNullSafe(F.col("__expected_digests"))).alias("exact"))
+    other = both.where("NOT exact").select(F.col("__url").alias(url))
+    counted = lambda x, n: x.join(other, url, "left_semi").groupBy(url, key).agg(F.count(F.lit(1)).alias(n))
+    met = counted(stored, "__s").join(counted(expected, "__e"), [url, key], "full_outer")
+    found = met.groupBy(url).agg(*(F.count_if(c).alias(n) for n, c in (("missing", F.col("__s").isNull()), ("extra", F.col("__e").isNull()), ("repeated", F.col("__s") > 1))))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return both.join(found, both["__url"] == found[url], "left").select(F.col("__url").alias(url), "stored", "expected", zero("missing"), zero("extra"), zero("repeated"), "exact")
+
+
+def checked_file_decisions(files: DataFrame, markers: DataFrame, stored: DataFrame, fields: list[str], hashes: str = "hashes", url: str = "url", key: str = "point_id") -> DataFrame:
+    """files with decision, as a file is ingested next to what is stored for its URL:
+
+    new (no marker, no points), unmarked (no marker, but points: replace all), changed (a marker that differs in a field: replace all),
+    differs (an equal marker whose hashes are not exactly the stored keys: replace all), else skip. markers: url, fields, and hashes, the
+    array of the keys that its file had; an equal marker without any is skipped if nothing is stored. Keys are compared by digests.
+    """
+    listed = markers.select(url, F.explode(F.array_distinct(hashes)).alias(key))
+    e = point_digests(listed, url, key).select(F.col(url).alias("__e"), F.col("points").alias("__e_points"), F.col("digests").alias("__e_digests"))
+    s = point_digests(stored, url, key).select(F.col(url).alias("__s"), F.col("points").alias("__s_points"), F.col("digests").alias("__s_digests"))
+    judged = file_decisions(files, markers, fields, url)
+    met = judged.join(e, judged[url] == e["__e"], "left").join(s, judged[url] == s["__s"], "left")
+    same = F.col("__e_points").eqNullSafe(F.col("__s_points")) & F.col("__e_digests").eqNullSafe(F.col("__s_digests"))
+    decision = F.when(F.col("decision") == "new", F.when(F.col("__s").isNull(), "new").otherwise("unmarked")).when(F.col("decision") == "changed", "changed").when(same, "skip").otherwise("differs")
+    return met.withColumn("decision", decision).select(*files.columns, "decision")

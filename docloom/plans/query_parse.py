@@ -107,20 +107,3 @@ def citation_query(query: str) -> str:
 
 def exact_anchor(member: Member) -> str | None:
     return f"{member.method}{member.signature}" if member.signature is not None else None
-
-
-def rank_candidates(query: str, candidates: list[dict]) -> list[dict]:
-    """Candidates (type_page, anchor, text, ...) for a member's question: those of its exact overload if there are any, else its
-    type and method, its type's page, a declaration in the text, and others, each in their old order. Other questions change nothing."""
-    member = unique_member(query)
-    if member is None:
-        return candidates
-    page, exact = f"{member.type}.html", exact_anchor(member)
-    if exact is not None and (same := [c for c in candidates if c.get("type_page") == page and c.get("anchor") == exact]):
-        return same
-
-    def tier(c: dict) -> int:
-        on_page, named = c.get("type_page") == page, member.anchor_matches(c.get("anchor") or "")
-        return 0 if on_page and named else 1 if on_page else 2 if member.declared_in(c.get("text") or "") else 3
-
-    return sorted(candidates, key=tier)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.identity import chunk_hash, sha256
-from docloom.operators import index, quality
+from docloom.operators import batching, index, quality
 from docloom.queries.functions_queries import CORPUS_SQL, corpus
 from docloom.streaming import windows
 from docloom.tables import read
@@ -31,6 +31,35 @@ def c2_file_decisions(spark, sf_dir):
     return index.file_decisions(now, old, fields).select("doc_id", "decision")
 
 
+def _state(spark, sf_dir):
+    """Files, markers and stored points of each source's languages; what differs between them is in the hashes' digits and the texts' lengths."""
+    c = chunks(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    c = c.select(F.concat_ws("/", "source", "lang", (F.col("n_chars") % 7).cast("string")).alias("url"), F.col("hash").alias("point_id"), "n_chars")
+    files = c.groupBy("url").agg(F.sum("n_chars").alias("size"), F.max("n_chars").alias("mtime"), F.when(F.min("n_chars") > 60, "v1").alias("extractor"), F.sort_array(F.collect_list("point_id")).alias("hashes"))
+    markers = files.where(F.col("mtime") % 5 != 0).withColumn("size", F.col("size") + F.when(F.col("mtime") % 7 == 0, 1).otherwise(0)).withColumn("extractor", F.when(F.col("mtime") % 11 != 0, F.col("extractor")))
+    markers = markers.withColumn("hashes", F.when(F.col("mtime") % 13 == 0, F.slice("hashes", 2, 1000000)).otherwise(F.col("hashes")))
+    digit = lambda i, low, high: F.substring("point_id", i, 2).between(low, high)
+    stored = c.select("url", "point_id").where(~digit(1, "00", "07")).unionByName(c.select("url", "point_id").where(digit(3, "00", "03")))
+    return files, markers, stored.unionByName(c.where(digit(5, "00", "03")).select("url", F.reverse("point_id").alias("point_id"))).where(~F.col("url").like("%/de/3"))
+
+
+def c2_c4_checked_decisions(spark, sf_dir):
+    files, markers, stored = _state(spark, sf_dir)
+    return index.checked_file_decisions(files, markers, stored, ["size", "mtime", "extractor"]).select("url", "decision")
+
+
+def c4_a16_identity(spark, sf_dir):
+    files, _, stored = _state(spark, sf_dir)
+    return index.identity_differences(stored, files.select("url", F.explode("hashes").alias("point_id")))
+
+
+def j13_batches(spark, sf_dir):
+    """Documents in the order of their sources as files of chunks; some replace what is stored."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text", F.greatest(F.lit(1), F.floor(F.length("text") / 400)).alias("chunks"))
+    packed = batching.pack_batches(docs, ["source", "doc_id"], "chunks", "source", F.length("text") % 23 == 0)
+    return packed.select("doc_id", "chunks", "batch")
+
+
 def c3_stale_keys(spark, sf_dir):
     now = chunks(spark, sf_dir)
     return index.stale_keys(now.where("doc_id % 2 = 0"), now.where("doc_id % 3 = 0"), "url", "hash").select("doc_id", "hash")
@@ -148,7 +177,24 @@ def session_windows(spark, sf_dir):
 
 C = f"WITH {CORPUS_SQL}, c AS (SELECT *, sha256(url || '#0:' || text) AS hash, left(text, 40) AS title FROM corpus)"
 
+STATE = f"""{C}, x AS (SELECT source || '/' || c.lang || '/' || n_chars % 7 AS url, hash, n_chars FROM c),
+    f AS (SELECT url, sum(n_chars) AS size, max(n_chars) AS mtime, CASE WHEN min(n_chars) > 60 THEN 'v1' END AS extractor, list(hash ORDER BY hash) AS hashes FROM x GROUP BY 1),
+    m AS (SELECT url, size + CASE WHEN mtime % 7 = 0 THEN 1 ELSE 0 END AS size, mtime, CASE WHEN mtime % 11 <> 0 THEN extractor END AS extractor, CASE WHEN mtime % 13 = 0 THEN hashes[2:] ELSE hashes END AS hashes FROM f WHERE mtime % 5 <> 0),
+    st AS (SELECT url, hash FROM (SELECT url, hash FROM x WHERE substr(hash, 1, 2) NOT BETWEEN '00' AND '07' UNION ALL SELECT url, hash FROM x WHERE substr(hash, 3, 2) BETWEEN '00' AND '03' UNION ALL SELECT url, reverse(hash) FROM x WHERE substr(hash, 5, 2) BETWEEN '00' AND '03') WHERE url NOT LIKE '%/de/3'),
+    s AS (SELECT url, list(hash ORDER BY hash) AS hashes FROM st GROUP BY 1)"""
+
 SQL = {
+    "j13_batches": """WITH RECURSIVE d AS (SELECT doc_id, source, greatest(1, length(text) // 400) AS chunks, length(text) % 23 = 0 OR greatest(1, length(text) // 400) > 32 AS alone, row_number() OVER (ORDER BY source, doc_id) AS k FROM documents),
+        f AS (SELECT doc_id, source, chunks, k, CAST(0 AS BIGINT) AS batch, CASE WHEN alone THEN 0 ELSE chunks END AS pending FROM d WHERE k = 1
+        UNION ALL SELECT d.doc_id, d.source, d.chunks, d.k, f.batch + CASE WHEN NOT d.alone AND f.pending > 0 AND d.source = f.source AND f.pending + d.chunks <= 32 THEN 0 ELSE 1 END,
+            CASE WHEN d.alone THEN 0 WHEN f.pending > 0 AND d.source = f.source AND f.pending + d.chunks <= 32 THEN f.pending + d.chunks ELSE d.chunks END FROM f JOIN d ON d.k = f.k + 1)
+        SELECT doc_id, chunks, batch FROM f""",
+    "c2_c4_checked_decisions": f"""{STATE} SELECT f.url, CASE WHEN m.url IS NULL THEN CASE WHEN s.url IS NULL THEN 'new' ELSE 'unmarked' END
+        WHEN m.size <> f.size OR m.mtime <> f.mtime OR m.extractor IS DISTINCT FROM f.extractor THEN 'changed' WHEN coalesce(s.hashes, []) = list_sort(list_distinct(m.hashes)) THEN 'skip' ELSE 'differs' END AS decision
+        FROM f LEFT JOIN m ON f.url = m.url LEFT JOIN s ON f.url = s.url""",
+    "c4_a16_identity": f"""{STATE}, a AS (SELECT url, hash, count(*) AS n FROM st GROUP BY 1, 2), b AS (SELECT url, hash FROM x GROUP BY 1, 2),
+        j AS (SELECT coalesce(a.url, b.url) AS url, n, b.hash FROM a FULL JOIN b ON a.url = b.url AND a.hash = b.hash)
+        SELECT url, CAST(coalesce(sum(n), 0) AS BIGINT) AS stored, count(hash) AS expected, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (hash IS NULL) AS extra, count(*) FILTER (n > 1) AS repeated, bool_and(n IS NOT NULL AND hash IS NOT NULL AND n = 1) AS exact FROM j GROUP BY 1""",
     "c1_chunk_decisions": f"{C}, m AS (SELECT DISTINCT hash, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE ' ' || title END AS title FROM c WHERE doc_id % 3 <> 0) SELECT doc_id, CASE WHEN m.hash IS NULL THEN 'new' WHEN trim(c.title, ' ') = trim(m.title, ' ') THEN 'skip' ELSE 'changed' END AS decision FROM c LEFT JOIN m USING (hash)",
     "c2_file_decisions": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 5 = 0 OR (doc_id % 7 = 0 AND doc_id % 4 <> 0) THEN 'changed' ELSE 'unchanged' END AS decision FROM documents",
     "c3_stale_keys": f"{C} SELECT doc_id, hash FROM c WHERE doc_id % 2 = 0 AND hash NOT IN (SELECT hash FROM c WHERE doc_id % 3 = 0)",

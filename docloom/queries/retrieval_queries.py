@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import tokenizer
 from docloom.functions.text import estimated_tokens
 from docloom.operators import chunking, dense, fusion, prompt, quality, sparse
 from docloom.queries.functions_queries import CORPUS_SQL, corpus
-from docloom.tables import read
+from docloom.tables import read, settled
 
 TOP_K, PREFETCH = 8, 14
 
@@ -29,12 +30,23 @@ def h14_keep_last_tokens(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, " ").alias("tail"))
 
 
+def e2_h13_h14_tokenizer_windows(spark, sf_dir):
+    """Windows of 900 tokens of a byte-level tokenizer; with each document's first its count and its last 20 tokens."""
+    import public_tokenizers
+
+    path, docs = public_tokenizers.path("byte_bpe_50k.tiktoken"), read(spark, sf_dir, "documents").select("doc_id", "text")
+    windows = chunking.tokenizer_windows(docs, path).select("doc_id", "chunk_index", "tokens", F.sha2("chunk", 256).alias("chunk_hash"))
+    whole = docs.select(F.col("doc_id").alias("of"), tokenizer.count_tokens(path, F.col("text")).alias("n_tokens"), F.sha2(chunking.keep_last_of_tokenizer(path, F.col("text"), 20), 256).alias("tail_hash"))
+    return windows.join(whole, F.col("doc_id") == F.col("of")).drop("of")
+
+
 def postings(spark, sf_dir):
-    return sparse.top_terms(sparse.term_frequencies(read(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    """Made once: scores and weights both read it."""
+    return settled(d1_f7_top_terms(spark, sf_dir), "postings")
 
 
 def d1_f7_top_terms(spark, sf_dir):
-    return postings(spark, sf_dir)
+    return sparse.top_terms(read(spark, sf_dir, "documents"), "doc_id")
 
 
 def weights(spark, sf_dir, found):
@@ -42,7 +54,7 @@ def weights(spark, sf_dir, found):
 
 
 def d14_idf(spark, sf_dir):
-    return weights(spark, sf_dir, postings(spark, sf_dir)).withColumn("idf", F.round("idf", 9))
+    return weights(spark, sf_dir, d1_f7_top_terms(spark, sf_dir)).withColumn("idf", F.round("idf", 9))
 
 
 def sparse_ranking(spark, sf_dir, k):
@@ -202,4 +214,4 @@ SQL = {
         SELECT slice, results, high, CASE WHEN results = 0 THEN 'NONE' WHEN k THEN 'KEYWORD_SEARCH' WHEN high = results THEN 'HIGH_QUALITY' ELSE 'MIXED_QUALITY' END AS level FROM g""",
 }
 
-QUERIES = {name: globals()[name] for name in [*SQL, "e8_version_coverage", "i15_i16_fitted_prompt"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "e8_version_coverage", "i15_i16_fitted_prompt", "e2_h13_h14_tokenizer_windows"]}

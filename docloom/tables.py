@@ -1,7 +1,28 @@
-"""Tables by name."""
+"""Tables by name, and tables that are written where lineage ends."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the folder that the cluster names in spark.checkpoint.dir: several readers don't make it again, and a lost executor loses nothing.
+
+    In local mode without such a folder, as in tests, a temporary one is used. The folder's owner clears it.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -92,18 +92,7 @@ def test_invocation_signatures(said, found):
     assert query_parse.invocation_signature(said) == found
 
 
-def test_candidates_of_a_member_question():
-    candidates = [
-        {"id": "other", "type_page": "Map.html", "anchor": "of(E,E)", "text": ""},
-        {"id": "one", "type_page": "List.html", "anchor": "of(E)", "text": ""},
-        {"id": "two", "type_page": "List.html", "anchor": "of(E,E)", "text": ""},
-        {"id": "page", "type_page": "List.html", "anchor": "", "text": ""},
-        {"id": "text", "type_page": "", "anchor": "", "text": "static of (E e)"},
-    ]
-    ids = lambda q: [c["id"] for c in query_parse.rank_candidates(q, candidates)]
-    assert ids("What does List.of(E, E) return?") == ["two"]
-    assert ids("What does List.of return?") == ["one", "two", "page", "text", "other"]
-    assert ids("lists") == [c["id"] for c in candidates]
+def test_chained_calls_name_no_member():
     assert query_parse.unique_member("a.of().stream()") is None and query_parse.unique_member("List.of(x).stream()") is None
 
 
