@@ -60,7 +60,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 def _without(rows: DataFrame, lost: DataFrame) -> DataFrame:
     key = lambda a, b: F.xxhash64(a.cast("string"), b)
     whole, others = apart(rows, key(F.col("doc_id"), _row(F.col("text"))), lost.select(key(F.col("lost_id"), F.col("lost_row"))))
-    met = others.join(lost, others["doc_id"].eqNullSafe(lost["lost_id"]) & (_row(others["text"]) == lost["lost_row"]), "left")
+    # lost grows with the table: it is never broadcast, so that small and large tables are joined alike.
+    met = others.join(lost.hint("merge"), others["doc_id"].eqNullSafe(lost["lost_id"]) & (_row(others["text"]) == lost["lost_row"]), "left")
     lines, n = F.split("text", "\n", -1), F.size(F.split("text", "\n", -1))
     # The runs of lines between two lost ones, by slices, so that the work grows with lines and lost ones, not with their product.
     bounds = F.concat(F.array(F.lit(-1)), F.coalesce("lost", F.array().cast("array<int>")), F.array(n))
