@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Fixed value: how a prompt begins of which something was left out.
+NOTICE = "[Context truncated due to model input limit]\n\n"
+
 
 def newest_that_fit(turns: DataFrame, by: str, order: str, tokens: str, budget: Column | int) -> DataFrame:
     """turns up to the first misfit, from the newest back. Tokens are not negative, so a running sum decides."""
@@ -26,17 +29,17 @@ def greedy_fit(items: Column, budget: Column) -> Column:
 
 
 def fitted_prompt(prompts: DataFrame, limit: int) -> DataFrame:
-    """For (id, system_tokens, query_tokens, docs, turns): id, docs and turns that are kept, minimal, error.
+    """For (id, system_tokens, query_tokens, docs, turns): id, docs and turns that are kept, minimal, error, truncated (whether anything was left out).
 
     docs: array of (index, url, text, tokens, priority), turns: array of (index, role, text, tokens), both in order. System and query are
-    always in; if they alone exceed the limit the prompt is minimal. HIGH documents come first, and if there are any, one at least must fit,
+    always in; if they alone fill the limit the prompt is minimal. HIGH documents come first, and if there are any, one at least must fit,
     else error; then turns from the newest back to the first misfit; then LOW documents. Kept documents are numbered anew, from 1, in
     their old order. A prompt's documents are a top-k and its turns one conversation, so rows are bounded.
     """
     used = F.col("system_tokens") + F.col("query_tokens")
     of = lambda p: F.filter("docs", lambda d: d["priority"] == p)
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    a = prompts.withColumn("left0", F.greatest(F.lit(limit) - used, F.lit(0)).cast("long")).withColumn("minimal", used > limit)
+    a = prompts.withColumn("left0", F.greatest(F.lit(limit) - used, F.lit(0)).cast("long")).withColumn("minimal", used >= limit)
     b = a.withColumn("high", greedy_fit(of("HIGH"), F.col("left0"))).withColumn("left1", F.col("left0") - total(F.col("high")))
     start = F.struct(F.col("left1").alias("left"), F.lit(True).alias("open"), F.slice("turns", 1, 0).alias("kept"))
 
@@ -51,7 +54,13 @@ def fitted_prompt(prompts: DataFrame, limit: int) -> DataFrame:
     numbered = F.transform(kept, lambda x, i: F.struct((i + 1).alias("index"), x["url"].alias("url"), x["text"].alias("text"), x["tokens"].alias("tokens"), x["priority"].alias("priority")))
     error = ~F.col("minimal") & (F.size(of("HIGH")) > 0) & (F.size("high") == 0)
     empty = lambda xs: F.when(F.col("minimal"), F.slice(xs, 1, 0)).otherwise(xs)
-    return d.select("id", empty(numbered).alias("docs"), empty(F.col("kept_turns")).alias("turns"), "minimal", error.alias("error"))
+    truncated = F.col("minimal") | (F.size(kept) < F.size("docs")) | (F.size("kept_turns") < F.size("turns"))
+    return d.select("id", empty(numbered).alias("docs"), empty(F.col("kept_turns")).alias("turns"), "minimal", error.alias("error"), truncated.alias("truncated"))
+
+
+def noticed(prompt: Column, truncated: Column) -> Column:
+    """The prompt, behind the notice if something was left out."""
+    return F.when(truncated, F.concat(F.lit(NOTICE), prompt)).otherwise(prompt)
 
 
 def render(system: Column, docs: Column, turns: Column, query: Column) -> Column:

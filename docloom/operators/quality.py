@@ -55,14 +55,44 @@ def duration_seconds(x: Column, strict: bool = False) -> Column:
     return F.when(t == "", 0).when(number != "", seconds).otherwise(bad).cast("long")
 
 
-def reset_time(x: Column, now: Column) -> Column:
-    """Of a reset or retry-after header: digits are epoch seconds if large, else seconds from now; durations; ISO-8601 times."""
+# Months and days of HTTP dates.
+MONTHS, DAYS = "jan feb mar apr may jun jul aug sep oct nov dec", "sun mon tue wed thu fri sat"
+HTTP_DATE = r"(?i)^(?:(sun|mon|tue|wed|thu|fri|sat), )?([0-9]{1,2}) (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) ([0-9]{4}) ([0-9]{2}):([0-9]{2})(?::([0-9]{2}))? (gmt|[+-][0-9]{4})$"
+
+
+def _or_error(value: Column, x: Column, what: str, strict: bool) -> Column:
+    """value; where there is none of a filled x null, or with strict an error."""
+    if not strict:
+        return value
+    return F.when((F.trim(F.coalesce(x, F.lit(""))) != "") & value.isNull(), F.raise_error(F.concat(F.lit(f"Invalid {what} header: "), F.trim(x)))).otherwise(value)
+
+
+def reset_instant(x: Column, strict: bool = False) -> Column:
+    """Of a reset header, as a timestamp: digits are seconds of the epoch, else an ISO-8601 instant. None for no header; for another text null, or with strict an error."""
+    t = F.trim(x)
+    instant = F.when(t.rlike(r"(?i)^[+-]?[0-9]{4,10}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)$"), F.try_to_timestamp(t))
+    return _or_error(F.when(t.rlike("^[0-9]+$"), F.timestamp_seconds(t.try_cast("long"))).otherwise(instant), x, "X-RateLimit-Reset", strict)
+
+
+def http_date(x: Column) -> Column:
+    """Of a date as in HTTP headers (RFC 1123): epoch seconds; null for another text, and if the day of the week is not the date's."""
+    part = lambda i: F.regexp_extract(F.trim(x), HTTP_DATE, i)
+    number = lambda i: F.when(part(i) != "", part(i).cast("int"))
+    month = ((F.position(F.lower(part(3)), F.lit(MONTHS)) + 3) / 4).cast("int")
+    date = F.try_to_timestamp(F.when(part(4) != "", F.concat_ws("-", part(4), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(2), 2, "0"))), F.lit("yyyy-MM-dd"))
+    seconds = number(5) * 3600 + number(6) * 60 + F.coalesce(number(7), F.lit(0))
+    zone = F.when(F.lower(part(8)) == "gmt", 0).otherwise(F.concat(F.substring(part(8), 1, 1), F.lit("1")).try_cast("int") * (F.substring(part(8), 2, 2).try_cast("int") * 3600 + F.substring(part(8), 4, 2).try_cast("int") * 60))
+    days = F.datediff(date.cast("date"), F.lit("1970-01-01").cast("date"))
+    fits = (number(5) < 24) & (number(6) < 60) & (F.coalesce(number(7), F.lit(0)) < 60) & ((part(1) == "") | (F.position(F.lower(part(1)), F.lit(DAYS)) == F.dayofweek(date) * 4 - 3))
+    return F.when(fits, days.cast("long") * 86400 + seconds - zone)
+
+
+def retry_after_seconds(x: Column, now: Column, strict: bool = False) -> Column:
+    """Of a Retry-After header: seconds, or those from now to an HTTP date, 0 if it has passed; 0 for no header; for another text null, or with strict an error."""
     t = F.trim(x)
-    seconds = F.when(t.rlike("^[0-9]+$"), t.cast("long"))
-    absolute = F.when(seconds >= 1_000_000_000, F.timestamp_seconds(seconds))
-    relative = F.coalesce(seconds, F.when(t != "", duration_seconds(t)))
-    later = F.timestamp_seconds(F.unix_timestamp(now) + relative)
-    return F.coalesce(absolute, F.when(t.rlike("^[0-9]{4}-"), F.try_to_timestamp(t)), later)
+    until = F.greatest(F.lit(0).cast("long"), F.floor(http_date(x) - F.unix_micros(now) / F.lit(1_000_000)).cast("long"))
+    value = F.when(F.coalesce(t, F.lit("")) == "", F.lit(0).cast("long")).when(t.rlike("^[0-9]+$"), t.try_cast("long")).when(http_date(x).isNotNull(), until)
+    return _or_error(value, x, "Retry-After", strict)
 
 
 def duration_text(seconds: Column) -> Column:

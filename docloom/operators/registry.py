@@ -114,20 +114,23 @@ def document_urls(rows: DataFrame, url: str, sources: DataFrame, hosts: list[str
     is_file = trimmed.startswith("file://") & (F.locate(LOCAL, _slashes(path)) > 0)
     keyed = rows.withColumn("__below", F.when(is_file, below)).withColumn("__folder", F.regexp_extract("__below", "^(.*)/[^/]*$", 1))
     found = _longest(keyed, "__folder", _leading(F.col("__folder")), sources.select("mirror", "base_url", F.lit(False).alias("api")))
-    relative = _from(F.col("__below"), F.length("__source.mirror") + 2)
-    adjusted = relative
+    # Each step is a column of its own, as the next one reads it several times.
+    found = found.withColumn("__relative", _from(F.col("__below"), F.length("__source.mirror") + 2)).withColumn("__adjusted", F.col("__relative"))
     for rules in STEPS:
-        adjusted = _replaced_start(adjusted, rules)
-    relative = F.when(F.col("__source.mirror").contains(PROJECT), adjusted).otherwise(relative)
-    mapped = canonical_doc_url(F.coalesce(embedded_url(path, hosts), joined_url(F.col("__source.base_url"), relative)))
+        found = found.withColumn("__adjusted", _replaced_start(F.col("__adjusted"), rules))
+    relative = F.when(F.col("__source.mirror").contains(PROJECT), F.col("__adjusted")).otherwise(F.col("__relative"))
+    found = found.withColumn("__relative", relative).withColumn("__path", path)
+    web = trimmed.startswith("http://") | trimmed.startswith("https://")
+    mapped = F.when(web, trimmed).otherwise(F.coalesce(embedded_url(F.col("__path"), hosts), joined_url(F.col("__source.base_url"), F.col("__relative"))))
+    found = found.withColumn("__book", public_pdf(F.col("__path"))).withColumn("__mapped", mapped).withColumn("__canonical", canonical_doc_url(F.col("__mapped")))
     out = (
         F.when(F.col(url).isNull() | (trimmed == ""), F.col(url))
-        .when(trimmed.startswith("http://") | trimmed.startswith("https://"), canonical_doc_url(trimmed))
-        .when(public_pdf(path).isNotNull(), public_pdf(path))
+        .when(web, F.col("__canonical"))
+        .when(F.col("__book").isNotNull(), F.col("__book"))
         .when(~trimmed.startswith("file://"), trimmed)
-        .otherwise(F.coalesce(mapped, F.lit(REDACTED)))
+        .otherwise(F.coalesce("__canonical", F.lit(REDACTED)))
     )
-    return found.withColumn("public_url", out).drop("__below", "__folder", "__source")
+    return found.withColumn("public_url", out).drop("__below", "__folder", "__source", "__relative", "__adjusted", "__path", "__book", "__mapped", "__canonical")
 
 
 def source_name(doc_set: Column, url: Column) -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import cut_with_ellipsis
 from docloom.functions.urls import canonical_doc_url, without_fragment
+from docloom.operators.registry import REDACTED, document_urls
 from docloom.operators.sparse import top_k
 from docloom.plans.constraints import Constraint
 from docloom.plans.query_parse import unique_member
 
-# Fixed value: what is shown instead of a local path that no source claims.
-REDACTED = "(local file path redacted)"
+# Fixed value: the hash of no documents.
+EMPTY = "empty"
 
 
 def fan_out(constraint: Constraint, versions: list[str]) -> dict[str, Constraint]:
@@ -78,44 +80,46 @@ def payload_rows(points: DataFrame, strings: list[str], integers: list[str]) ->
     return points.withColumns(filled | {c: clamp(c) for c in integers})
 
 
-def resolve_local(path: Column, roots: dict[str, str]) -> Column:
-    """The remote URL of a local path: the base of the longest root that it contains, and what follows; null if none fits."""
-    found = F.lit(None).cast("string")
-    for root, base in sorted(roots.items(), key=lambda r: (len(r[0]), r[0])):
-        at = F.locate(root, path)
-        found = F.when(at > 0, F.concat(F.lit(base), F.substring(path, at + len(root), F.length(path)))).otherwise(found)
-    return found
-
-
-def citations(rows: DataFrame, by: list[str], order: str, roots: dict[str, str], snippet: int = 500) -> DataFrame:
-    """(by, order, url, title, anchor, snippet): a citation for the first row of each identity.
+def citations(rows: DataFrame, by: list[str], order: str, sources: DataFrame, hosts: list[str] | None = None, snippet: int = 500, failed: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two tables. (by, order, url, title, anchor, snippet): a citation for the first row of each identity; (by, failed): rows that could not be converted, where there are any.
 
-    URLs are canonical; a row's own anchor takes the place of the URL's fragment; local paths are shown as their source's pages, or not at all
-    if no source claims them, and then their raw path is the identity. Rows without a URL are all kept. First rows are found by map-side
-    aggregation. by and order: together a key of rows (url, title, anchor, text).
+    URLs are those of registry.document_urls: of web addresses the canonical form, of local files their source's page, and of files that no source claims a
+    redaction, whose raw path is then the identity. A row's own anchor takes the place of the URL's fragment. Rows without a URL are all kept.
+    Snippets are cut with an ellipsis. failed: rows that no citation can be made of, such as those without what they must have; they are counted,
+    never silently left out. First rows are found by their place alone; texts are not aggregated. by and order: together a key of rows (url, title, anchor, text).
     """
+    bad = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    failures = rows.where(bad).groupBy(*by).agg(F.count(F.lit(1)).alias("failed"))
+    shown = document_urls(rows.where(~bad).select(*by, order, "url", "title", "anchor", "text"), "url", sources, hosts)
+    shown = shown.withColumn("__normal", F.coalesce("public_url", F.lit(""))).withColumn("__page", without_fragment(F.col("__normal")))
+    web = F.col("__page").startswith("http://") | F.col("__page").startswith("https://")
+    own, page = F.coalesce("anchor", F.lit("")), F.when(web, canonical_doc_url(F.col("__page"))).otherwise(F.col("__page"))
+    shown = shown.withColumn("refined", F.when(F.trim(own) != "", F.concat(page, F.lit("#"), own)).otherwise(F.col("__normal")))
     raw = F.trim(F.coalesce("url", F.lit("")))
-    local = raw.startswith("file://")
-    known = resolve_local(F.substring(raw, F.lit(8), F.length(raw)), roots)
-    normal = canonical_doc_url(F.when(local, F.coalesce(known, F.lit(REDACTED))).otherwise(raw))
-    normal = F.when(local & known.isNull(), F.lit(REDACTED)).otherwise(normal)
-    own = F.coalesce("anchor", F.lit(""))
-    refined = F.when(F.trim(own) != "", F.concat(without_fragment(normal), F.lit("#"), own)).otherwise(normal)
-    judged = rows.select(*by, order, refined.alias("refined"), F.when(local & known.isNull(), without_fragment(raw)).otherwise(refined).alias("identity"), "title", F.trim(F.substring("text", 1, snippet)).alias("snippet"))
-    row = F.struct(order, "refined", "title", "snippet")
-    first = judged.where("identity <> ''").groupBy(*by, "identity").agg(F.min_by(row, F.col(order)).alias("x")).select(*by, "x.*")
-    every = first.unionByName(judged.where("identity = ''").select(*by, order, "refined", "title", "snippet"))
+    unknown = raw.startswith("file://") & (F.col("__normal") == REDACTED)
+    judged = shown.select(*by, order, "refined", F.when(unknown, without_fragment(raw)).otherwise(F.col("refined")).alias("identity"), "title", cut_with_ellipsis(F.coalesce("text", F.lit("")), snippet).alias("snippet"))
+    # A row without an identity is its own.
+    key = F.when(F.trim("identity") == "", F.concat(F.lit("\0"), F.col(order).cast("string"))).otherwise(F.col("identity"))
+    first = judged.groupBy(*(F.col(c).alias(f"__{c}") for c in by), key.alias("__key")).agg(F.min(order).alias("__order")).drop("__key")
     at = F.locate("#", F.col("refined"))
     anchor = F.when(at > 0, F.substring(F.col("refined"), at + 1, F.length("refined"))).otherwise("")
-    return every.select(*by, order, without_fragment(F.col("refined")).alias("url"), "title", anchor.alias("anchor"), "snippet")
+    same = judged[order].eqNullSafe(first["__order"])
+    for c in by:
+        same = same & judged[c].eqNullSafe(first[f"__{c}"])
+    found = judged.join(first, same, "left_semi")
+    return found.select(*by, order, without_fragment(F.col("refined")).alias("url"), "title", anchor.alias("anchor"), "snippet"), failures
 
 
-def documents_hash(docs: DataFrame, by: str, order: str, parts: list[Column]) -> DataFrame:
-    """(by, hash): SHA-256 over the parts of a top-k's documents in order, each after its length in four bytes, so that no two lists share a text."""
+def documents_hash(docs: DataFrame, by: str, order: str, parts: list[Column], of: DataFrame | None = None) -> DataFrame:
+    """(by, hash): SHA-256 over the parts of a top-k's documents in order, each after its length in four bytes, so that no two lists share a text.
+
+    of: a table with all values of by; those without a document have the hash `empty`.
+    """
     sized = lambda p: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(p)), 8, "0")), F.encode(p, "UTF-8"))
     one = F.concat(*(sized(F.coalesce(p, F.lit(""))) for p in parts))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.hex(one).alias("bytes"))))
-    return docs.groupBy(by).agg(F.sha2(F.unhex(F.array_join(F.transform(ordered, lambda x: x["bytes"]), "")), 256).alias("hash"))
+    found = docs.groupBy(by).agg(F.sha2(F.unhex(F.array_join(F.transform(ordered, lambda x: x["bytes"]), "")), 256).alias("hash"))
+    return found if of is None else of.select(by).distinct().join(found, by, "left").select(by, F.coalesce("hash", F.lit(EMPTY)).alias("hash"))
 
 
 def in_sequence(*parts: DataFrame) -> DataFrame:

@@ -38,6 +38,22 @@ def a3_page_crawl(spark, sf_dir):
     return files.crawl(links.select("source", F.col("link").alias("target")), start, re.match("[a-z]+://[^/?#]*", start)[0])
 
 
+def page_graph(spark, sf_dir):
+    """(source, target, at), (requested, url): a page's links as leading to the pages whose titles have the link's last word; every URL that ends in 2 or 7 ends where that with 1 does."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "html", urls.without_fragment(F.col("url")).alias("url")).where("url LIKE '%://%'")
+    title = F.lower(F.regexp_extract("html", "<title>([^<]*)", 1))
+    titled = pages.select(F.col("page_id").alias("of"), F.col("url").alias("target"), F.explode(F.array_distinct(F.regexp_extract_all(title, F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
+    links = html.page_links(pages).select("page_id", "position", F.lower(F.regexp_extract("link", "([^/]*)$", 1)).alias("word")).join(titled, "word").join(pages.select("page_id", F.col("url").alias("source")), "page_id")
+    links = links.groupBy("source", "target").agg(F.min(F.col("position").cast("long") * 1_000_000_000 + F.col("of")).alias("at"))
+    return links, pages.select(F.col("url").alias("requested")).where("requested LIKE '%2' OR requested LIKE '%7'").distinct().select("requested", F.regexp_replace("requested", "[27]$", "1").alias("url"))
+
+
+def a3_crawl_order(spark, sf_dir):
+    """The first 60 requests of a crawl of the pages by a queue, from the first URL."""
+    links, ends = page_graph(spark, sf_dir)
+    return files.crawl_in_order(links, links.agg(F.min("source")).first()[0], ends, limit=60)
+
+
 def h39h_mirror_paths(spark, sf_dir):
     u = F.regexp_replace(F.replace("url", F.lit("http://"), F.lit("https://")), r"#.*$", "")
     return read(spark, sf_dir, "pages").select("page_id", files.mirror_path(u).alias("path"), files.mirror_path(u, 1).alias("cut_path"))
@@ -88,4 +104,4 @@ SQL = {
     "d17_distinct_hosts": "SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages",
 }
 
-QUERIES = {name: globals()[name] for name in ["a10_a11_page_links", "h40_b9_page_texts", *SQL, "h7_term_indexes", "h25_h30_questions", "h46_h48_markdown", "a3_page_crawl"]}
+QUERIES = {name: globals()[name] for name in ["a10_a11_page_links", "h40_b9_page_texts", *SQL, "h7_term_indexes", "h25_h30_questions", "h46_h48_markdown", "a3_page_crawl", "a3_crawl_order"]}

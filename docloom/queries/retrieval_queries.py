@@ -151,10 +151,10 @@ def i15_i16_fitted_prompt(spark, sf_dir):
     docs = near.groupBy("id").agg(F.array_sort(F.collect_list("d")).alias("docs"))
     prompts = said.join(docs, "id").select("id", F.lit(100).cast("long").alias("system_tokens"), F.lit(50).cast("long").alias("query_tokens"), "docs", "turns")
     fitted = prompt.fitted_prompt(prompts, 900)
-    text = prompt.render(F.lit("System"), F.col("docs"), F.col("turns"), F.lit("Query?"))
+    text = prompt.noticed(prompt.render(F.lit("System"), F.col("docs"), F.col("turns"), F.lit("Query?")), F.col("truncated"))
     kept = F.array_join(F.transform("docs", lambda x: F.concat_ws(":", x["index"].cast("string"), x["priority"], x["tokens"].cast("string"))), " ")
     said_turns = F.array_join(F.transform("turns", lambda x: x["index"].cast("string")), " ")
-    return fitted.select("id", kept.alias("kept"), said_turns.alias("turns"), "minimal", "error", F.sha2(text, 256).alias("prompt_hash"))
+    return fitted.select("id", kept.alias("kept"), said_turns.alias("turns"), "minimal", "error", "truncated", F.sha2(text, 256).alias("prompt_hash"))
 
 
 def d4_search_quality(spark, sf_dir):

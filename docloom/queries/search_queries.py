@@ -56,15 +56,38 @@ def b5_i8_exact_overload(spark, sf_dir):
     return out
 
 
-ROOTS = {"/data/docs/a/": "https://a.example.org/", "/data/docs/a/api/": "https://api.example.org/docs/"}
+def _cited(spark, sf_dir):
+    """Documents as rows to cite: where each lies, its anchor and whether it lacks what a citation must have are in its text's length and letters; and the sources of two thirds."""
+    often = lambda x, n: (F.length("text") - F.length(F.replace("text", F.lit(x), F.lit("")))) % n
+    n, page = F.length("text") % 9, F.concat(often("e", 5).cast("string"), F.lit(".html"))
+    url = F.when(n == 0, F.concat(F.lit("file:///w/data/docs/"), "source", F.lit("/a//"), page)).when(n == 1, F.concat(F.lit(" file:///home/x/"), page, F.lit("#q "))).when(n == 2, F.concat(F.lit("https://x.org//api/api/"), page, F.lit("#f")))
+    url = url.when(n == 3, F.concat(F.lit(" /w//data/"), page)).when(n == 4, "").when(n == 5, F.concat(F.lit("/w/data/docs/books/new/"), page, F.lit(".PDF"))).when(n == 6, F.lit(None).cast("string")).otherwise(F.concat("url", F.lit("#s")))
+    rows = corpus(spark, sf_dir).select("version", "source", "doc_id", url.alias("url"), F.col("lang").alias("title"), F.element_at(F.array(*map(F.lit, ["", "of()", " ", "get(E)"])), (often("a", 4) + 1).cast("int")).alias("anchor"), F.concat(F.repeat(F.lit(" "), often("o", 3)), "text", F.lit(" ")).alias("text"))
+    named = read(spark, sf_dir, "documents").where("source IS NOT NULL AND length(text) % 3 = 0").select(F.col("source").alias("mirror")).distinct()
+    sources = named.select("mirror", F.concat(F.lit("https://"), "mirror", F.lit(".example.org/api")).alias("base_url"))
+    return rows, sources, F.length("text") % 13 == 0
 
 
-def c8_i13_citations(spark, sf_dir):
-    """Citations of the documents of each release and source, in the order of their ids."""
-    name = F.concat((F.col("doc_id") % 17).cast("string"), F.lit(".html"))
-    url = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("file:///data/docs/a/api/"), name)).when(F.col("doc_id") % 5 == 1, F.concat(F.lit(" file:///home/x/"), name, F.lit("#q "))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("https://x.org//api/api/"), name, F.lit("#f"))).when(F.col("doc_id") % 35 == 3, F.lit("")).otherwise(F.col("url"))
-    rows = corpus(spark, sf_dir).select("version", "source", "doc_id", url.alias("url"), F.col("lang").alias("title"), pick(["", "of()", " "], "doc_id").alias("anchor"), "text")
-    return search.citations(rows, ["version", "source"], "doc_id", ROOTS).withColumn("snippet", F.sha2("snippet", 256))
+def i13_registry_citations(spark, sf_dir):
+    """Citations of the documents of each release and source, in the order of their ids, by the registry's URLs."""
+    rows, sources, failed = _cited(spark, sf_dir)
+    return search.citations(rows, ["version", "source"], "doc_id", sources, failed=failed)[0].withColumn("snippet", F.sha2("snippet", 256))
+
+
+def i13_failed_conversions(spark, sf_dir):
+    rows, sources, failed = _cited(spark, sf_dir)
+    return search.citations(rows, ["version", "source"], "doc_id", sources, failed=failed)[1]
+
+
+def h51_reset_headers(spark, sf_dir):
+    """Headers of every form made of the events' times and amounts, read at the time of the event before the last hour."""
+    e, at = read(spark, sf_dir, "events"), F.date_trunc("second", F.col("ts").cast("timestamp"))
+    n = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) % 7
+    zone = F.date_format(at + F.expr("INTERVAL 2 HOURS"), "EEE, d MMM yyyy HH:mm:ss")
+    header = F.when(n == 0, F.unix_timestamp(at).cast("string")).when(n == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n == 2, F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(n == 3, F.concat(F.lit(" "), zone, F.lit(" +0200")))
+    header = header.when(n == 4, F.date_format(at, "d MMM yyyy HH:mm 'gmt'")).when(n == 5, F.concat(F.lit("in "), F.col("event_type"))).otherwise(F.lit(None).cast("string"))
+    now = F.col("ts").cast("timestamp") - F.expr("INTERVAL 30 MINUTES") * F.when(F.col("event_type") == "click", -1).otherwise(1)
+    return e.select("event_id", F.unix_timestamp(quality.reset_instant(header)).alias("resets"), quality.retry_after_seconds(header, now).alias("wait"))
 
 
 def c11_platform_package(spark, sf_dir):
@@ -167,6 +190,12 @@ SIZED = "printf('%08X', octet_length(encode({x}))) || hex(encode({x}))"
 DURATION = "CASE WHEN regexp_full_match({x}, '[0-9]+ms') THEN greatest(1, CAST(rtrim({x}, 'ms') AS BIGINT) // 1000) WHEN regexp_full_match({x}, '[0-9]+[dhms]?') THEN CAST(regexp_extract({x}, '^[0-9]+') AS BIGINT) * CASE right({x}, 1) WHEN 'd' THEN 86400 WHEN 'h' THEN 3600 WHEN 'm' THEN 60 ELSE 1 END ELSE 0 END"
 JOINED = f"WITH {TERMS}, {CORPUS_SQL}, j AS (SELECT s.*, c.version, c.source, c.collection FROM scores s JOIN corpus c USING (doc_id))"
 
+CITED = f"""{CORPUS_SQL}, mirrors AS (SELECT DISTINCT source FROM documents WHERE length(text) % 3 = 0),
+    x0 AS (SELECT c.*, m.source IS NOT NULL AS mirrored, length(text) % 9 AS n, (length(text) - length(replace(text, 'e', ''))) % 5 || '.html' AS page, ['', 'of()', ' ', 'get(E)'][1 + (length(text) - length(replace(text, 'a', ''))) % 4] AS anchor, repeat(' ', CAST((length(text) - length(replace(text, 'o', ''))) % 3 AS BIGINT)) || text || ' ' AS said FROM corpus c LEFT JOIN mirrors m ON c.source = m.source),
+    x1 AS (SELECT *, CASE n WHEN 0 THEN CASE WHEN mirrored THEN 'https://' || source || '.example.org/api/a/' || page ELSE '(local file path redacted)' END WHEN 1 THEN '(local file path redacted)' WHEN 2 THEN 'https://x.org/api/' || page || '#f' WHEN 3 THEN '/w//data/' || page WHEN 4 THEN '' WHEN 5 THEN '/pdfs/' || page || '.PDF' WHEN 6 THEN '' ELSE url || '#s' END AS normal FROM x0),
+    x2 AS (SELECT *, CASE WHEN trim(anchor) <> '' THEN split_part(normal, '#', 1) || '#' || anchor ELSE normal END AS refined FROM x1),
+    cited AS (SELECT version, source, doc_id, lang AS title, said AS text, refined, CASE WHEN n = 1 THEN 'file:///home/x/' || page WHEN n = 0 AND NOT mirrored THEN 'file:///w/data/docs/' || source || '/a//' || page ELSE refined END AS identity, length(said) % 13 = 0 AS failed FROM x2)"""
+
 SQL = {
     "c15_i6_version_scopes": f"{JOINED}, r AS (SELECT item_id, version AS scope, doc_id, score, row_number() OVER (PARTITION BY item_id, version ORDER BY score DESC, doc_id) AS rank FROM j WHERE version IN ('25', '21') AND source IN ('src0', 'src1', 'src2', 'src3')) SELECT * FROM r WHERE rank <= 5",
     "i7_citation_search": f"""{JOINED}, o AS (SELECT item_id, 'all' AS scope, doc_id, score FROM j WHERE collection IN ('docs', 'pdfs') UNION ALL SELECT item_id, 'new', doc_id, score FROM j WHERE collection IN ('docs', 'pdfs') AND version = '25'),
@@ -175,12 +204,12 @@ SQL = {
         q AS (SELECT 0 AS question, doc_id FROM p WHERE page = 'List.html' AND anchor = 'of(E,E)' AND version IN ('21', '24') UNION ALL SELECT 1, doc_id FROM p WHERE page = 'Map.html' AND anchor = 'entry(K,V)' AND package = 'java.util' AND version IN ('21', '24')
           UNION ALL SELECT 2, doc_id FROM p WHERE page = 'Set.html' AND version IN ('21', '24') UNION ALL SELECT 3, doc_id FROM p WHERE version IN ('21', '24'))
         SELECT question, doc_id, 1.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY doc_id) AS n FROM q) WHERE n <= 7""",
-    "c8_i13_citations": f"""WITH {CORPUS_SQL}, x AS (SELECT version, source, doc_id, lang AS title, ['', 'of()', ' '][1 + doc_id % 3] AS anchor, trim(left(text, 500), ' ') AS snippet, doc_id % 17 || '.html' AS name, url FROM corpus),
-        y AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'https://api.example.org/docs/' || name WHEN doc_id % 5 = 1 THEN '(local file path redacted)' WHEN doc_id % 5 = 2 THEN 'https://x.org/api/' || name || '#f' WHEN doc_id % 35 = 3 THEN '' ELSE url END AS normal FROM x),
-        z AS (SELECT *, CASE WHEN trim(anchor) <> '' THEN split_part(normal, '#', 1) || '#' || anchor ELSE normal END AS refined FROM y),
-        i AS (SELECT *, CASE WHEN doc_id % 5 = 1 THEN 'file:///home/x/' || name ELSE refined END AS identity FROM z),
-        n AS (SELECT *, row_number() OVER (PARTITION BY version, source, identity, CASE WHEN identity = '' THEN doc_id END ORDER BY doc_id) AS n FROM i)
-        SELECT version, source, doc_id, split_part(refined, '#', 1) AS url, title, CASE WHEN contains(refined, '#') THEN substr(refined, strpos(refined, '#') + 1) ELSE '' END AS anchor, sha256(snippet) AS snippet FROM n WHERE n = 1""",
+    "i13_registry_citations": f"""WITH {CITED}, n AS (SELECT *, row_number() OVER (PARTITION BY version, source, identity, CASE WHEN trim(identity) = '' THEN doc_id END ORDER BY doc_id) AS n FROM cited WHERE NOT failed)
+        SELECT version, source, doc_id, split_part(refined, '#', 1) AS url, title, CASE WHEN contains(refined, '#') THEN substr(refined, strpos(refined, '#') + 1) ELSE '' END AS anchor, sha256(CASE WHEN length(text) > 500 THEN left(text, 500) || '…' ELSE text END) AS snippet FROM n WHERE n = 1""",
+    "i13_failed_conversions": f"WITH {CITED} SELECT version, source, count(*) AS failed FROM cited WHERE failed GROUP BY 1, 2",
+    "h51_reset_headers": """WITH x AS (SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 % 7 AS n, CASE WHEN event_type = 'click' THEN 1800000000 ELSE -1800000000 END AS late FROM events),
+        y AS (SELECT *, CASE WHEN n IN (2, 3) THEN s WHEN n = 4 THEN s // 60 * 60 END AS date FROM x)
+        SELECT event_id, CASE WHEN n IN (0, 1) THEN s END AS resets, CASE WHEN n = 0 THEN s WHEN n IN (2, 3, 4) THEN greatest(0, CAST(floor((date * 1000000 - (us + late)) / 1000000.0) AS BIGINT)) WHEN n = 6 THEN 0 END AS wait FROM y""",
     "c11_platform_package": """WITH p AS (SELECT 'T' || doc_id % 61 AS type, lang AS method, min('p.' || source) AS package FROM documents WHERE doc_id % 3 <> 1 GROUP BY 1, 2 HAVING count(DISTINCT source) = 1)
         SELECT doc_id, m.type, m.method, package FROM (SELECT doc_id, 'T' || doc_id % 37 AS type, lang AS method FROM documents) m LEFT JOIN p ON m.type = p.type AND m.method = p.method""",
     "d11_h5_documents_hash": f"""WITH {TERMS}, r AS (SELECT item_id, rank, {' || '.join(SIZED.format(x=x) for x in ('doc_id::VARCHAR', 'text', "'source'", 'source'))} AS h FROM ranked JOIN documents USING (doc_id) WHERE rank <= 8)

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from docloom.functions.text import drop_control_characters
 from docloom.functions.urls import in_crawl_boundary, language_of_file
+from docloom.operators import ordering
+from docloom.tables import settled
 
 # Endings of documents, directories that hold no sources, and sizes.
 DOCUMENTS = r"(?i)\.(html|htm|pdf)$"
@@ -136,3 +138,81 @@ def crawl(links: DataFrame, start: str, root: str | None = None) -> DataFrame:
         if found.isEmpty():
             return seen
         seen, level = seen.unionByName(found).coalesce(most).checkpoint(), level + 1
+
+
+def crawl_in_order(links: DataFrame, start: str, redirects: DataFrame | None = None, root: str | None = None, limit: int | None = None) -> DataFrame:
+    """(place, requested, url, level, read): the requests of a crawl with a queue, in its order, from 1; at most limit of them.
+
+    links: (source, target, at), at being a link's place in its page. redirects: (requested, url), where a request ends; others end where they begin.
+    A URL is asked for once, and not if a request before ended there. A request that ends where one before did is counted, but its page is not read
+    again (read is false), and only pages that are read have links. With a root, targets and ends must lie within its crawl boundary; an end outside is an error.
+
+    A level of the queue is one join: targets come in the order of their first (parent's place, place of the link), so the same requests are reached by any limit as by
+    one queue. Each level is written once, and met by equality with all levels before; no level is copied again.
+    """
+    spark = links.sparkSession
+    edges = links.select("source", "target", "at").where("source IS NOT NULL AND target IS NOT NULL")
+    edges = settled(edges.where(in_crawl_boundary(F.col("target"), root)) if root else edges, "links")
+    ends = redirects if redirects is not None else spark.createDataFrame([], "requested string, url string")
+    ends = settled(ends.select(F.col("requested").alias("__from"), F.col("url").alias("__end")).where("__from <> __end").dropDuplicates(["__from"]), "redirects")
+    ends = None if ends.isEmpty() else ends
+    wanted, levels, seen, done = spark.createDataFrame([(start, 0)], "requested string, queue long"), [], [], 0
+    while limit is None or done < limit:
+        level = settled(_answered(wanted, ends, _union([t for _, t in seen]), root), "level")
+        count = level.count()
+        if limit is not None and done + count > limit:
+            level, count = settled(level.orderBy("queue").limit(limit - done), "level"), limit - done
+        if not count:
+            break
+        levels.append(level.withColumn("level", F.lit(len(levels))))
+        done += count
+        # Tables of as many levels are merged, so there are few, and a level is copied a few times only.
+        seen.append((1, level.select(F.explode(F.array(F.struct(F.col("requested").alias("__seen"), F.lit(False).alias("__ended")), F.struct(F.col("url").alias("__seen"), F.lit(True).alias("__ended")))).alias("x")).select("x.*").distinct()))
+        while len(seen) > 1 and seen[-1][0] == seen[-2][0]:
+            (n, a), (_, b) = seen.pop(), seen.pop()
+            seen.append((2 * n, settled(a.unionByName(b), "seen")))
+        pages = level.where("read").select(F.col("url").alias("source"), F.col("queue").alias("__parent"))
+        reached = edges.join(pages, "source").groupBy(F.col("target").alias("requested")).agg(F.min(F.struct("__parent", "at")).alias("first"))
+        # Numbers that increase along the order are enough; the dense places are made at the end.
+        wanted = ordering.ranges(reached.select("requested", "first.*"), ["__parent", "at"]).select("requested", F.col(ordering.AT).alias("queue"))
+    every = _union(levels) if levels else _answered(wanted, ends, None, root).limit(0).withColumn("level", F.lit(0))
+    return ordering.numbered(every, ["level", "queue"], "place").select((F.col("place") + 1).alias("place"), "requested", "url", "level", "read")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for t in tables:
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _answered(wanted: DataFrame, ends: DataFrame | None, seen: DataFrame | None, root: str | None) -> DataFrame:
+    """The requests of a level that are made: (requested, url, queue, read). ends: where requests end elsewhere; seen: URLs that were asked for, or where a request __ended."""
+    asked = wanted.select("requested", "queue", F.col("requested").alias("url")) if ends is None else wanted.join(ends, F.col("requested") == F.col("__from"), "left").select("requested", "queue", F.coalesce("__end", "requested").alias("url"))
+    if root:
+        asked = asked.withColumn("url", F.when(in_crawl_boundary(F.col("url"), root), F.col("url")).otherwise(F.raise_error(F.concat(F.lit("a redirect leaves the crawl: "), "url"))))
+    if seen is not None:
+        asked = asked.join(seen, F.col("requested") == F.col("__seen"), "left_anti")
+    if ends is None:
+        return asked.withColumn("read", F.lit(True))
+    asked = settled(asked, "asked")
+    made = asked.join(_left_out(asked), F.col("requested") == F.col("__out"), "left_anti")
+    # Of requests that end at one page the first reads it, if no level before did.
+    first = made.groupBy(F.col("url").alias("__url")).agg(F.min("queue").alias("__first"))
+    judged = made.join(first, F.col("url") == F.col("__url")).withColumn("read", F.col("queue") == F.col("__first"))
+    if seen is not None:
+        before = seen.where("__ended").select(F.col("__seen").alias("__before")).distinct()
+        judged = judged.join(before, F.col("url") == F.col("__before"), "left").withColumn("read", F.col("read") & F.col("__before").isNull())
+    return judged.select("requested", "url", "queue", "read")
+
+
+def _left_out(asked: DataFrame) -> DataFrame:
+    """(__out): requests of a level at which one before them, that is made, ended. Only redirects end elsewhere; a chain of them settles from its first on."""
+    moved, out = asked.where("requested <> url"), None
+    while True:
+        made = moved if out is None else moved.join(out, F.col("requested") == F.col("__out"), "left_anti")
+        first = made.groupBy(F.col("url").alias("__to")).agg(F.min("queue").alias("__before"))
+        now = settled(asked.join(first, (F.col("requested") == F.col("__to")) & (F.col("queue") > F.col("__before"))).select(F.col("requested").alias("__out")), "left-out")
+        if now.isEmpty() if out is None else now.count() == out.count() and now.join(out, "__out", "left_anti").isEmpty():
+            return now
+        out = now

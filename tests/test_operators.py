@@ -48,6 +48,7 @@ def test_prompts_that_fit(spark):
     assert fit(spark, [], [100, 100, 100], 300)[1] == [2]
     assert fit(spark, [("HIGH", 150), ("LOW", 100)], [150], 350)[:2] == (["u0"], [])
     assert fit(spark, [("LOW", 100), ("HIGH", 80), ("LOW", 100), ("HIGH", 70)], [50], 350)[:3] == (["u1", "u3"], [0], [1, 2])
+    assert fit(spark, [("LOW", 1)], [1], 150)[3] and fit(spark, [("HIGH", 1)], [1], 150)[3:] == (True, False)
     assert fit(spark, [("HIGH", 900)], [10], 400)[4] and fit(spark, [("HIGH", 1)], [1], 120)[:4] == ([], [], [], True)
 
 
@@ -62,10 +63,16 @@ def test_fixed_window():
     assert [w.accept(t) for t in (0, 10, 20, 30, 3599, 3600, 3601)] == [True, True, True, False, False, True, True]
 
 
-def test_reset_times(spark):
-    rows = spark.createDataFrame([("15",), ("1700000000",), ("60s",), ("abc",), ("2030-01-02T03:04:05Z",)], "x string").withColumn("now", F.timestamp_seconds(F.lit(1000)))
-    got = [r.t for r in rows.select(F.unix_timestamp(quality.reset_time(F.col("x"), F.col("now"))).alias("t")).collect()]
-    assert got == [1015, 1700000000, 1060, None, 1893553445]
+def test_reset_headers(spark):
+    headers = ["15", "1700000000", "60s", "abc", "2030-01-02T03:04:05Z", "2030-01-02T03:04:05.5+02:00", " ", None, "Tue, 3 Jun 2008 11:05:30 GMT", "3 jun 2008 11:05 +0130", "Mon, 3 Jun 2008 11:05:30 GMT", "31 Feb 2008 11:05 GMT", "99999999999999999999"]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(headers)], "i int, x string").withColumn("now", F.timestamp_seconds(F.lit(1212490000)))
+    got = rows.select("i", F.unix_timestamp(quality.reset_instant(F.col("x"))).alias("reset"), quality.retry_after_seconds(F.col("x"), F.col("now")).alias("wait")).orderBy("i").collect()
+    assert [r.reset for r in got] == [15, 1700000000, None, None, 1893553445, 1893546245, None, None, None, None, None, None, None]
+    assert [r.wait for r in got] == [15, 1700000000, None, None, None, None, 0, 0, 1130, 0, None, None, None]
+    for value in (quality.reset_instant(F.lit("abc"), strict=True), quality.retry_after_seconds(F.lit("60s"), F.current_timestamp(), strict=True)):
+        with pytest.raises(Exception, match="Invalid"):
+            spark.range(1).select(value).collect()
+    assert spark.range(1).select(quality.retry_after_seconds(F.lit(None).cast("string"), F.current_timestamp(), strict=True)).first()[0] == 0
 
 
 def test_source_files(spark, tmp_path):

@@ -26,12 +26,26 @@ def test_member_questions_need_member_evidence():
 
 
 def test_citations_of_hand_made_rows(spark):
-    rows = [(1, 1, "https://x.org/a#f", "t", "", " one "), (1, 2, "https://x.org/a", "t", "of()", "two"), (1, 3, "https://x.org//a#of()", "t", None, None), (1, 4, "file:///d/a.html", "t", "", "x"), (1, 5, "file:///d/b.html", "t", "", "x"), (1, 6, "file:///d/a.html#z", "t", "", "x"), (1, 7, None, "t", None, "x"), (1, 8, "", "t", None, "x"), (1, 9, "file:///r/s/c.html", "t", "", "x")]
+    rows = [
+        (1, 1, "https://x.org/a#f", "t", "", " one "), (1, 2, "https://x.org/a", "t", "of()", "two"), (1, 3, "https://x.org//a#of()", "t", None, None), (1, 4, "file:///d/a.html", "t", "", "x"), (1, 5, "file:///d/b.html", "t", "", "x"), (1, 6, "file:///d/a.html#z", "t", "", "x"),
+        (1, 7, None, "t", None, "x"), (1, 8, " ", "t", None, "x"), (1, 9, "file:///w/data/docs/m/c.html", "t", "", "y" * 501), (1, 10, "/x//y.html", "t", "", "y" * 500), (1, 11, "file:///w/data/docs/books/a.pdf", "t", "", "x"), (2, 1, "https://x.org/a", None, None, "bad"), (None, 1, "https://x.org/a", "t", None, "x"), (None, 2, "https://x.org/a", "t", None, "x"), (1, 12, "", "t", "of()", "x"),
+    ]
     table = spark.createDataFrame(rows, "q int, at int, url string, title string, anchor string, text string")
-    found = {r["at"]: (r.url, r.anchor, r.snippet) for r in search.citations(table, ["q"], "at", {"/r/": "https://r.org/", "/r/s/": "https://s.org/"}).collect()}
+    sources = spark.createDataFrame([("m", "https://m.org/")], "mirror string, base_url string")
+    kept, failures = search.citations(table, ["q"], "at", sources, failed=F.col("title").isNull())
+    found = {(r.q, r["at"]): (r.url, r.anchor, r.snippet) for r in kept.collect()}
     assert found == {
-        1: ("https://x.org/a", "f", "one"), 2: ("https://x.org/a", "of()", "two"), 4: (search.REDACTED, "", "x"), 5: (search.REDACTED, "", "x"), 7: ("", "", "x"), 8: ("", "", "x"), 9: ("https://s.org/c.html", "", "x"),
+        (1, 1): ("https://x.org/a", "f", " one "), (1, 2): ("https://x.org/a", "of()", "two"), (1, 4): (search.REDACTED, "", "x"), (1, 5): (search.REDACTED, "", "x"), (1, 7): ("", "", "x"), (1, 8): (" ", "", "x"), (1, 9): ("https://m.org/c.html", "", "y" * 500 + "…"),
+        (1, 10): ("/x//y.html", "", "y" * 500), (1, 11): ("/pdfs/a.pdf", "", "x"), (None, 1): ("https://x.org/a", "", "x"), (1, 12): ("", "of()", "x"),
     }
+    assert [(r.q, r.failed) for r in failures.collect()] == [(2, 1)]
+    assert search.citations(table, ["q"], "at", sources)[1].count() == 0
+
+
+def test_hashes_of_no_documents(spark):
+    docs = spark.createDataFrame([(1, 1, "a")], "q int, at int, x string")
+    found = {r.q: r.hash for r in search.documents_hash(docs, "q", "at", [F.col("x")], of=spark.createDataFrame([(1,), (2,)], "q int")).collect()}
+    assert found[2] == "empty" and len(found[1]) == 64
 
 
 def test_schemas_quarantine_and_empty_tables(spark):
