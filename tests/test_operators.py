@@ -1,4 +1,3 @@
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,27 +109,3 @@ def test_ingestion_resumes(spark, tmp_path):
         q = jobs.ingest(spark, source, "id long", target, checkpoint, lambda df: df.withColumn("twice", F.col("id") * 2))
         q.awaitTermination(120)
     assert spark.read.parquet(target).count() == 30
-
-
-def run_stream(spark, tmp_path, name, rows, schema, job):
-    source = str(tmp_path / name)
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
-    q = job(spark.readStream.schema(schema).parquet(source)).writeStream.format("memory").queryName(name).outputMode("append").start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    time.sleep(0.1)
-    return spark.table(name).collect()
-
-
-def test_conversation_state(spark, tmp_path):
-    rows = [(1, 0, "user", "q1", True), (1, 1, "assistant", "a1", True), (1, 2, "user", "q2", True), (1, 3, "assistant", "cut", False), (2, 0, "assistant", "x", True)]
-    found = run_stream(spark, tmp_path, "exchanges", rows, "session long, turn long, role string, text string, complete boolean", jobs.remember_exchanges)
-    assert [tuple(r) for r in found] == [(1, 1, "q1", "a1")]
-
-
-def test_limits_as_a_stream(spark, tmp_path):
-    rows = [(1, float(t), i) for i, t in enumerate((0, 10, 20, 30, 3600))] + [(2, 5.0, 9)]
-    found = run_stream(spark, tmp_path, "limits", rows, "key long, at double, id long", jobs.limit_per_key)
-    assert {(r.key, r.id): r.accepted for r in found} == {(1, 0): True, (1, 1): True, (1, 2): True, (1, 3): False, (1, 4): True, (2, 9): True}
