@@ -42,7 +42,7 @@ def e2_h13_h14_tokenizer_windows(spark, sf_dir):
 
 def postings(spark, sf_dir):
     """Made once: scores and weights both read it."""
-    return settled(d1_f7_top_terms(spark, sf_dir), "postings")
+    return settled(sparse.by_term(d1_f7_top_terms(spark, sf_dir), "doc_id"), "postings")
 
 
 def d1_f7_top_terms(spark, sf_dir):
@@ -53,15 +53,22 @@ def weights(spark, sf_dir, found):
     return sparse.inverse_document_frequencies(found, F.lit(read(spark, sf_dir, "documents").count()))
 
 
+def term_scores(spark, sf_dir, queries, query="item_id"):
+    """Scores of queries' terms (query, term, tf) against all documents."""
+    found = sparse.of_terms(postings(spark, sf_dir), queries)
+    return sparse.sparse_scores(queries, found, weights(spark, sf_dir, found), query, "doc_id").withColumn("score", F.round("score", 6))
+
+
 def d14_idf(spark, sf_dir):
     return weights(spark, sf_dir, d1_f7_top_terms(spark, sf_dir)).withColumn("idf", F.round("idf", 9))
 
 
+def benchmark_terms(spark, sf_dir):
+    return sparse.term_frequencies(read(spark, sf_dir, "benchmark"), "item_id")
+
+
 def sparse_ranking(spark, sf_dir, k):
-    found = postings(spark, sf_dir)
-    queries = sparse.term_frequencies(read(spark, sf_dir, "benchmark"), "item_id")
-    scores = sparse.sparse_scores(queries, found, weights(spark, sf_dir, found), "item_id", "doc_id")
-    return sparse.top_k(scores.withColumn("score", F.round("score", 6)), "item_id", "doc_id", k)
+    return sparse.top_k(term_scores(spark, sf_dir, benchmark_terms(spark, sf_dir)), "item_id", "doc_id", k)
 
 
 def i3_sparse_top_k(spark, sf_dir):
@@ -92,9 +99,7 @@ def e1_i4_hybrid(spark, sf_dir):
 
 def i5_collections(spark, sf_dir):
     """Best per collection, merged: every collection gives its own top-k, a document in two of them counts once."""
-    found = postings(spark, sf_dir)
-    queries = sparse.term_frequencies(read(spark, sf_dir, "benchmark"), "item_id")
-    scores = sparse.sparse_scores(queries, found, weights(spark, sf_dir, found), "item_id", "doc_id").withColumn("score", F.round("score", 6))
+    scores = term_scores(spark, sf_dir, benchmark_terms(spark, sf_dir))
     homes = corpus(spark, sf_dir).select("doc_id", F.explode(F.array("collection", F.when(F.col("doc_id") % 3 == 0, F.lit("docs")).otherwise(F.col("collection")))).alias("collection")).distinct()
     placed = scores.join(homes, "doc_id")
     keyed = placed.withColumn("at", F.concat_ws("/", F.col("item_id").cast("string"), "collection"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.operators import dense, retrieval, sparse
 from docloom.plans import scopes as predicate
 from docloom.queries.functions_queries import CORPUS_SQL, corpus
-from docloom.queries.retrieval_queries import TERMS, postings, weights
+from docloom.queries.retrieval_queries import TERMS, term_scores
 from docloom.tables import read, settled
 
 API_SETS = {"21": "src0", "24": "src6", "25": "src12"}
@@ -27,19 +27,20 @@ TYPE, METHOD, SIGNATURE = ["List", "Map", "Set"], ["of", "entry", "get"], ["(E,E
 
 
 def entries(spark, sf_dir):
-    """Documents as entries of members: releases and sets by source, the rest by what their texts hold."""
+    """Documents as entries of members: releases and sets by source, the rest by what their texts hold. Made once."""
     kind, package = _pick(TYPE, F.length("text") % 3), F.when((F.length("text") % 3 == 2) & (_of("o", 2) == 1), "org.other").otherwise("java.util")
     number = F.substring("source", 4, 9).cast("int")
-    return (
+    return settled(
         corpus(spark, sf_dir)
         .withColumn("version", F.when(number < 6, "21").when(number < 12, "24").when(number < 18, "25").otherwise(""))
         .select(
-            "doc_id", "text", "version", "source", F.col("source").alias("doc_set"),
+            "doc_id", "version", F.col("source").alias("doc_set"), (_of("u", 2) == 0).alias("talks"),
             F.when(_of("e", 4) != 0, "official").otherwise("community").alias("source_kind"), F.when(_of("i", 3) != 0, "api-docs").otherwise("guide").alias("doc_type"),
             F.concat(F.lit("name"), (F.length("text") % 2).cast("string")).alias("source_name"), _pick(["docs", "pdfs", "docs", "books"], _of("n", 4)).alias("collection"),
             F.concat(kind, F.lit(".html")).alias("type_page"), package.alias("package"), F.concat(_pick(METHOD, _of("e", 3)), _pick(SIGNATURE, _of("a", 3))).alias("anchor"),
             F.concat(F.lit("https://docs.example.org/"), F.replace(package, F.lit("."), F.lit("/")), F.lit("/"), kind, F.lit(".html")).alias("url"), F.sha2("text", 256).alias("hash"),
-        )
+        ),
+        "entries",
     )
 
 
@@ -62,33 +63,33 @@ def questions(spark, sf_dir):
     )
 
 
-def platform(spark, sf_dir):
+def platform(points):
     """Members that the platform declares, by its documents of one kind."""
-    return entries(spark, sf_dir).where("doc_type = 'api-docs'").select("package", F.regexp_extract("type_page", "^(.*)[.]html$", 1).alias("type"), F.regexp_extract("anchor", "^([^(]+)", 1).alias("method")).distinct()
+    return points.where("doc_type = 'api-docs'").select("package", F.regexp_extract("type_page", "^(.*)[.]html$", 1).alias("type"), F.regexp_extract("anchor", "^([^(]+)", 1).alias("method")).distinct()
 
 
 def word_scores(spark, sf_dir, asked):
-    found = postings(spark, sf_dir)
-    return sparse.sparse_scores(sparse.term_frequencies(asked.select("query", "search_text"), "query", "search_text"), found, weights(spark, sf_dir, found), "query", "doc_id").withColumn("score", F.round("score", 6))
+    return term_scores(spark, sf_dir, sparse.term_frequencies(asked.select("query", "search_text"), "query", "search_text"), "query")
 
 
-def asked_for(spark, sf_dir):
+def asked_for(spark, sf_dir, points):
     """Made once, as every part of a search reads it."""
-    return settled(retrieval.plan_questions(questions(spark, sf_dir), platform(spark, sf_dir), API_SETS), "asked")
+    return settled(retrieval.plan_questions(questions(spark, sf_dir), platform(points), API_SETS), "asked")
 
 
 def i6_question_scopes(spark, sf_dir):
     """All documents that each question's scopes admit, counted by scope, with digests of their ids."""
-    asked = asked_for(spark, sf_dir)
-    inside = predicate.in_scopes(entries(spark, sf_dir).select("doc_id", *retrieval.FIELDS), retrieval.question_scopes(asked), retrieval.FIELDS, ["query", "scope"])
+    points = entries(spark, sf_dir)
+    asked = asked_for(spark, sf_dir, points)
+    inside = predicate.in_scopes(points.select("doc_id", *retrieval.FIELDS), retrieval.question_scopes(asked), retrieval.FIELDS, ["query", "scope"])
     return inside.groupBy("query", "scope").agg(F.count(F.lit(1)).alias("documents"), F.sum("doc_id").alias("ids"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-def dense_scopes(spark, sf_dir, asked, scopes):
+def dense_scopes(spark, sf_dir, points, scopes):
     """(query, scope, doc_id, score, rank): the vectors nearest to each hybrid scope's question; question n has the vector 20 n."""
     vectors = read(spark, sf_dir, "embeddings")
     hybrid = scopes.where("path = 'hybrid'").withColumn("slot", F.col("query") * 100 + F.col("scope"))
-    inside = predicate.in_scopes(entries(spark, sf_dir).select("doc_id", *retrieval.FIELDS), hybrid, retrieval.FIELDS, ["slot"])
+    inside = predicate.in_scopes(points.select("doc_id", *retrieval.FIELDS), hybrid, retrieval.FIELDS, ["slot"])
     lists = inside.groupBy("doc_id").agg(F.collect_set("slot").alias("slots"))
     rows = vectors.join(lists, F.col("vec_id") == F.col("doc_id"))
     own = vectors.select(F.col("vec_id").alias("at"), "embedding").join(hybrid.select("slot", (F.col("query") * 20).alias("of")), F.col("at") == F.col("of")).select(F.col("slot").alias("vec_id"), "embedding")
@@ -98,26 +99,28 @@ def dense_scopes(spark, sf_dir, asked, scopes):
 
 def i6_i10_retrieval(spark, sf_dir):
     """Each question's context: hybrid by releases, or a member's own entries; first seen, covered, cut to 100 tokens."""
-    asked = asked_for(spark, sf_dir)
-    points, scopes = entries(spark, sf_dir), retrieval.question_scopes(asked)
-    found = retrieval.candidates(asked, scopes, points, word_scores(spark, sf_dir, asked), dense_scopes(spark, sf_dir, asked, scopes), "doc_id", TOP_K, PREFETCH)
+    points = entries(spark, sf_dir)
+    asked = asked_for(spark, sf_dir, points)
+    scopes = settled(retrieval.question_scopes(asked), "scopes")
+    found = retrieval.candidates(asked, scopes, points, word_scores(spark, sf_dir, asked), dense_scopes(spark, sf_dir, points, scopes), "doc_id", TOP_K, PREFETCH)
     rows = found.join(points.select("doc_id", "version", "doc_type", "type_page", "package", "anchor", "url", "hash"), "doc_id").join(asked.select("query", "member", "path"), "query")
     mine = retrieval.own_entry(F.col("member"), F.col("doc_type"), F.col("type_page"), F.col("package"), F.col("anchor"))
     # Members in the order in which they were found, others by score, in the place of a reranker.
     rows = retrieval.first_seen_of_questions(rows.where((F.col("path") == "hybrid") | mine), "version", "hash", "url")
     by = F.struct(F.when(F.col("path") == "hybrid", -F.col("score")).otherwise(0.0).alias("s"), "scope", "rank")
     rows = rows.withColumn("order", F.row_number().over(retrieval.W.partitionBy("query").orderBy(by)))
-    out = retrieval.context_texts(retrieval.answers(asked, rows, "doc_id", RETURN_K), points, "doc_id", "text", 100)
+    out = retrieval.context_texts(retrieval.answers(asked, rows, "doc_id", RETURN_K), read(spark, sf_dir, "documents"), "doc_id", "text", 100)
     return out.select("query", "failure", "place", "doc_id", "version", "score", F.sha2("text", 256).alias("text_hash"), "truncated")
 
 
 def e4_i9_citation_order(spark, sf_dir):
     """Each question's first entries for citations: by words in official collections, in the order of what it names."""
-    asked = retrieval.citation_questions(asked_for(spark, sf_dir))
-    points, scopes = entries(spark, sf_dir), retrieval.question_scopes(asked)
+    points = entries(spark, sf_dir)
+    asked = retrieval.citation_questions(asked_for(spark, sf_dir, points))
+    scopes = settled(retrieval.question_scopes(asked), "scopes")
     found = retrieval.candidates(asked, scopes, points, word_scores(spark, sf_dir, asked), None, "doc_id", TOP_K, PREFETCH)
-    said = F.concat_ws(" ", "text", F.when(_of("u", 2) == 0, F.concat(F.regexp_extract("anchor", "^([^(]+)", 1), F.lit(" (x)"))))
-    more = points.select("doc_id", "version", "doc_type", "type_page", "package", "anchor", "url", "hash", said.alias("text"), F.regexp_extract("url", "^https://[^/]+(/[^?#]*)", 1).alias("url_path"), F.col("package").alias("url_package"))
+    said = F.concat_ws(" ", "text", F.when(F.col("talks"), F.concat(F.regexp_extract("anchor", "^([^(]+)", 1), F.lit(" (x)"))))
+    more = points.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "version", "doc_type", "type_page", "package", "anchor", "url", "hash", said.alias("text"), F.regexp_extract("url", "^https://[^/]+(/[^?#]*)", 1).alias("url_path"), F.col("package").alias("url_package"))
     rows = found.join(more, "doc_id").join(asked.select("query", "member", "first_member", "requested"), "query")
     # With releases the scopes' rows are one list, whose repeats go; a single scope's are as they are.
     fanned, single = rows.where(F.size("requested") > 0), rows.where(F.size("requested") == 0)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions.identity import chunk_hash
 from docloom.functions.text import estimated_tokens, truncated
-from docloom.operators import index, quality, search, sparse
+from docloom.operators import index, quality, search
 from docloom.plans.constraints import Constraint
 from docloom.queries.functions_queries import CORPUS_SQL, corpus
-from docloom.queries.retrieval_queries import TERMS, postings, sparse_ranking, weights
+from docloom.queries.retrieval_queries import TERMS, benchmark_terms, sparse_ranking, term_scores
 from docloom.tables import read
 
 PLACES = {"version": "version", "doc_set": "source"}
@@ -21,10 +21,7 @@ def pick(names, by):
 
 
 def scored(spark, sf_dir):
-    found = postings(spark, sf_dir)
-    queries = sparse.term_frequencies(read(spark, sf_dir, "benchmark"), "item_id")
-    scores = sparse.sparse_scores(queries, found, weights(spark, sf_dir, found), "item_id", "doc_id").withColumn("score", F.round("score", 6))
-    return scores.join(corpus(spark, sf_dir).select("doc_id", "version", "source", "collection"), "doc_id")
+    return term_scores(spark, sf_dir, benchmark_terms(spark, sf_dir)).join(corpus(spark, sf_dir).select("doc_id", "version", "source", "collection"), "doc_id")
 
 
 def c15_i6_version_scopes(spark, sf_dir):
