@@ -36,6 +36,37 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "number
     return joined.withColumn(name, F.col(AT) - F.col("__first") + F.col("__before")).select(*rows.columns, name)
 
 
+def key_ranges(rows: DataFrame, key: str, order: Sequence[str | Column], carried: dict[str, Column], *entering: dict[str, Column], local: dict[str, Column] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with __range and __at, in ranges of (key, order), and what each key's rows of a range begin with, from its rows in the ranges before.
+
+    local: columns over within(key). carried: aggregates over a key's rows of one range, which may read those. entering: from these, columns over the window
+    before(), all ranges of the key before this one; later ones may read earlier ones. A key that holds most rows is many ranges, and of each only its
+    aggregates meet. Null is a key.
+    """
+    dealt = ranges(rows, [F.asc_nulls_first(key), *order], range_rows).withColumns(local or {})
+    sums = dealt.groupBy(F.col(key).alias("__key"), F.col(RANGE).alias("__r")).agg(*(c.alias(n) for n, c in carried.items()))
+    for columns in entering:
+        sums = sums.withColumns(columns)
+    sums = sums.select("__key", "__r", *(n for columns in entering for n in columns))
+    return dealt.join(sums, dealt[key].eqNullSafe(sums["__key"]) & (dealt[RANGE] == sums["__r"])).drop("__key", "__r")
+
+
+def before() -> W:
+    """For entering: a key's ranges before this one."""
+    return W.partitionBy("__key").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+
+
+def within(key: str) -> W:
+    """A key's rows of one range, in order."""
+    return W.partitionBy(key, RANGE).orderBy(AT)
+
+
+def numbered_within(rows: DataFrame, key: str, order: Sequence[str | Column], name: str = "number", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with their number (from 0) along the order among those of their key."""
+    dealt = key_ranges(rows, key, order, {"__n": F.count(F.lit(1))}, {"__before": F.coalesce(F.sum("__n").over(before()), F.lit(0))}, range_rows=range_rows)
+    return dealt.withColumn(name, F.row_number().over(within(key)) - 1 + F.col("__before")).select(*rows.columns, name)
+
+
 def fold_ranges(dealt: DataFrame, columns: Sequence[str], tables: Callable[[pa.Table], dict], table_schema: str, entries: Callable[[list], dict[int, tuple]], apply: Callable[[pa.Table, tuple], pa.Array], out: str, out_type: str) -> DataFrame:
     """dealt (from ranges) with a column `out`, for a fold along the order whose state is small.
 

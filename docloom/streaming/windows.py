@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators import ordering
+
 
 class FixedWindow:
     """At most `most` acceptances within `seconds` of the window's first; the next one after that starts a new window. What is not delivered gives its place back."""
@@ -43,10 +45,10 @@ def fixed_window_limit(events: DataFrame, key: str, ts: str, order: str, most: i
     return rows.mapInArrow(judge, f"{key} long, {order} long, accepted boolean")
 
 
-def coalesced(rows: DataFrame, by: str, order: str, text: str, size: int = 24) -> DataFrame:
-    """(by, batch, text): runs of `size` pieces joined in order."""
-    numbered = rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size))
-    pieces = F.array_sort(F.collect_list(F.struct(order, text)))
+def coalesced(rows: DataFrame, by: str, order: str, text: str, size: int = 24, range_rows: int = ordering.RANGE_ROWS) -> DataFrame:
+    """(by, batch, text): runs of `size` pieces joined in order. A stream of very many pieces is numbered in ranges."""
+    numbered = ordering.numbered_within(rows.select(by, order, text), by, [order], "__number", range_rows).withColumn("batch", F.floor(F.col("__number") / size))
+    pieces = F.array_sort(F.collect_list(F.struct("__number", text)))
     return numbered.groupBy(by, "batch").agg(F.array_join(F.transform(pieces, lambda x: x[text]), "").alias("text"))
 
 
@@ -56,22 +58,34 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
     return events.groupBy(key, window).agg(F.min(ts).alias("began"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("events")).drop("session_window")
 
 
-def extended_limits(limits: DataFrame, key: str, at: str, until: str) -> DataFrame:
-    """limits (key, at, until) with active_until after each: a window is only ever extended, or replaced when it has passed."""
-    so_far = W.partitionBy(key).orderBy(at, until).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return limits.withColumn("active_until", F.max(until).over(so_far))
+def extended_limits(limits: DataFrame, key: str, at: str, until: str, range_rows: int = ordering.RANGE_ROWS) -> DataFrame:
+    """limits (key, at, until) with active_until after each: a window is only ever extended, or replaced when it has passed. A key of very many rows is cut into ranges."""
+    dealt = ordering.key_ranges(limits, key, [at, until], {"__max": F.max(until)}, {"__before": F.max("__max").over(ordering.before())}, range_rows=range_rows)
+    so_far = ordering.within(key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return dealt.select(*limits.columns, F.greatest("__before", F.max(until).over(so_far)).alias("active_until"))
 
 
-def provider_windows(events: DataFrame, key: str, at: str, order: str, failed: str, until: str, window: int) -> DataFrame:
+def provider_windows(events: DataFrame, key: str, at: str, order: str, failed: str, until: str, window: int, range_rows: int = ordering.RANGE_ROWS) -> DataFrame:
     """events with available, active_until and failures, as they are after each in the order of (at, order); at and until are integers of one unit.
 
     A failed event is a rate limit until `until`, or without one for `window` from at. While a limit lasts it is only ever extended; one that has
-    passed is replaced. So the limit that lasts is the largest so far. failures: since the last event that did not fail.
+    passed is replaced. So the limit that lasts is the largest so far. failures: since the last event that did not fail. A key of very many events is cut
+    into ranges, of which the largest limit, the failures at the end and whether any event did not fail are handed on.
     """
-    before = W.partitionBy(key).orderBy(at, order)
-    limit = F.when(F.col(failed), F.coalesce(until, F.col(at) + window))
-    marked = events.withColumn("__limit", limit).withColumn("__run", F.count(F.when(~F.col(failed), 1)).over(before.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    largest, run = F.max("__limit").over(before.rowsBetween(W.unboundedPreceding, W.currentRow)), W.partitionBy(key, "__run").orderBy(at, order)
+    marked = events.withColumns({"__limit": F.when(F.col(failed), F.coalesce(until, F.col(at) + window)), "__bad": F.coalesce(failed, F.lit(False))})
+    so_far, good = ordering.within(key).rowsBetween(W.unboundedPreceding, W.currentRow), ~F.col("__bad")
+    # The number of failures so far never falls, so at the last event that did not fail it is the largest of such events.
+    dealt = ordering.key_ranges(
+        marked,
+        key,
+        [at, order],
+        {"__max": F.max("__limit"), "__bads": F.count_if("__bad"), "__calm": F.max(F.when(good, F.col("__n")))},
+        {"__limit_before": F.max("__max").over(ordering.before()), "__n_before": F.coalesce(F.sum("__bads").over(ordering.before()), F.lit(0))},
+        {"__calm_before": F.max(F.col("__n_before") + F.col("__calm")).over(ordering.before())},
+        local={"__n": F.count_if("__bad").over(so_far)},
+        range_rows=range_rows,
+    )
+    largest = F.greatest("__limit_before", F.max("__limit").over(so_far))
     lasting = F.when(largest > F.col(at), largest)
-    failures = F.count(F.when(F.col(failed), 1)).over(run.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return marked.select(*events.columns, lasting.isNull().alias("available"), lasting.alias("active_until"), failures.alias("failures"))
+    calm = F.coalesce(F.greatest("__calm_before", F.col("__n_before") + F.max(F.when(good, F.col("__n"))).over(so_far)), F.lit(0))
+    return dealt.select(*events.columns, lasting.isNull().alias("available"), lasting.alias("active_until"), (F.col("__n_before") + F.col("__n") - calm).alias("failures"))
