@@ -10,6 +10,31 @@ ELLIPSIS = "…"
 # Characters that show nothing beside white space: zero-width ones, joiners, byte-order mark and soft hyphen.
 INVISIBLE = r"\s\p{Z}​‌‍⁠﻿­"
 
+# What joins letters, digits, both, and whatever it stands between, by the standard's word-break properties (UAX #29).
+MID_LETTER = r":··՟״‧︓﹕："
+MID_NUMBER = r",;;։،؍٬߸⁄︐︔﹐﹔，；"
+MID_BOTH = r".'‘’․﹒＇．"
+CONNECTOR = r"[\p{Pc} ]"
+#: Letters without spaces between words: ideographs and Hiragana are words one by one, the others in runs.
+SINGLE, RUNS = r"\p{IsHan}\p{IsHiragana}", r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
+KATAKANA = r"\p{IsKatakana}〱-〵゛゜゠ーｰ"
+
+
+def _word_pattern() -> str:
+    # Combining marks and format characters belong to what is before them. Possessive where it can be, so that nothing that matched is tried again.
+    marks = r"[\p{M}\p{Cf}&&[^​]]*+"
+    letter = rf"[\p{{L}}\p{{Nl}}&&[^{SINGLE}{RUNS}{KATAKANA}]]{marks}"
+    digit, link = rf"[\p{{Nd}}٫]{marks}", rf"{CONNECTOR}{marks}"
+    letters = rf"{letter}(?:(?:[{MID_LETTER}{MID_BOTH}]{marks})?{letter})*+"
+    digits = rf"{digit}(?:(?:[{MID_NUMBER}{MID_BOTH}]{marks})?{digit})*+"
+    part = rf"(?:(?:{letters}|{digits})++|(?:[{KATAKANA}]{marks})++)"
+    return rf"(?:{link})*+{part}(?:(?:{link})++{part})*+(?:{link})*+|[{SINGLE}]{marks}|(?:[{RUNS}]{marks})++"
+
+
+def words(x: Column) -> Column:
+    """The words of a text by the Unicode standard's word breaks: don't, 3.14 and a_b are one, ideographs are words one by one. Emoji are none."""
+    return F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(_word_pattern()), F.lit(0))
+
 
 def ascii_lower(x: Column) -> Column:
     """A-Z only; null is empty."""

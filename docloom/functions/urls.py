@@ -177,3 +177,42 @@ def in_crawl_boundary(url: Column, root: str) -> Column:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     base = r.path.rstrip("/")
     return (scheme == r.scheme.lower()) & (host == (r.hostname or "")) & (port == str(r.port or ports.get(r.scheme.lower(), ""))) & ((path == base) | path.startswith(f"{base}/"))
+
+
+# Where a link leads that is not safe, and what is shown for sources without a name of their own.
+NO_LINK, A_SOURCE, A_PDF, A_PATH = "#", "Source", "PDF Document", "Local Resource"
+
+
+def safe_url(url: Column) -> Column:
+    """The trimmed URL if it is a web address, a path from the root or relative; other schemes, addresses that inherit one, and blanks lead nowhere."""
+    t = F.trim(F.coalesce(url, F.lit("")))
+    return F.when(t == "", NO_LINK).when(t.rlike("(?i)^https?:") | (t.startswith("/") & ~t.startswith("//")), t).when(t.startswith("//") | t.contains(":"), NO_LINK).otherwise(t)
+
+
+def full_url(url: Column, anchor: Column) -> Column:
+    """The safe URL with the anchor, unless it has one."""
+    safe, a = safe_url(url), F.coalesce(anchor, F.lit(""))
+    return F.when((safe != NO_LINK) & (a != "") & ~safe.contains("#"), F.concat(safe, F.lit("#"), a)).otherwise(safe)
+
+
+def citation_identity(url: Column, anchor: Column) -> Column:
+    """Equal for links to one place: the URL in lower case, its fragment as it is."""
+    full = full_url(url, anchor)
+    return F.concat(F.lower(F.regexp_extract(full, "(?s)^([^#]*)", 1)), F.regexp_extract(full, "(?s)(#.*)$", 1))
+
+
+def display_source(url: Column) -> Column:
+    """What a citation is called: the name of a PDF file, the host of a web address, the last part of a local path."""
+    u = F.coalesce(url, F.lit(""))
+    path = F.regexp_extract(u, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    name = F.try_url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), "[-_]", " "), r"\s+", " "))
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+    last = F.substring_index(u, "/", -1)
+    return (
+        F.when(u == "", A_SOURCE)
+        .when(F.lower(path).endswith(".pdf"), F.when(name.isNull() | name.contains("\uFFFD"), A_SOURCE).when(clean == "", A_PDF).otherwise(clean))
+        .when(u.rlike("(?i)^https?://"), F.when(host == "", A_SOURCE).otherwise(host))
+        .when(u.startswith("/"), F.when(last == "", A_PATH).otherwise(last))
+        .otherwise(A_SOURCE)
+    )

@@ -201,3 +201,11 @@ def checked_file_decisions(files: DataFrame, markers: DataFrame, stored: DataFra
     same = F.col("__e_points").eqNullSafe(F.col("__s_points")) & F.col("__e_digests").eqNullSafe(F.col("__s_digests"))
     decision = F.when(F.col("decision") == "new", F.when(F.col("__s").isNull(), "new").otherwise("unmarked")).when(F.col("decision") == "changed", "changed").when(same, "skip").otherwise("differs")
     return met.withColumn("decision", decision).select(*files.columns, "decision")
+
+
+def require_unique(rows: DataFrame, column: str) -> DataFrame:
+    """rows, if no value of the column repeats; else an error that names one that does."""
+    again = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if again is not None:
+        raise ValueError(f"{column} {again[column]} occurs {again['n']} times")
+    return rows

@@ -191,3 +191,27 @@ def pdf_title(metadata: Column, file_name: Column) -> Column:
     plain = F.replace(F.coalesce(metadata, F.lit("")), F.lit("\r\n"), F.lit("\n"))
     title = F.trim(F.regexp_extract(plain, r"(?i)title:([^\n]*)", 1))
     return F.when(title != "", title).otherwise(F.regexp_replace(file_name, r"(?s)^(.+)\.[^.]*$", "$1"))
+
+
+def selected_sets(sets: DataFrame, selector: str | None, with_quick: bool = False) -> DataFrame:
+    """The rows of sets (name, path, official, quick) that a selector names: tokens parted by commas, `all` alone for every canonical set, none for the canonical ones (with_quick: the quick ones).
+
+    An official set is named by its path exactly, others by name or path in any case. Nothing named, `all` next to others, and quick sets next to
+    canonical ones are errors.
+    """
+    tokens = list(dict.fromkeys(t for x in (selector or "").split(",") if (t := x.strip())))
+    if not (selector or "").strip():
+        return sets.where(F.col("quick") == with_quick)
+    every = [t for t in tokens if t.lower() == "all"]
+    if every and len(tokens) > 1:
+        raise ValueError("all cannot be combined with other selectors")
+    if every or not tokens:
+        return sets.where(~F.col("quick"))
+    low = [t.lower() for t in tokens]
+    found = sets.where(F.when(F.col("official"), F.col("path").isin(tokens)).otherwise(F.lower(F.trim("path")).isin(low) | F.lower(F.trim("name")).isin(low)))
+    kinds = found.agg(F.collect_set("quick")).first()[0]
+    if not kinds:
+        raise ValueError(f"no documentation set is named {', '.join(tokens)}")
+    if len(kinds) > 1:
+        raise ValueError("quick sets cannot be taken with canonical ones")
+    return found

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import cut_with_ellipsis
-from docloom.functions.urls import canonical_doc_url, without_fragment
+from docloom.functions.urls import canonical_doc_url, citation_identity, without_fragment
 from docloom.operators.registry import REDACTED, document_urls
 from docloom.operators.sparse import top_k
 from docloom.plans.constraints import Constraint
@@ -129,3 +129,13 @@ def in_sequence(*parts: DataFrame) -> DataFrame:
         part = part.withColumn("seq", F.lit(i))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def distinct_citations(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows (by, order, url, anchor) without those whose URL is null, and of each place that a list leads to the first only. by and order are a key of rows."""
+    named = rows.where(F.col("url").isNotNull()).withColumn("__identity", citation_identity(F.col("url"), F.col("anchor")))
+    first = named.groupBy(*(F.col(c).alias(f"__{c}") for c in by), F.col("__identity").alias("__of")).agg(F.min(order).alias("__order"))
+    same = (named["__identity"] == first["__of"]) & (named[order] == first["__order"])
+    for c in by:
+        same = same & named[c].eqNullSafe(first[f"__{c}"])
+    return named.join(first, same, "left_semi").drop("__identity")

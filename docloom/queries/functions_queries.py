@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import identity, text, urls
+from docloom.operators import sparse
 from docloom.tables import read
 
 #: Documents as pages of a site, with a release and a collection; SQL for the same.
@@ -66,6 +67,14 @@ def h11_h15_text_measures(spark, sf_dir):
     )
 
 
+def h12_standard_terms(spark, sf_dir):
+    """Terms by the standard's word breaks, of the documents with marks between some of their words."""
+    marked = F.col("text")
+    for old, new in ((" a", "'a"), (" th", ".th"), (" in ", "_in_"), (" el ", " 3.14,5x; "), (" d", ",d")):
+        marked = F.replace(marked, F.lit(old), F.lit(new))
+    return sparse.term_frequencies(read(spark, sf_dir, "documents").select("doc_id", marked.alias("text")), "doc_id", split=sparse.standard_terms)
+
+
 def h17_h18_keyword_score(spark, sf_dir):
     words = F.array(F.lit("the"), F.lit("en"), F.lit("de"))
     low = text.ascii_lower(F.col("text"))
@@ -147,6 +156,9 @@ LANGUAGES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in urls.LANGUAGE_OF_END
 NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in urls.LANGUAGE_OF_NAME.items()) + "}"
 
 SQL = {
+    "h12_standard_terms": r"""WITH m AS (SELECT doc_id, lower(replace(replace(replace(replace(replace(text, ' a', '''a'), ' th', '.th'), ' in ', '_in_'), ' el ', ' 3.14,5x; '), ' d', ',d')) AS t FROM documents),
+        w AS (SELECT doc_id, unnest(regexp_extract_all(t, '_*(?:\pL\pM*(?:[:.'']?\pL\pM*)*|\p{Nd}\pM*(?:[,;.'']?\p{Nd}\pM*)*)+(?:_+(?:\pL\pM*(?:[:.'']?\pL\pM*)*|\p{Nd}\pM*(?:[,;.'']?\p{Nd}\pM*)*)+)*_*')) AS term FROM m)
+        SELECT doc_id, term, count(*) AS tf FROM w WHERE length(term) >= 2 GROUP BY 1, 2""",
     "h1_h3_chunk_hash": f"WITH {CORPUS_SQL} SELECT doc_id, sha256(text) AS text_hash, sha256(url || '#' || doc_id % 7 || ':' || text) AS chunk_hash FROM corpus",
     "h4_member_hash": f"""WITH {CORPUS_SQL}, x AS (SELECT *, 'of(' || lang || ')' AS anchor, length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS units FROM corpus)
         SELECT doc_id, sha256(concat_ws(chr(0), 'java-api-member-chunk-v2', length(url), url, doc_id % 7, length(anchor), anchor, units, text)) AS member_hash FROM x""",

@@ -188,6 +188,11 @@ c AS (SELECT *, unnest(generate_series(0, CASE WHEN len(t) <= {m} THEN 0 ELSE CA
 TOKENS = "CASE WHEN length(text) = 0 THEN 0 ELSE length(text) // 4 + 1 END"
 
 SQL = {
+    "e8_version_coverage": f"""WITH RECURSIVE {TERMS}, {CORPUS_SQL}, listed AS (SELECT item_id AS query, list({{'d': doc_id, 'v': version, 'r': rank}} ORDER BY rank) AS found FROM ranked JOIN corpus USING (doc_id) WHERE rank <= 60 GROUP BY 1),
+        cover AS (SELECT query, 1 AS i, found, found[1:4] AS kept FROM listed
+        UNION ALL SELECT query, i + 1, found, CASE WHEN len(list_filter(kept, lambda r: r.v = wanted)) > 0 THEN kept WHEN len(kept) < 4 THEN kept || [new] ELSE kept[1:spare - 1] || [new] || kept[spare + 1:] END
+            FROM (SELECT *, ['24', '21', '25'][i] AS wanted, list_filter(found, lambda r: r.v = ['24', '21', '25'][i])[1] AS new, list_max(list_filter(range(1, len(kept) + 1), lambda j: len(list_filter(kept, lambda r: r.v = kept[j].v)) > 1)) AS spare FROM cover WHERE i <= 3)),
+        final AS (SELECT query, unnest(kept) AS r, unnest(range(1, len(kept) + 1)) AS place FROM cover WHERE i = 4) SELECT query, r.d AS doc_id, r.v AS version, r.r AS rank, CAST(place AS INTEGER) AS place FROM final""",
     "e2_token_windows": f"WITH {WINDOWS.format(m=900, s='750.0')} SELECT doc_id, chunk_index, len(list_slice(t, chunk_index * 750 + 1, chunk_index * 750 + 900)) AS tokens, sha256(array_to_string(list_slice(t, chunk_index * 750 + 1, chunk_index * 750 + 900), ' ')) AS chunk_hash FROM c",
     "e9_global_chunk_index": f"WITH {WINDOWS.format(m=200, s='150.0')} SELECT source, doc_id, chunk_index, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) - 1 AS global_index FROM c",
     "h14_keep_last_tokens": "SELECT doc_id, array_to_string(list_slice(t, greatest(len(t) - 19, 1), len(t)), ' ') AS tail FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS t FROM documents)",
@@ -219,4 +224,4 @@ SQL = {
         SELECT slice, results, high, CASE WHEN results = 0 THEN 'NONE' WHEN k THEN 'KEYWORD_SEARCH' WHEN high = results THEN 'HIGH_QUALITY' ELSE 'MIXED_QUALITY' END AS level FROM g""",
 }
 
-QUERIES = {name: globals()[name] for name in [*SQL, "e8_version_coverage", "i15_i16_fitted_prompt", "e2_h13_h14_tokenizer_windows"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "i15_i16_fitted_prompt", "e2_h13_h14_tokenizer_windows"]}

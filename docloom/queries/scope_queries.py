@@ -77,6 +77,15 @@ def asked_for(spark, sf_dir, points):
     return settled(retrieval.plan_questions(questions(spark, sf_dir), platform(points), API_SETS), "asked")
 
 
+def h25_i9_asked(spark, sf_dir):
+    """What each question asks for, as it is planned."""
+    asked = asked_for(spark, sf_dir, entries(spark, sf_dir))
+    return asked.select(
+        "query", F.sha2("text", 256).alias("question_hash"), F.array_join("requested", ",").alias("requested"), F.concat("first_member.type", F.lit("."), "first_member.method").alias("first_member"),
+        F.col("member.package").alias("package"), F.col("member.signature").alias("signature"), "path", F.col("failure").isNotNull().alias("conflict"), F.sha2("search_text", 256).alias("search_hash"), F.array_join("doc_sets", ",").alias("doc_sets"),
+    )
+
+
 def i6_question_scopes(spark, sf_dir):
     """All documents that each question's scopes admit, counted by scope, with digests of their ids."""
     points = entries(spark, sf_dir)
@@ -203,6 +212,8 @@ said AS (SELECT j.query, j.failure, CAST(f.place AS INTEGER) AS place, f.r.d AS
 """
 
 SQL = {
+    "h25_i9_asked": f"""WITH {ENTRIES_SQL} SELECT query, sha256(question) AS question_hash, array_to_string(parsed, ',') AS requested, CASE WHEN n IN (2, 3, 4) THEN kind || '.' || method END AS first_member, package, CASE WHEN package IS NOT NULL THEN sig END AS signature,
+        CASE WHEN by_member THEN 'member' ELSE 'hybrid' END AS path, conflict, sha256({BOOSTED}) AS search_hash, array_to_string(doc_sets, ',') AS doc_sets FROM asked""",
     "i6_question_scopes": f"WITH {ENTRIES_SQL}, {SCOPES_SQL.format(path='by_member')} SELECT query, scope, count(*) AS documents, CAST(sum(doc_id) AS BIGINT) AS ids, min(doc_id) AS first, max(doc_id) AS last FROM inside GROUP BY 1, 2",
     "i6_i10_retrieval": f"""WITH RECURSIVE {ENTRIES_SQL}, {SCOPES_SQL.format(path='by_member')}, {WORDS_SQL.format(search=BOOSTED)},
 words AS (SELECT i.query, i.scope, i.doc_id, i.by_member, s.score, row_number() OVER (PARTITION BY i.query, i.scope ORDER BY s.score DESC, i.doc_id) AS rank FROM inside i JOIN scores s ON s.item_id = i.query AND s.doc_id = i.doc_id WHERE NOT exact),

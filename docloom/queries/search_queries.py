@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.identity import chunk_hash
+from docloom.functions import urls
 from docloom.functions.text import estimated_tokens, truncated
 from docloom.operators import index, quality, search
 from docloom.plans.constraints import Constraint
@@ -76,6 +77,24 @@ def i13_failed_conversions(spark, sf_dir):
     return search.citations(rows, ["version", "source"], "doc_id", sources, failed=failed)[1]
 
 
+def _linked(spark, sf_dir):
+    """Pages' URLs in the forms that citations have, by the length of the page."""
+    n, host = F.length("html") % 7, F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    url = F.when(n == 0, F.concat("url", F.lit("/a-b__c%20d+e.PDF?x=1#y"))).when(n == 1, F.concat(F.lit("/local/"), F.regexp_extract("url", "([^/]*)$", 1))).when(n == 2, F.concat(F.lit("javascript:"), "url")).when(n == 3, F.concat(F.lit(" "), F.replace("url", F.lit("http"), F.lit("HTTP"))))
+    url = url.when(n == 4, F.lit(None).cast("string")).when(n == 5, F.regexp_replace("url", "^[a-z]+://", "https://www."))
+    return read(spark, sf_dir, "pages").select("page_id", host.alias("host"), url.otherwise(F.col("url")).alias("url"), F.when(F.length("html") % 3 == 0, "Of(E)").when(F.length("html") % 3 == 1, "").alias("anchor"))
+
+
+def h39l_citation_labels(spark, sf_dir):
+    u, a = F.col("url"), F.col("anchor")
+    return _linked(spark, sf_dir).select("page_id", urls.display_source(u).alias("label"), urls.full_url(u, a).alias("link"), urls.citation_identity(u, a).alias("identity"))
+
+
+def h39l_distinct_citations(spark, sf_dir):
+    """The pages of each host as citations, without repeats."""
+    return search.distinct_citations(_linked(spark, sf_dir).withColumn("url", F.regexp_replace("url", "/[0-9]+.*$", "/x")), ["host"], "page_id").select("host", "page_id", "url", "anchor")
+
+
 def h51_reset_headers(spark, sf_dir):
     """Headers of every form made of the events' times and amounts, read at the time of the event before the last hour."""
     e, at = read(spark, sf_dir, "events"), F.date_trunc("second", F.col("ts").cast("timestamp"))
@@ -193,7 +212,16 @@ CITED = f"""{CORPUS_SQL}, mirrors AS (SELECT DISTINCT source FROM documents WHER
     x2 AS (SELECT *, CASE WHEN trim(anchor) <> '' THEN split_part(normal, '#', 1) || '#' || anchor ELSE normal END AS refined FROM x1),
     cited AS (SELECT version, source, doc_id, lang AS title, said AS text, refined, CASE WHEN n = 1 THEN 'file:///home/x/' || page WHEN n = 0 AND NOT mirrored THEN 'file:///w/data/docs/' || source || '/a//' || page ELSE refined END AS identity, length(said) % 13 = 0 AS failed FROM x2)"""
 
+LINKED = r"""l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, url AS raw, length(html) % 7 AS n, CASE length(html) % 3 WHEN 0 THEN 'Of(E)' WHEN 1 THEN '' END AS anchor,
+    CASE length(html) % 7 WHEN 0 THEN url || '/a-b__c%20d+e.PDF?x=1#y' WHEN 1 THEN '/local/' || regexp_extract(url, '([^/]*)$', 1) WHEN 2 THEN 'javascript:' || url WHEN 3 THEN ' ' || replace(url, 'http', 'HTTP') WHEN 4 THEN NULL WHEN 5 THEN regexp_replace(url, '^[a-z]+://', 'https://www.') ELSE url END AS url FROM pages)"""
+FULL = "CASE WHEN n IN (2, 4) OR {u} IS NULL THEN '#' WHEN coalesce(anchor, '') <> '' AND NOT contains({u}, '#') THEN trim({u}) || '#' || anchor ELSE trim({u}) END"
+
 SQL = {
+    "h39l_citation_labels": f"""WITH {LINKED}, f AS (SELECT *, {FULL.format(u='url')} AS link FROM l)
+        SELECT page_id, CASE n WHEN 0 THEN CASE WHEN contains(raw, '?') OR contains(raw, '#') THEN regexp_replace(host, '^www[.]', '') ELSE 'a b c d+e' END WHEN 1 THEN regexp_extract(url, '([^/]*)$', 1) WHEN 2 THEN 'Source' WHEN 3 THEN 'Source' WHEN 4 THEN 'Source' ELSE regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '^www[.]', '') END AS label,
+        link, lower(regexp_extract(link, '^([^#]*)', 1)) || regexp_extract(link, '(#.*)$', 1) AS identity FROM f""",
+    "h39l_distinct_citations": f"""WITH {LINKED}, g AS (SELECT * REPLACE (regexp_replace(url, '/[0-9]+.*$', '/x') AS url) FROM l), f AS (SELECT *, {FULL.format(u='url')} AS link FROM g WHERE url IS NOT NULL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY host, lower(regexp_extract(link, '^([^#]*)', 1)) || regexp_extract(link, '(#.*)$', 1) ORDER BY page_id) AS r FROM f) SELECT host, page_id, url, anchor FROM k WHERE r = 1""",
     "c15_i6_version_scopes": f"{JOINED}, r AS (SELECT item_id, version AS scope, doc_id, score, row_number() OVER (PARTITION BY item_id, version ORDER BY score DESC, doc_id) AS rank FROM j WHERE version IN ('25', '21') AND source IN ('src0', 'src1', 'src2', 'src3')) SELECT * FROM r WHERE rank <= 5",
     "i7_citation_search": f"""{JOINED}, o AS (SELECT item_id, 'all' AS scope, doc_id, score FROM j WHERE collection IN ('docs', 'pdfs') UNION ALL SELECT item_id, 'new', doc_id, score FROM j WHERE collection IN ('docs', 'pdfs') AND version = '25'),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id, scope ORDER BY score DESC, doc_id) AS rank FROM o) SELECT * FROM r WHERE rank <= 3""",

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.functions import html, identity, markdown, murmur, strict_json, text, urls
+from docloom.operators import sparse
 from docloom.plans import query_parse
 from docloom.plans.constraints import Constraint, require_evidence
 from docloom.sources import files
@@ -184,3 +185,16 @@ def test_greedy_fit_skips_misfits(spark, tokens, budget):
             kept.append(i)
             left -= t
     assert [x.i for x in got or []] == kept
+
+
+def test_word_breaks(spark):
+    cases = {
+        "don't stop": ["don't", "stop"], "3.14 and 1,000;5": ["3.14", "and", "1,000;5"], "a_b _c_ __ d__e": ["a_b", "_c_", "d__e"], "can’t o:k l·l": ["can’t", "o:k", "l·l"], "a,b x;y": ["a", "b", "x", "y"], "end. 'q' ..x..": ["end", "q", "x"],
+        "a1b2 1a 3.a a.3": ["a1b2", "1a", "3", "a", "a", "3"], "漢字かな": ["漢", "字", "か", "な"], "カタカナ語": ["カタカナ", "語"], "カa": ["カ", "a"], "été a‍b": ["été", "a‍b"], "한국어 말": ["한국어", "말"], "สวัสดี": ["สวัสดี"], "": [], None: [], "a.b.c": ["a.b.c"], "a..b": ["a", "b"], "1.,2": ["1", "2"],
+        "x" * 1500 + "!": ["x" * 1500], "I.B.M.": ["I.B.M"], "שלום": ["שלום"], "a­b": ["a­b"], "a​b": ["a", "b"], "٣٫٤": ["٣٫٤"], "ﬁne Ⅷ": ["ﬁne", "Ⅷ"], "- – — ?!": [],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, x string").select("i", text.words(F.col("x")).alias("w"), sparse.standard_terms(F.col("x")).alias("t")).orderBy("i").collect()
+    assert {x: r.w for x, r in zip(cases, rows)} == cases
+    assert [r.t for r in rows][:3] == [["don't", "stop"], ["3.14", "and", "1,000;5"], ["a_b", "_c_", "d__e"]]
+    long = spark.createDataFrame([("ab1_" * 200_000,), ("don't " * 100_000,)], "x string").select(F.size(text.words(F.col("x")))).collect()
+    assert [r[0] for r in long] == [1, 100_000]

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import index, quality, search
+from docloom.functions import urls
+from docloom.operators import index, quality, registry, search
 from docloom.plans.constraints import Constraint
 
 
@@ -61,3 +62,26 @@ def test_schemas_quarantine_and_empty_tables(spark):
     two = spark.createDataFrame([(1, 1, "ab", "c"), (2, 1, "a", "bc")], "q int, at int, x string, y string")
     assert search.documents_hash(two, "q", "at", [F.col("x"), F.col("y")]).select("hash").distinct().count() == 2
     assert spark.range(1).select(quality.latest_reset_seconds(F.lit("5s"), F.lit("x"), F.lit(None).cast("string"))).first()[0] == 5
+
+
+def test_labels_links_and_identities(spark):
+    cases = {
+        "https://www.x.org:8080/a": ("x.org", "https://www.x.org:8080/a#A", "https://www.x.org:8080/a#A"), "HTTPS://X.org/B#c": ("x.org", "HTTPS://X.org/B#c", "https://x.org/b#c"), "/pdfs/My-Book_2.pdf": ("My Book 2", "/pdfs/My-Book_2.pdf#A", "/pdfs/my-book_2.pdf#A"), "https://x.org/%E9.pdf": ("Source",) * 1,
+        "/a/b": ("b", "/a/b#A", "/a/b#A"), "/a/": ("Local Resource", "/a/#A", "/a/#A"), "//x.org/a": ("a", "#", "#"), "javascript:alert(1)": ("Source", "#", "#"), "relative/x": ("Source", "relative/x#A", "relative/x#A"), " ": ("Source", "#", "#"), "": ("Source", "#", "#"), None: ("Source", "#", "#"), "/-_.pdf": ("PDF Document",),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, u string").select("i", urls.display_source(F.col("u")).alias("a"), urls.full_url(F.col("u"), F.lit("A")).alias("b"), urls.citation_identity(F.col("u"), F.lit("A")).alias("c")).orderBy("i").collect()
+    for (url, want), r in zip(cases.items(), rows):
+        assert (r.a, r.b, r.c)[: len(want)] == want, url
+
+
+def test_sets_by_selector(spark):
+    sets = spark.createDataFrame([("Java 25", "java/25", True, False), ("Books", "books", False, False), ("Quick", "quick/java", False, True)], "name string, path string, official boolean, quick boolean")
+    names = lambda *a: [r.name for r in registry.selected_sets(sets, *a).orderBy("name").collect()]
+    assert names(None) == ["Books", "Java 25"] == names(" , ") == names("ALL") and names("", True) == ["Quick"]
+    assert names("java/25, BOOKS") == ["Books", "Java 25"] and names("quick") == ["Quick"]
+    for wrong in ("all,books", "Java/25", "nothing", "books,quick"):
+        with pytest.raises(ValueError):
+            registry.selected_sets(sets, wrong)
+    assert index.require_unique(sets, "path") is sets
+    with pytest.raises(ValueError, match="books occurs 2 times"):
+        index.require_unique(sets.unionByName(sets.where("name = 'Books'")), "path")
