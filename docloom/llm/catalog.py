@@ -31,7 +31,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(read(spark, sf_dir, "documents"), pii.Judge(spark))
+    found = pii.find_pii(read(spark, sf_dir, "documents"), pii.fitted_judge(spark))
     counts = [F.size(F.filter("base", kind_is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), F.size(F.filter("spans", kind_is("secret"))).cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))
 

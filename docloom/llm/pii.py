@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import scratch
+
 # The plain forms. Runs are possessive and begin at their first character (or where the last match ended), which
 # finds the same leftmost matches in linear time.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -193,12 +195,20 @@ def labelled_examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     return rows.select("id", "x.*")
 
 
-def _as_column(node, at: Callable[[int], Column]) -> Column:
-    """A regression tree of Spark's as nested conditions."""
+def _tree(node) -> float | tuple:
+    """A regression tree of Spark's as (feature, threshold, left, right) or a prediction."""
     if node.subtreeDepth() == 0:
-        return F.lit(float(node.prediction()))
+        return float(node.prediction())
     split = node.split()
-    return F.when(at(split.featureIndex()) <= float(split.threshold()), _as_column(node.leftChild(), at)).otherwise(_as_column(node.rightChild(), at))
+    return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
+
+
+def _as_column(tree: float | tuple, at: Callable[[int], Column]) -> Column:
+    """A tree as nested conditions."""
+    if isinstance(tree, float):
+        return F.lit(tree)
+    feature, threshold, left, right = tree
+    return F.when(at(feature) <= threshold, _as_column(left, at)).otherwise(_as_column(right, at))
 
 
 class Judge:
@@ -208,9 +218,14 @@ class Judge:
         examples = labelled_examples(spark, n).coalesce(1).withColumn("f", F.array(*features(F.col("kind"), F.col("match"), F.col("before"))))
         size = len(features(F.lit(""), F.lit(""), F.lit("")))
         rows = examples.select("kind", "label", ((F.col("id") / CASES).cast("long") % 4 == 0).alias("calibrate"), *(F.col("f")[i].alias(f"f{i}") for i in range(size)))
+        with scratch(spark, "judge") as work:
+            self._fit(work(rows, "examples"), size, precision)
+
+    def _fit(self, rows: DataFrame, size: int, precision: float) -> None:
+        """rows are read once a tree and level, so they are a table by now."""
         vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(size)], outputCol="features").transform(rows.where("NOT calibrate"))
         model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(vectors)
-        self.trees = [(float(w), t._java_obj.rootNode()) for w, t in zip(model.treeWeights, model.trees)]
+        self.trees = [(float(w), _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
         # The lowest score from which on the examples reach the precision.
         scored = rows.where("calibrate").select("kind", "label", self._score(lambda i: F.col(f"f{i}")).alias("score"))
         down = W.partitionBy("kind").orderBy(F.col("score").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
@@ -220,14 +235,25 @@ class Judge:
 
     def _score(self, at: Callable[[int], Column]) -> Column:
         margin = F.lit(0.0)
-        for weight, node in self.trees:
-            margin = margin + weight * _as_column(node, at)
+        for weight, tree in self.trees:
+            margin = margin + weight * _as_column(tree, at)
         return 1 / (1 + F.exp(-2 * margin))
 
     def score(self, f: Column) -> Column:
         return self._score(lambda i: f[i])
 
 
+_JUDGES: dict[tuple, Judge] = {}
+
+
+def fitted_judge(spark: SparkSession, n: int = EXAMPLES, precision: float = PRECISION) -> Judge:
+    """The judge of these parameters, fitted once in an application: it is numbers only, and the same each time."""
+    key = (spark.sparkContext.applicationId, n, precision)
+    if key not in _JUDGES:
+        _JUDGES[key] = Judge(spark, n, precision)
+    return _JUDGES[key]
+
+
 def proposed_spans(text: Column, base: Column, judge: Judge) -> Column:
     """array of (kind, start, end, score): proposals over their kind's threshold that overlap no span of base."""
     needs = {"email": text.rlike(r"[\[(](?:at|AT|@)[\])]"), "ip": text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "secret": text.rlike("[A-Za-z0-9_+/-]{16}")}
@@ -240,12 +266,14 @@ def proposed_spans(text: Column, base: Column, judge: Judge) -> Column:
         def described(x: Column) -> Column:
             a = F.greatest(x["start"] - BEFORE, F.lit(0))
             f = F.array(*features(F.lit(kind), x["match"], F.substring(text, a + 1, x["start"] - a)))
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), f.alias("f"))
+            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), f.alias("f"))
 
-        scored = F.transform(F.transform(free, described), lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), judge.score(c["f"]).alias("score")))
-        return F.filter(scored, lambda c: c["score"] >= judge.thresholds[kind])
+        return F.transform(free, described)
 
-    return F.concat(*map(of, KINDS))
+    # All kinds are scored by one copy of the trees.
+    scored = F.transform(F.concat(*map(of, KINDS)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), judge.score(c["f"]).alias("score")))
+    limits = F.create_map(*(F.lit(x) for pair in judge.thresholds.items() for x in pair))
+    return F.filter(scored, lambda c: c["score"] >= F.element_at(limits, c["kind"]))
 
 
 def best_spans(spans: Column) -> Column:
