@@ -95,6 +95,16 @@ def h46_h48_markdown(spark, sf_dir):
 
 
 SQL = {
+    "h7_term_indexes": r"""WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) WHERE length(term) >= 2),
+        b AS (SELECT term, list_transform(range(strlen(term)), lambda i: CAST('0x' || substr(hex(encode(term)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM t),
+        w AS (SELECT term, len(b) AS n, list_transform(range((len(b) + 3) // 4), lambda i: b[4 * i + 1] + coalesce(b[4 * i + 2], 0) * 256 + coalesce(b[4 * i + 3], 0) * 65536 + coalesce(b[4 * i + 4], 0) * 16777216) AS w FROM b),
+        c AS (SELECT term, n, list_transform(w, lambda x: CAST(x::HUGEINT * 3432918353 % 4294967296 AS BIGINT)) AS w FROM w),
+        r AS (SELECT term, n, list_transform(w, lambda x: CAST((((x << 15) & 4294967295) | (x >> 17))::HUGEINT * 461845907 % 4294967296 AS BIGINT)) AS k FROM c),
+        f AS (SELECT term, n, k, list_reduce([0::BIGINT] || k[1:n // 4], lambda h, k: ((((xor(h, k) << 13) & 4294967295) | (xor(h, k) >> 19)) * 5 + 3864292196) % 4294967296) AS h FROM r),
+        m AS (SELECT term, xor(CASE WHEN n % 4 > 0 THEN xor(h, k[n // 4 + 1]) ELSE h END, n) AS h FROM f),
+        m1 AS (SELECT term, CAST(xor(h, h >> 16)::HUGEINT * 2246822507 % 4294967296 AS BIGINT) AS h FROM m),
+        m2 AS (SELECT term, CAST(xor(h, h >> 13)::HUGEINT * 3266489909 % 4294967296 AS BIGINT) AS h FROM m1)
+        SELECT term, xor(h, h >> 16) AS "index" FROM m2""",
     "a3_crawl": """WITH RECURSIVE e AS (SELECT page_id AS s, page_id * 2 % 251 AS t FROM pages UNION SELECT page_id, (page_id * 3 + 1) % 400 FROM pages),
         r AS (SELECT 1::BIGINT AS n, 0 AS level UNION SELECT t, level + 1 FROM r JOIN e ON s = n WHERE level < 60) SELECT 'https://site.example.org/' || n AS url, min(level) AS level FROM r GROUP BY n""",
     "h39h_mirror_paths": r"""WITH x AS (SELECT page_id, regexp_replace(replace(url, 'http://', 'https://'), '#.*$', '') AS u FROM pages), y AS (SELECT *, regexp_extract(u, '^https://[^/]+(/.*)?$', 1) AS p FROM x),
@@ -104,4 +114,4 @@ SQL = {
     "d17_distinct_hosts": "SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages",
 }
 
-QUERIES = {name: globals()[name] for name in ["a10_a11_page_links", "h40_b9_page_texts", *SQL, "h7_term_indexes", "h25_h30_questions", "h46_h48_markdown", "a3_page_crawl", "a3_crawl_order"]}
+QUERIES = {name: globals()[name] for name in ["a10_a11_page_links", "h40_b9_page_texts", *SQL, "h25_h30_questions", "h46_h48_markdown", "a3_page_crawl", "a3_crawl_order"]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.operators import dense, retrieval, sparse
@@ -117,7 +118,7 @@ def i6_i10_retrieval(spark, sf_dir):
     # Members in the order in which they were found, others by score, in the place of a reranker.
     rows = retrieval.first_seen_of_questions(rows.where((F.col("path") == "hybrid") | mine), "version", "hash", "url")
     by = F.struct(F.when(F.col("path") == "hybrid", -F.col("score")).otherwise(0.0).alias("s"), "scope", "rank")
-    rows = rows.withColumn("order", F.row_number().over(retrieval.W.partitionBy("query").orderBy(by)))
+    rows = rows.withColumn("order", F.row_number().over(W.partitionBy("query").orderBy(by)))
     out = retrieval.context_texts(retrieval.answers(asked, rows, "doc_id", RETURN_K), read(spark, sf_dir, "documents"), "doc_id", "text", 100)
     return out.select("query", "failure", "place", "doc_id", "version", "score", F.sha2("text", 256).alias("text_hash"), "truncated")
 

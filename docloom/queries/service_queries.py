@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import faults, lessons, quality, vectors
+from docloom.operators import faults, lessons, quality, runs, vectors
 from docloom.sources import mirrors
 from docloom.tables import read
 
@@ -90,6 +90,40 @@ def h43_published_identities(spark, sf_dir):
     return mirrors.published_identities(pages, "mirror", "html", "required", "25", "Release 25")
 
 
+def _runs(spark, sf_dir):
+    """Runs of the directories that users are, from their events: how far each came, when it was seen last, and the same directories as they are claimed."""
+    e, at = read(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp"))
+    kinds = {"processed": "click", "skipped": "view", "failed": "error"}
+    g = e.where("user_id IS NOT NULL").groupBy(F.col("user_id").cast("string").alias("directory")).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("seen"), F.sum("event_id").alias("s"), *(F.count_if(F.col("event_type") == t).alias(k) for k, t in kinds.items()))
+    at_rest = F.when(F.col("s") % 5 == 0, "COMPLETE").when(F.col("s") % 5 == 1, "PARTIAL").otherwise("RUNNING")
+    name = F.concat(F.lit("f"), F.col("n").cast("string"))
+    old = g.where("s % 7 <> 0").select("directory", name.alias("fingerprint"), at_rest.alias("lifecycle"), F.col("n").alias("eligible"), "processed", "skipped", "failed", F.least(F.col("n") - F.col("processed") - F.col("skipped") - F.col("failed"), F.lit(2)).alias("in_progress"), F.concat(F.lit("o"), (F.col("s") % 3).cast("string")).alias("owner"), "seen")
+    wanted = g.select("directory", F.when(F.col("s") % 11 == 0, F.lit("other")).otherwise(name).alias("fingerprint"), (F.col("n") + F.when(F.col("s") % 13 == 0, 1).otherwise(0)).alias("eligible"), F.lit("o1").alias("owner"))
+    return old, wanted, F.lit(e.agg(F.max(at)).first()[0])
+
+
+LEASE = 86_400_000_000
+RUNS = """x AS (SELECT user_id::VARCHAR AS directory, count(*) AS n, max(epoch_us(ts)) AS seen, sum(event_id)::BIGINT AS s, count_if(event_type = 'click')::BIGINT AS processed, count_if(event_type = 'view')::BIGINT AS skipped, count_if(event_type = 'error')::BIGINT AS failed, (SELECT max(epoch_us(ts)) FROM events) AS now FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+    old AS (SELECT directory, 'f' || n AS fingerprint, CASE s % 5 WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'PARTIAL' ELSE 'RUNNING' END AS lifecycle, n AS eligible, processed, skipped, failed, least(n - processed - skipped - failed, 2) AS in_progress, 'o' || s % 3 AS owner, seen, now FROM x WHERE s % 7 <> 0),
+    wanted AS (SELECT directory, CASE WHEN s % 11 = 0 THEN 'other' ELSE 'f' || n END AS fingerprint, n + CASE WHEN s % 13 = 0 THEN 1 ELSE 0 END AS eligible, 'o1' AS owner, now FROM x)"""
+
+
+def a24_reconciled_runs(spark, sf_dir):
+    old, _, now = _runs(spark, sf_dir)
+    return runs.reconciled(old, now, LEASE)
+
+
+def a24_j12_claims(spark, sf_dir):
+    old, wanted, now = _runs(spark, sf_dir)
+    return runs.claimed(old, wanted, now, LEASE)
+
+
+def j12_until_first_failure(spark, sf_dir):
+    """Each user's events as outcomes of a run, in their order."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"))
+    return runs.until_first_failure(e, "user_id", "event_id", "failed")
+
+
 QUERIES = {
     "h43_published_identities": h43_published_identities,
     "h56_vector_faults": h56_vector_faults,
@@ -99,9 +133,19 @@ QUERIES = {
     "i17_lessons": i17_lessons,
     "f11_snippets": f11_snippets,
     "a25_quarantine": a25_quarantine,
+    "a24_reconciled_runs": a24_reconciled_runs,
+    "a24_j12_claims": a24_j12_claims,
+    "j12_until_first_failure": j12_until_first_failure,
 }
-
 SQL = {
+    "a24_reconciled_runs": f"""WITH {RUNS}, d AS (SELECT *, lifecycle = 'RUNNING' AND seen <= now - {86_400_000_000} AS dead FROM old)
+        SELECT directory, fingerprint, CASE WHEN dead THEN 'PARTIAL' ELSE lifecycle END AS lifecycle, eligible, processed, skipped, CASE WHEN dead THEN 0 ELSE failed END AS failed, CASE WHEN dead THEN 0 ELSE in_progress END AS in_progress, owner, seen,
+        processed + skipped + CASE WHEN dead THEN 0 ELSE failed END AS inspected, eligible - processed - skipped - CASE WHEN dead THEN 0 ELSE failed + in_progress END AS pending FROM d""",
+    "a24_j12_claims": f"""WITH {RUNS}, j AS (SELECT w.directory, w.fingerprint AS f, w.eligible AS e, w.owner AS o, w.now AS t, old.* EXCLUDE (directory, now),
+        CASE WHEN old.lifecycle = 'RUNNING' AND old.seen > w.now - {86_400_000_000} AND old.owner <> w.owner THEN 'refused' WHEN old.fingerprint = w.fingerprint AND old.eligible = w.eligible AND old.lifecycle <> 'COMPLETE' THEN 'resumed' ELSE 'fresh' END AS claim FROM wanted w LEFT JOIN old USING (directory))
+        SELECT directory, CASE claim WHEN 'refused' THEN fingerprint ELSE f END AS fingerprint, 'RUNNING' AS lifecycle, CASE claim WHEN 'refused' THEN eligible ELSE e END AS eligible, CASE claim WHEN 'fresh' THEN 0 ELSE processed END AS processed, CASE claim WHEN 'fresh' THEN 0 ELSE skipped END AS skipped,
+        CASE claim WHEN 'refused' THEN failed ELSE 0 END AS failed, CASE claim WHEN 'refused' THEN in_progress ELSE 0 END AS in_progress, CASE claim WHEN 'refused' THEN owner ELSE o END AS owner, CASE claim WHEN 'refused' THEN seen ELSE t END AS seen, claim FROM j""",
+    "j12_until_first_failure": "SELECT user_id, event_id, event_type = 'error' AS failed FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id IS NOT DISTINCT FROM e.user_id AND f.event_type = 'error' AND f.event_id < e.event_id)",
     "h43_published_identities": """WITH p AS (SELECT page_id // 25 AS mirror, page_id % 25 AS n FROM pages), v AS (SELECT *, CASE mirror % 4 WHEN 1 THEN CASE WHEN n = 3 THEN '26' ELSE '25' END WHEN 2 THEN NULL ELSE '25' END AS version FROM p)
         SELECT mirror, min(version) AS least_version, max(version) AS most_version, coalesce(min(version) = '25' AND max(version) = '25', false) AS version_agrees, bool_or(n = 1 AND mirror % 3 <> 0) AS text_found FROM v GROUP BY mirror""",
     "h56_vector_faults": """WITH v AS (SELECT vec_id // 32 AS batch, vec_id % 32 AS position, CASE WHEN vec_id % 97 = 5 THEN NULL WHEN vec_id % 89 = 3 THEN 10 ELSE len(embedding) END AS length FROM embeddings),

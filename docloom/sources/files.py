@@ -216,3 +216,8 @@ def _left_out(asked: DataFrame) -> DataFrame:
         if now.isEmpty() if out is None else now.count() == out.count() and now.join(out, "__out", "left_anti").isEmpty():
             return now
         out = now
+
+
+def unmatched_types(types: DataFrame, modules: DataFrame) -> DataFrame:
+    """(package, types): what api_seed_urls leaves out, as no module has the package."""
+    return types.join(modules.select("package").distinct(), "package", "left_anti").groupBy("package").agg(F.count(F.lit(1)).alias("types"))
