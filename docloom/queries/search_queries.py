@@ -218,7 +218,7 @@ FULL = "CASE WHEN n IN (2, 4) OR {u} IS NULL THEN '#' WHEN coalesce(anchor, '')
 
 SQL = {
     "h39l_citation_labels": f"""WITH {LINKED}, f AS (SELECT *, {FULL.format(u='url')} AS link FROM l)
-        SELECT page_id, CASE n WHEN 0 THEN CASE WHEN contains(raw, '?') OR contains(raw, '#') THEN regexp_replace(host, '^www[.]', '') ELSE 'a b c d+e' END WHEN 1 THEN regexp_extract(url, '([^/]*)$', 1) WHEN 2 THEN 'Source' WHEN 3 THEN 'Source' WHEN 4 THEN 'Source' ELSE regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '^www[.]', '') END AS label,
+        SELECT page_id, CASE n WHEN 0 THEN CASE WHEN contains(raw, '?') OR contains(raw, '#') THEN regexp_replace(host, '^www[.]', '') ELSE 'a b c d+e' END WHEN 1 THEN coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'Local Resource') WHEN 2 THEN 'Source' WHEN 3 THEN 'Source' WHEN 4 THEN 'Source' ELSE regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '^www[.]', '') END AS label,
         link, lower(regexp_extract(link, '^([^#]*)', 1)) || regexp_extract(link, '(#.*)$', 1) AS identity FROM f""",
     "h39l_distinct_citations": f"""WITH {LINKED}, g AS (SELECT * REPLACE (regexp_replace(url, '/[0-9]+.*$', '/x') AS url) FROM l), f AS (SELECT *, {FULL.format(u='url')} AS link FROM g WHERE url IS NOT NULL),
         k AS (SELECT *, row_number() OVER (PARTITION BY host, lower(regexp_extract(link, '^([^#]*)', 1)) || regexp_extract(link, '(#.*)$', 1) ORDER BY page_id) AS r FROM f) SELECT host, page_id, url, anchor FROM k WHERE r = 1""",
