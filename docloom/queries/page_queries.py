@@ -11,7 +11,7 @@ from docloom.functions import html, markdown, murmur, urls
 from docloom.operators import sparse
 from docloom.plans import query_parse
 from docloom.sources import files
-from docloom.tables import read
+from docloom.tables import read, settled
 
 
 def a10_a11_page_links(spark, sf_dir):
@@ -38,20 +38,27 @@ def a3_page_crawl(spark, sf_dir):
     return files.crawl(links.select("source", F.col("link").alias("target")), start, re.match("[a-z]+://[^/?#]*", start)[0])
 
 
-def page_graph(spark, sf_dir):
-    """(source, target, at), (requested, url): a page's links as leading to the pages whose titles have the link's last word; every URL that ends in 2 or 7 ends where that with 1 does."""
+def page_words(spark, sf_dir):
+    """(source, via, at), (via, target, of), (requested, url): links by their last word, pages by the words of their titles; every URL that ends in 2 or 7 ends where that with 1 does."""
     pages = read(spark, sf_dir, "pages").select("page_id", "html", urls.without_fragment(F.col("url")).alias("url")).where("url LIKE '%://%'")
     title = F.lower(F.regexp_extract("html", "<title>([^<]*)", 1))
-    titled = pages.select(F.col("page_id").alias("of"), F.col("url").alias("target"), F.explode(F.array_distinct(F.regexp_extract_all(title, F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
-    links = html.page_links(pages).select("page_id", "position", F.lower(F.regexp_extract("link", "([^/]*)$", 1)).alias("word")).join(titled, "word").join(pages.select("page_id", F.col("url").alias("source")), "page_id")
-    links = links.groupBy("source", "target").agg(F.min(F.col("position").cast("long") * 1_000_000_000 + F.col("of")).alias("at"))
-    return links, pages.select(F.col("url").alias("requested")).where("requested LIKE '%2' OR requested LIKE '%7'").distinct().select("requested", F.regexp_replace("requested", "[27]$", "1").alias("url"))
+    titled = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(title, F.lit(r"[\p{L}]+"), F.lit(0)))).alias("via"), F.col("url").alias("target"), F.col("page_id").alias("of"))
+    links = html.page_links(pages).select("page_id", "position", F.lower(F.regexp_extract("link", "([^/]*)$", 1)).alias("via")).join(pages.select("page_id", F.col("url").alias("source")), "page_id")
+    return links.select("source", "via", F.col("position").cast("long").alias("at")), titled, pages.select(F.col("url").alias("requested")).where("requested LIKE '%2' OR requested LIKE '%7'").distinct().select("requested", F.regexp_replace("requested", "[27]$", "1").alias("url"))
+
+
+def page_graph(spark, sf_dir):
+    """(source, target, at), (requested, url): every pair of pages of which the first has a link whose last word is in the second's title. Its size is the square of the pages'."""
+    links, titled, ends = page_words(spark, sf_dir)
+    return links.join(titled, "via").groupBy("source", "target").agg(F.min(F.col("at") * 1_000_000_000 + F.col("of")).alias("at")), ends
 
 
 def a3_crawl_order(spark, sf_dir):
-    """The first 60 requests of a crawl of the pages by a queue, from the first URL."""
-    links, ends = page_graph(spark, sf_dir)
-    return files.crawl_in_order(links, links.agg(F.min("source")).first()[0], ends, limit=60)
+    """The first 60 requests of a crawl of the pages by a queue, from the first URL that has a link to a page. A link leads to the pages whose titles have its last word."""
+    links, titled, ends = page_words(spark, sf_dir)
+    links, titled = settled(links, "page-links"), settled(titled, "titles")
+    start = links.join(titled.select("via").distinct(), "via", "left_semi").agg(F.min("source")).first()[0]
+    return files.crawl_in_order(links, start, ends, limit=60, through=titled)
 
 
 def h39h_mirror_paths(spark, sf_dir):

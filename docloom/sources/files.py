@@ -140,19 +140,24 @@ def crawl(links: DataFrame, start: str, root: str | None = None) -> DataFrame:
         seen, level = seen.unionByName(found).coalesce(most).checkpoint(), level + 1
 
 
-def crawl_in_order(links: DataFrame, start: str, redirects: DataFrame | None = None, root: str | None = None, limit: int | None = None) -> DataFrame:
+def crawl_in_order(links: DataFrame, start: str, redirects: DataFrame | None = None, root: str | None = None, limit: int | None = None, through: DataFrame | None = None) -> DataFrame:
     """(place, requested, url, level, read): the requests of a crawl with a queue, in its order, from 1; at most limit of them.
 
     links: (source, target, at), at being a link's place in its page. redirects: (requested, url), where a request ends; others end where they begin.
     A URL is asked for once, and not if a request before ended there. A request that ends where one before did is counted, but its page is not read
     again (read is false), and only pages that are read have links. With a root, targets and ends must lie within its crawl boundary; an end outside is an error.
+    through: (via, target, of) if a link leads to a group of pages, in the order of `of`; links are then (source, via, at). Pairs of pages are never made: a level's
+    first link of each group meets the group once, so a level costs no more than links and groups have rows.
 
     A level of the queue is one join: targets come in the order of their first (parent's place, place of the link), so the same requests are reached by any limit as by
     one queue. Each level is written once, and met by equality with all levels before; no level is copied again.
     """
     spark = links.sparkSession
-    edges = links.select("source", "target", "at").where("source IS NOT NULL AND target IS NOT NULL")
-    edges = settled(edges.where(in_crawl_boundary(F.col("target"), root)) if root else edges, "links")
+    inside = lambda rows: rows.where(in_crawl_boundary(F.col("target"), root)) if root else rows
+    to = "target" if through is None else "via"
+    edges = links.select("source", to, "at").where(f"source IS NOT NULL AND {to} IS NOT NULL")
+    edges = settled(inside(edges) if through is None else edges, "links")
+    groups = None if through is None else settled(inside(through.select("via", "target", "of").where("via IS NOT NULL AND target IS NOT NULL")), "groups")
     ends = redirects if redirects is not None else spark.createDataFrame([], "requested string, url string")
     ends = settled(ends.select(F.col("requested").alias("__from"), F.col("url").alias("__end")).where("__from <> __end").dropDuplicates(["__from"]), "redirects")
     ends = None if ends.isEmpty() else ends
@@ -172,9 +177,12 @@ def crawl_in_order(links: DataFrame, start: str, redirects: DataFrame | None = N
             (n, a), (_, b) = seen.pop(), seen.pop()
             seen.append((2 * n, settled(a.unionByName(b), "seen")))
         pages = level.where("read").select(F.col("url").alias("source"), F.col("queue").alias("__parent"))
-        reached = edges.join(pages, "source").groupBy(F.col("target").alias("requested")).agg(F.min(F.struct("__parent", "at")).alias("first"))
+        reached, order = edges.join(pages, "source").groupBy(to).agg(F.min(F.struct("__parent", "at")).alias("first")), ["__parent", "at"]
+        if groups is not None:
+            order = [*order, "of"]
+            reached = groups.join(reached, "via").groupBy("target").agg(F.min(F.struct("first.__parent", "first.at", "of")).alias("first"))
         # Numbers that increase along the order are enough; the dense places are made at the end.
-        wanted = ordering.ranges(reached.select("requested", "first.*"), ["__parent", "at"]).select("requested", F.col(ordering.AT).alias("queue"))
+        wanted = ordering.ranges(reached.select(F.col("target").alias("requested"), "first.*"), order).select("requested", F.col(ordering.AT).alias("queue"))
     every = _union(levels) if levels else _answered(wanted, ends, None, root).limit(0).withColumn("level", F.lit(0))
     return ordering.numbered(every, ["level", "queue"], "place").select((F.col("place") + 1).alias("place"), "requested", "url", "level", "read")
 

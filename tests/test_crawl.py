@@ -70,3 +70,27 @@ def test_the_crawl_of_the_pages(spark):
     edges, moved = [tuple(r) for r in links.collect()], dict(tuple(r) for r in ends.collect())
     found = [(r.requested, r.url, r.read) for r in queries.QUERIES["a3_crawl_order"](spark, "/root/testdata/sf0.001").orderBy("place").collect()]
     assert found == plain_crawl(edges, min(e[0] for e in edges), moved, 60) and len(found) > 3
+
+
+def test_links_to_groups_of_pages_are_not_paired(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(f"u{rng.randrange(30)}", f"g{rng.randrange(6)}", at) for at in range(60)] + [("u0", "g0", 60), ("u1", None, 61), (None, "g1", 62)]
+    groups = [(f"g{rng.randrange(6)}", f"u{i % 28}", i) for i in range(40)] + [("g0", None, 40), (None, "u1", 41)]
+    pairs = {}
+    for source, via, at in links:
+        for v, target, of in groups:
+            if None not in (source, via, target) and via == v:
+                pairs[source, target] = min(pairs.get((source, target), 1 << 60), at * 1000 + of)
+    pairs = [(s, t, at) for (s, t), at in pairs.items()]
+    table, through = spark.createDataFrame(links, "source string, via string, at long"), spark.createDataFrame(groups, "via string, target string, of long")
+    moved = {"u5": "u1", "u7": "u2", "u9": "u5"}
+    ends = spark.createDataFrame(list(moved.items()), "requested string, url string")
+    for limit in (5, None):
+        rows = files.crawl_in_order(table, "u0", ends, limit=limit, through=through).orderBy("place").collect()
+        assert [(r.requested, r.url, r.read) for r in rows] == plain_crawl(pairs, "u0", moved, limit)
+
+    def paired(*_):
+        raise AssertionError("the square of the pages")
+
+    monkeypatch.setattr(page_queries, "page_graph", paired)
+    assert queries.QUERIES["a3_crawl_order"](spark, "/root/testdata/sf0.001").count() > 3
