@@ -20,6 +20,7 @@ from docloom.functions.text import truncated
 from docloom.operators import fusion, sparse
 from docloom.plans import questions as q
 from docloom.plans.scopes import in_scopes
+from docloom.tables import settled
 
 #: What a scope can set. type_page, package and anchor come from a member that the question names.
 FIELDS = ("version", "source_kind", "doc_type", "source_name", "doc_set", "collection", "type_page", "package", "anchor")
@@ -116,23 +117,16 @@ def question_scopes(asked: DataFrame) -> DataFrame:
     )
 
 
-def scoped_top_k(scored: DataFrame, points: DataFrame, scopes: DataFrame, key: str, k: int) -> DataFrame:
-    """(query, scope, key, score, rank): the k best rows of each scope among scored (query, key, score) rows."""
-    placed = scored.join(points.select(key, *FIELDS), key)
-    inside = in_scopes(placed, scopes, FIELDS, ["scope"], by=["query"])
-    return sparse.top_k(inside.select("query", "scope", key, "score"), ["query", "scope"], key, k)
-
-
 def candidates(asked: DataFrame, scopes: DataFrame, points: DataFrame, words: DataFrame, meaning: DataFrame | None, key: str, k: int, prefetch: int, digits: int = 9) -> DataFrame:
     """(query, scope, key, score, rank): the k best rows of each scope.
 
-    words: (query, key, score) of shared terms. meaning: (query, scope, key, rank), each hybrid scope's rows of the nearest vectors, or None. On the hybrid path both rankings' `prefetch` best of a
+    words: (query, scope, key, score, rank), the rows of each scope that isn't exact by shared terms, `prefetch` at least. meaning: (query, scope, key, rank), each hybrid scope's rows of the nearest vectors, or None. On the hybrid path both rankings' `prefetch` best of a
     scope are fused by reciprocal rank; a member's question takes the words' best; an exact one takes all entries that its scope admits,
     each of score 1, in the order of key, without a look at its words.
     """
-    by_words, hybrid = scopes.where("path = 'member' AND NOT exact"), scopes.where("path = 'hybrid'")
-    parts = [scoped_top_k(words, points, by_words, key, k)]
-    rankings = [scoped_top_k(words, points, hybrid, key, prefetch), *([] if meaning is None else [meaning.where(F.col("rank") <= prefetch)])]
+    paths = words.join(scopes.where("NOT exact").select("query", "scope", "path"), ["query", "scope"])
+    parts = [paths.where((F.col("path") == "member") & (F.col("rank") <= k)).select("query", "scope", key, "score", "rank")]
+    rankings = [paths.where((F.col("path") == "hybrid") & (F.col("rank") <= prefetch)), *([] if meaning is None else [meaning.where(F.col("rank") <= prefetch)])]
     fused = fusion.reciprocal_rank_fusion(rankings, ["query", "scope"], key).withColumn("score", F.round("score", digits))
     parts.append(sparse.top_k(fused, ["query", "scope"], key, k))
     entries = in_scopes(points.select(key, *FIELDS), scopes.where("exact"), FIELDS, ["query", "scope"]).select("query", "scope", key, F.lit(1.0).alias("score"))
@@ -221,5 +215,7 @@ def require_answers(answered: DataFrame) -> DataFrame:
 def context_texts(answered: DataFrame, docs: DataFrame, key: str, text: str, tokens: int) -> DataFrame:
     """(query, failure, place, key, version, score, text, truncated): a row for each document of an answer, its text cut to the tokens; one without a document for failures."""
     placed = answered.select("query", "failure", F.posexplode_outer("rows").alias("at", "row")).select("query", "failure", (F.col("at") + 1).alias("place"), f"row.{key}", "row.version", "row.score")
-    cut = truncated(F.col(text), tokens)
-    return placed.join(docs.select(F.col(key).alias("__key"), cut.alias("cut")), F.col(key) == F.col("__key"), "left").select("query", "failure", "place", key, "version", "score", "cut.text", "cut.truncated")
+    # Answers are few: once written, their documents are found by their measured size, and only those are cut.
+    placed = settled(placed, "answers")
+    found = docs.join(placed.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_semi").select(F.col(key).alias("__key"), truncated(F.col(text), tokens).alias("cut"))
+    return placed.join(found, F.col(key) == F.col("__key"), "left").select("query", "failure", "place", key, "version", "score", "cut.text", "cut.truncated")

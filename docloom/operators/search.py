@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import cut_with_ellipsis
 from docloom.functions.urls import canonical_doc_url, citation_identity, without_fragment
 from docloom.operators.registry import REDACTED, document_urls
-from docloom.operators.sparse import top_k
+from docloom.operators.sparse import document_scores, top_k
 from docloom.plans.constraints import Constraint
 from docloom.plans.query_parse import unique_member
 
@@ -31,6 +31,18 @@ def search_scopes(scored: DataFrame, scopes: dict[str, Constraint], query: str,
     return top_k(placed, [query, "scope"], key, k)
 
 
+def search_documents(documents: DataFrame, queries: DataFrame, weights: DataFrame, scopes: dict[str, Constraint], query: str, key: str, k: int, **columns: str) -> DataFrame:
+    """search_scopes of the scores of documents (key, terms, counts and the payload columns, as of sparse.documents_of_terms): documents are scored and cut where they lie.
+
+    Documents of the same scopes are one group, whose k best of each task are enough for each of its scopes.
+    """
+    flags = F.concat(*(F.when(F.coalesce(c.condition(**columns), F.lit(False)), "1").otherwise("0") for c in scopes.values()))
+    within = documents.withColumn("__in", flags).where(F.contains("__in", F.lit("1")))
+    found = document_scores(within, queries, weights, query, key, k, ["__in"])
+    names = F.filter(F.array(*(F.when(F.substring("__in", i, 1) == "1", F.lit(name)) for i, name in enumerate(scopes, 1))), lambda s: s.isNotNull())
+    return top_k(found.select(query, F.explode(names).alias("scope"), key, "score"), [query, "scope"], key, k)
+
+
 def require_versions(found: DataFrame, query: str, versions: list[str]) -> DataFrame:
     """found, if every query has rows of every version; else an error names one that is missing."""
     wanted = found.select(query).distinct().select(query, F.explode(F.array(*map(F.lit, versions))).alias("scope"))

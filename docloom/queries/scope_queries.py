@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import dense, retrieval, sparse
 from docloom.plans import scopes as predicate
 from docloom.queries.functions_queries import CORPUS_SQL, corpus
-from docloom.queries.retrieval_queries import TERMS, term_scores
+from docloom.queries.retrieval_queries import TERMS, searched
 from docloom.tables import read, settled
 
 API_SETS = {"21": "src0", "24": "src6", "25": "src12"}
@@ -69,8 +69,22 @@ def platform(points):
     return points.where("doc_type = 'api-docs'").select("package", F.regexp_extract("type_page", "^(.*)[.]html$", 1).alias("type"), F.regexp_extract("anchor", "^([^(]+)", 1).alias("method")).distinct()
 
 
-def word_scores(spark, sf_dir, asked):
-    return term_scores(spark, sf_dir, sparse.term_frequencies(asked.select("query", "search_text"), "query", "search_text"), "query")
+def slots(points, scopes):
+    """(doc_id, slots): the scopes, as slots, that each document lies in; and scopes with their slot, 100 times the query plus the scope."""
+    slotted = scopes.withColumn("slot", F.col("query") * 100 + F.col("scope"))
+    inside = predicate.in_scopes(points.select("doc_id", *retrieval.FIELDS), slotted, retrieval.FIELDS, ["slot"])
+    return inside.groupBy("doc_id").agg(F.collect_set("slot").alias("slots")), slotted
+
+
+def word_scopes(spark, sf_dir, asked, points, scopes):
+    """(query, scope, doc_id, score, rank): the documents of each scope that isn't exact by terms shared with its question. Documents are scored where they lie, for the scopes that they lie in."""
+    lists, slotted = slots(points, scopes.where("NOT exact"))
+    terms = settled(sparse.term_frequencies(asked.select("query", "search_text"), "query", "search_text"), "terms")
+    found, weight = searched(spark, sf_dir, read(spark, sf_dir, "documents"), terms)
+    queries = terms.join(slotted.select("query", "slot"), "query")
+    best = sparse.document_scores(found.join(lists, "doc_id"), queries, weight, "slot", "doc_id", max(TOP_K, PREFETCH), inside="slots")
+    ranked = sparse.top_k(best, "slot", "doc_id", max(TOP_K, PREFETCH))
+    return settled(ranked.select(F.floor(F.col("slot") / 100).alias("query"), (F.col("slot") % 100).cast("int").alias("scope"), "doc_id", "score", "rank"), "words")
 
 
 def asked_for(spark, sf_dir, points):
@@ -98,9 +112,7 @@ def i6_question_scopes(spark, sf_dir):
 def dense_scopes(spark, sf_dir, points, scopes):
     """(query, scope, doc_id, score, rank): the vectors nearest to each hybrid scope's question; question n has the vector 20 n."""
     vectors = read(spark, sf_dir, "embeddings")
-    hybrid = scopes.where("path = 'hybrid'").withColumn("slot", F.col("query") * 100 + F.col("scope"))
-    inside = predicate.in_scopes(points.select("doc_id", *retrieval.FIELDS), hybrid, retrieval.FIELDS, ["slot"])
-    lists = inside.groupBy("doc_id").agg(F.collect_set("slot").alias("slots"))
+    lists, hybrid = slots(points, scopes.where("path = 'hybrid'"))
     rows = vectors.join(lists, F.col("vec_id") == F.col("doc_id"))
     own = vectors.select(F.col("vec_id").alias("at"), "embedding").join(hybrid.select("slot", (F.col("query") * 20).alias("of")), F.col("at") == F.col("of")).select(F.col("slot").alias("vec_id"), "embedding")
     near = dense.dense_top_k(rows, own, PREFETCH, inside="slots")
@@ -112,7 +124,7 @@ def i6_i10_retrieval(spark, sf_dir):
     points = entries(spark, sf_dir)
     asked = asked_for(spark, sf_dir, points)
     scopes = settled(retrieval.question_scopes(asked), "scopes")
-    found = retrieval.candidates(asked, scopes, points, word_scores(spark, sf_dir, asked), dense_scopes(spark, sf_dir, points, scopes), "doc_id", TOP_K, PREFETCH)
+    found = retrieval.candidates(asked, scopes, points, word_scopes(spark, sf_dir, asked, points, scopes), dense_scopes(spark, sf_dir, points, scopes), "doc_id", TOP_K, PREFETCH)
     rows = found.join(points.select("doc_id", "version", "doc_type", "type_page", "package", "anchor", "url", "hash"), "doc_id").join(asked.select("query", "member", "path"), "query")
     mine = retrieval.own_entry(F.col("member"), F.col("doc_type"), F.col("type_page"), F.col("package"), F.col("anchor"))
     # Members in the order in which they were found, others by score, in the place of a reranker.
@@ -128,7 +140,7 @@ def e4_i9_citation_order(spark, sf_dir):
     points = entries(spark, sf_dir)
     asked = retrieval.citation_questions(asked_for(spark, sf_dir, points))
     scopes = settled(retrieval.question_scopes(asked), "scopes")
-    found = retrieval.candidates(asked, scopes, points, word_scores(spark, sf_dir, asked), None, "doc_id", TOP_K, PREFETCH)
+    found = retrieval.candidates(asked, scopes, points, word_scopes(spark, sf_dir, asked, points, scopes), None, "doc_id", TOP_K, PREFETCH)
     said = F.concat_ws(" ", "text", F.when(F.col("talks"), F.concat(F.regexp_extract("anchor", "^([^(]+)", 1), F.lit(" (x)"))))
     more = points.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "version", "doc_type", "type_page", "package", "anchor", "url", "hash", said.alias("text"), F.regexp_extract("url", "^https://[^/]+(/[^?#]*)", 1).alias("url_path"), F.col("package").alias("url_package"))
     rows = found.join(more, "doc_id").join(asked.select("query", "member", "first_member", "requested"), "query")
