@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import ascii_lower
 from docloom.functions.urls import canonical_doc_url
+from docloom.tables import settled
 
 # Where mirrors lie, where books are shown, hosts that a mirrored path may hold, and what stands for a path that has no public URL.
 LOCAL, BOOKS, PDFS = "/data/docs/", "/data/docs/books/", "/pdfs/"
@@ -84,9 +85,13 @@ def embedded_url(path: Column, hosts: list[str] | None = None) -> Column:
 
 
 def _longest(rows: DataFrame, key: str, runs: Column, sources: DataFrame) -> DataFrame:
-    """rows with __source: the sources row of the longest mirror among runs of the key's directories, an API before others; null if none."""
+    """rows with __source: the sources row of the longest mirror among runs of the key's directories, an API before others; null if none.
+
+    What is found is written, a row a directory, so Spark plans the join by its size: rows are not shuffled if it is small, else a directory (or null) of most rows is cut into several tasks.
+    """
     wanted = rows.select(key).where(F.col(key).isNotNull()).distinct().select(key, F.explode(runs).alias("mirror"))
     found = wanted.join(sources, "mirror").groupBy(key).agg(F.max_by(F.struct(*sources.columns), F.struct(F.col("api"), F.length("mirror"))).alias("__source"))
+    found = settled(found, "sources")
     return rows.join(found, key, "left")
 
 

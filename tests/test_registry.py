@@ -37,3 +37,13 @@ def test_a_limit_is_extended_and_replaced(spark):
 def test_undelivered_events_give_their_place_back():
     w = windows.FixedWindow(2, 10)
     assert [w.accept(t, d) for t, d in [(0, False), (1, True), (2, False), (3, True), (4, True), (10, True)]] == [True, True, True, True, False, True]
+
+
+def test_files_of_one_source_are_no_hot_key(spark):
+    """Most rows have no folder, or the same: they meet the few sources that are found without a shuffle."""
+    url = F.when(F.col("id") % 3 == 0, F.concat(F.lit("file:///w/data/docs/m/"), F.col("id").cast("string"))).when(F.col("id") % 3 == 1, F.concat(F.lit("https://x.org/"), F.col("id").cast("string")))
+    sources = spark.createDataFrame([("m", "https://m.org/")], "mirror string, base_url string")
+    found = registry.document_urls(spark.range(3_000_000).withColumn("url", url), "url", sources)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert found.where("id < 3").orderBy("id").select("public_url").collect() == [("https://m.org/0",), ("https://x.org/1",), (None,)]
