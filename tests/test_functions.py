@@ -198,3 +198,13 @@ def test_word_breaks(spark):
     assert [r.t for r in rows][:3] == [["don't", "stop"], ["3.14", "and", "1,000;5"], ["a_b", "_c_", "d__e"]]
     long = spark.createDataFrame([("ab1_" * 200_000,), ("don't " * 100_000,)], "x string").select(F.size(text.words(F.col("x")))).collect()
     assert [r[0] for r in long] == [1, 100_000]
+
+
+def test_a_keyword_score_lowers_its_text_once(spark):
+    from docloom.queries.retrieval_queries import i12_keyword_search
+
+    plan = i12_keyword_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+    rows = spark.createDataFrame([(1, "thE thing"), (2, None), (3, "")], "id int, t string")
+    found = rows.select(text.keyword_score(text.ascii_lower(F.col("t")), F.array(F.lit("th"), F.lit("the"), F.lit("")))).collect()
+    assert [r[0] for r in found] == [3 / 50, 0.0, 0.0]
