@@ -21,6 +21,8 @@ from .words import GOLDEN, U, mixed
 DIMENSIONS, N = 2048, 3
 #: n-grams whose vectors a task keeps.
 MOST_KEPT = 40_000
+#: Texts whose common n-grams are added up at once.
+TOGETHER = 256
 #: Stands for every run of characters that are no letters.
 GAP = 0
 NONE = "und"
@@ -30,16 +32,19 @@ class Profiles:
     """n-gram counts of texts and their vectors."""
 
     def __init__(self, dimensions: int = DIMENSIONS, n: int = N):
-        self.dimensions, self.n, self.kinds, self.vectors, self.place = dimensions, n, {}, np.zeros((0, dimensions), np.int8), {}
+        self.dimensions, self.n, self.vectors, self.place = dimensions, n, np.zeros((0, dimensions), np.int8), {}
+        #: Of code points: 0 not met yet, 1 no letter, 2 a letter.
+        self.kinds = np.zeros(0x110000, np.int8)
 
     def code_points(self, text: str) -> np.ndarray:
         """Lower-case letters as code points, with one GAP for each run of anything else and at both ends."""
         x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds, back = np.unique(x, return_inverse=True)
-        for k in kinds:
-            if int(k) not in self.kinds:
-                self.kinds[int(k)] = chr(k).isalpha()
-        letter = np.array([self.kinds[int(k)] for k in kinds], bool)[back]
+        kind = self.kinds[x]
+        if not kind.all():
+            for k in np.unique(x[kind == 0]):
+                self.kinds[k] = 2 if chr(k).isalpha() else 1
+            kind = self.kinds[x]
+        letter = kind == 2
         x = np.concatenate([[GAP], np.where(letter, x, GAP), [GAP]]).astype(U)
         return x[np.concatenate([[True], (x[1:] != GAP) | (x[:-1] != GAP)])]
 
@@ -79,10 +84,42 @@ class Profiles:
 
     def _sum(self, counts: np.ndarray, places: np.ndarray) -> np.ndarray:
         total = np.zeros(self.dimensions, np.float64)
-        for i in range(0, len(places), 2048):
-            total += counts[i : i + 2048].astype(np.float32) @ self.vectors[places[i : i + 2048]].astype(np.float32)
+        # Whole numbers: single precision is exact below 2**24.
+        kind = np.float32 if counts.sum() < 1 << 24 else np.float64
+        for i in range(0, len(places), 512):
+            total += counts[i : i + 512].astype(kind) @ self.vectors[places[i : i + 512]].astype(kind)
         return total
 
+    def _sums(self, counted: list[tuple[np.ndarray, np.ndarray]], places: np.ndarray) -> Iterator[np.ndarray | None]:
+        """The vector of each text, given where its n-grams are among places. n-grams that many of the texts have are multiplied for TOGETHER of them at once; whole numbers, so the sums are the same."""
+        often = np.bincount(np.concatenate([at for at, _ in counted]), minlength=len(places)) >= max(2, len(counted) // 32)
+        column, common = np.cumsum(often) - 1, places[often]
+        for first in range(0, len(counted), TOGETHER):
+            part = counted[first : first + TOGETHER]
+            kind = np.float32 if max(c.sum() for _, c in part) < 1 << 24 else np.float64
+            matrix, total = np.zeros((len(part), len(common)), kind), np.zeros((len(part), self.dimensions))
+            for row, (at, c) in zip(matrix, part):
+                row[column[at[often[at]]]] = c[often[at]]
+            for i in range(0, len(common), 1024):
+                total += matrix[:, i : i + 1024] @ self.vectors[common[i : i + 1024]].astype(kind)
+            for own, (at, c) in zip(total, part):
+                yield own + self._sum(c[~often[at]], places[at[~often[at]]]) if len(at) else None
+
+    def bundles_of(self, names: list[str], texts: list[str | None]) -> Iterator[tuple[str, np.ndarray]]:
+        """The sum of the vectors of each name's texts, if these have letters. Bundles are sums, so n-grams are added up before their vectors are."""
+        grams: dict[str, list] = {}
+        for name, text in zip(names, texts):
+            g, c = self.count(text)
+            if len(g):
+                grams.setdefault(name, []).append((g, c))
+        for name, parts in grams.items():
+            g, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            c = np.bincount(back, np.concatenate([x for _, x in parts]))
+            total = np.zeros(self.dimensions)
+            for i in range(0, len(g), MOST_KEPT):
+                total += self._sum(c[i : i + MOST_KEPT], self.rows(g[i : i + MOST_KEPT]))
+            yield name, total
+
     def bundles(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """Each text's vector; None without letters."""
         counted = [self.count(x) for x in texts]
@@ -91,8 +128,7 @@ class Profiles:
             some = every[first : first + MOST_KEPT]
             places = self.rows(some)
             if len(some) == len(every):
-                for g, c in counted:
-                    yield self._sum(c, places[np.searchsorted(every, g)]) if len(g) else None
+                yield from self._sums([(np.searchsorted(every, g), c) for g, c in counted], places)
                 return
             if first == 0:
                 sums = [np.zeros(self.dimensions) if len(g) else None for g, _ in counted]
@@ -127,9 +163,8 @@ def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang"
         for batch in batches:
             names = batch.column(1).to_pylist()
             for first, texts in _slices(batch.column(0)):
-                for name, v in zip(names[first:], profiles.bundles(texts)):
-                    if v is not None:
-                        sums[name] = sums.get(name, 0) + v.astype(np.int64)
+                for name, v in profiles.bundles_of(names[first : first + len(texts)], texts):
+                    sums[name] = sums.get(name, 0) + v.astype(np.int64)
         yield as_batch(sums)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

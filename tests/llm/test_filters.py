@@ -135,3 +135,29 @@ def test_rules_of_five_tokens(spark):
     rows = [(five, True)] * 10 + [(five - {x}, False) for x in sorted(five)] * 8 + [({"z"}, False)] * 20
     table = spark.createDataFrame([(sorted(t), b) for t, b in rows], "tokens array<string>, block boolean")
     assert {r.rule for r in url_filter.mine_rules(table, support=0.02).collect()} == {"a b c d e"}
+
+
+def test_bundles_are_the_sums_of_their_grams():
+    """Of texts one by one, together, and by name; n-grams are added up before their vectors, so a name costs one product, not one a text."""
+    import numpy as np
+
+    from docloom.llm import language_id
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdeé \n1"), rng.integers(0, 60))) for _ in range(600)] + [None, "", "12", "ab" * 5000]
+    names = [f"n{i % 3}" for i in range(len(texts))]
+    p = language_id.Profiles(64)
+
+    def plain(text):
+        g, c = p.count(text)
+        at = p.rows(g)
+        return p.vectors[at].astype(np.int64).T @ c if len(g) else None
+
+    want = [plain(t) for t in texts]
+    for got, v in zip(language_id.Profiles(64).bundles(texts), want, strict=True):
+        assert (got is None and v is None) or np.array_equal(got, v)
+    whole = {n: sum(v for m, v in zip(names, want) if m == n and v is not None) for n in set(names)}
+    one, products = language_id.Profiles(64), []
+    one._sum = lambda c, at: (products.append(1), language_id.Profiles._sum(one, c, at))[1]
+    found = dict(one.bundles_of(names, texts))
+    assert found.keys() == whole.keys() and all(np.array_equal(found[n], whole[n]) for n in whole) and len(products) == 3
