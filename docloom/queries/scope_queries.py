@@ -80,7 +80,7 @@ def word_scopes(spark, sf_dir, asked, points, scopes):
     """(query, scope, doc_id, score, rank): the documents of each scope that isn't exact by terms shared with its question. Documents are scored where they lie, for the scopes that they lie in."""
     lists, slotted = slots(points, scopes.where("NOT exact"))
     terms = settled(sparse.term_frequencies(asked.select("query", "search_text"), "query", "search_text"), "terms")
-    found, weight = searched(spark, sf_dir, read(spark, sf_dir, "documents"), terms)
+    found, weight = searched(spark, sf_dir, read(spark, sf_dir, "documents"), terms, most=sparse.MOST_TERMS)
     queries = terms.join(slotted.select("query", "slot"), "query")
     best = sparse.document_scores(found.join(lists, "doc_id"), queries, weight, "slot", "doc_id", max(TOP_K, PREFETCH), inside="slots")
     ranked = sparse.top_k(best, "slot", "doc_id", max(TOP_K, PREFETCH))

@@ -49,3 +49,8 @@ def test_the_most_frequent_terms_are_256(result):
 def test_idf_has_all_terms(result):
     df = {r["term"]: r["df"] for r in result("d14_idf")}
     assert df["zebra"] == df["w299"] == 3 and len(df) == 300 + 6
+
+
+def test_a_search_finds_rare_terms_of_long_documents(result):
+    found = [(r["item_id"], r["rank"], r["doc_id"]) for r in result("i3_sparse_top_k")]
+    assert sorted(x for x in found if x[0] == 0) == [(0, 1, 4), (0, 2, 6), (0, 3, 11)]
