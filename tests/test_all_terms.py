@@ -54,3 +54,7 @@ def test_idf_has_all_terms(result):
 def test_a_search_finds_rare_terms_of_long_documents(result):
     found = [(r["item_id"], r["rank"], r["doc_id"]) for r in result("i3_sparse_top_k")]
     assert sorted(x for x in found if x[0] == 0) == [(0, 1, 4), (0, 2, 6), (0, 3, 11)]
+
+
+def test_releases_have_documents_of_rare_terms(result):
+    assert sorted((r["scope"], r["rank"], r["doc_id"]) for r in result("c15_i6_version_scopes") if r["item_id"] == 0) == [("21", 1, 6), ("25", 1, 11)]
