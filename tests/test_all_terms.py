@@ -1,5 +1,7 @@
 """Queries over all terms of a document, on documents whose rare word is behind 256 more frequent ones."""
 
+import hashlib
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -58,3 +60,10 @@ def test_a_search_finds_rare_terms_of_long_documents(result):
 
 def test_releases_have_documents_of_rare_terms(result):
     assert sorted((r["scope"], r["rank"], r["doc_id"]) for r in result("c15_i6_version_scopes") if r["item_id"] == 0) == [("21", 1, 6), ("25", 1, 11)]
+
+
+def test_hashes_are_of_documents_of_rare_terms(result, folder):
+    text = dict(zip(*(pq.read_table(f"{folder}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text"))))
+    parts = [part.encode() for i in LONG for part in (str(i), text[i], "source", f"src{i % 4}")]
+    whole = b"".join(len(part).to_bytes(4) + part for part in parts)
+    assert {r["item_id"]: r["hash"] for r in result("d11_h5_documents_hash")}[0] == hashlib.sha256(whole).hexdigest()
