@@ -67,3 +67,7 @@ def test_hashes_are_of_documents_of_rare_terms(result, folder):
     parts = [part.encode() for i in LONG for part in (str(i), text[i], "source", f"src{i % 4}")]
     whole = b"".join(len(part).to_bytes(4) + part for part in parts)
     assert {r["item_id"]: r["hash"] for r in result("d11_h5_documents_hash")}[0] == hashlib.sha256(whole).hexdigest()
+
+
+def test_fused_rankings_have_documents_of_rare_terms(result):
+    assert {4, 6, 11} < {r["doc_id"] for r in result("e1_i4_hybrid") if r["query"] == 0}
