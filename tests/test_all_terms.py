@@ -71,3 +71,7 @@ def test_hashes_are_of_documents_of_rare_terms(result, folder):
 
 def test_fused_rankings_have_documents_of_rare_terms(result):
     assert {4, 6, 11} < {r["doc_id"] for r in result("e1_i4_hybrid") if r["query"] == 0}
+
+
+def test_releases_are_covered_by_rare_terms(result):
+    assert sorted((r["doc_id"], r["version"]) for r in result("e8_version_coverage") if r["query"] == 0) == [(4, "24"), (6, "21"), (11, "25")]
