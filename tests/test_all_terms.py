@@ -75,3 +75,8 @@ def test_fused_rankings_have_documents_of_rare_terms(result):
 
 def test_releases_are_covered_by_rare_terms(result):
     assert sorted((r["doc_id"], r["version"]) for r in result("e8_version_coverage") if r["query"] == 0) == [(4, "24"), (6, "21"), (11, "25")]
+
+
+def test_collections_have_documents_of_rare_terms(result):
+    found = [(r["rank"], r["doc_id"], r["collection"]) for r in result("i5_collections") if r["item_id"] == 0]
+    assert sorted(found) == [(1, 4, "articles"), (2, 6, "docs"), (3, 11, "pdfs")]
