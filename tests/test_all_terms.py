@@ -80,3 +80,8 @@ def test_releases_are_covered_by_rare_terms(result):
 def test_collections_have_documents_of_rare_terms(result):
     found = [(r["rank"], r["doc_id"], r["collection"]) for r in result("i5_collections") if r["item_id"] == 0]
     assert sorted(found) == [(1, 4, "articles"), (2, 6, "docs"), (3, 11, "pdfs")]
+
+
+def test_citations_of_rare_terms(result):
+    found = [(r["scope"], r["rank"], r["doc_id"]) for r in result("i7_citation_search") if r["item_id"] == 0]
+    assert sorted(found) == [("all", 1, 6), ("all", 2, 11), ("new", 1, 11)]
